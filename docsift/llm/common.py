@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def fold(key: Column, n: int) -> Column:
 def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text; one text longer than the bound is a batch by itself."""
     for batch in batches:
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         begin, total = 0, 0
         for i, n in enumerate(size):
             if total and total + n > chars:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .minhash import op10_minhash
 from .packing import op1_packing
 
-QUERIES = {"op1_packing": op1_packing}
+QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash}
 SQL: dict[str, str] = {}
