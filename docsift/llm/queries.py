@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .minhash import op10_minhash
 from .packing import op1_packing
+from .substring import op8_substring
 
-QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash}
+QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash, "op8_substring": op8_substring}
 SQL: dict[str, str] = {}
