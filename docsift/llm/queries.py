@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .minhash import op10_minhash
 from .packing import op1_packing
 from .substring import op8_substring
+from .toxicity import op5_toxicity
 
-QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash, "op8_substring": op8_substring}
+QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash, "op8_substring": op8_substring, "op2_decontaminate": op2_decontaminate, "op5_toxicity": op5_toxicity}
 SQL: dict[str, str] = {}
