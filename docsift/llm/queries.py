@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .language import op3_language
+from .licences import ORACLE as LICENCES_SQL
+from .licences import op4_licences
 from .minhash import op10_minhash
 from .packing import op1_packing
 from .quality import op9_quality
 from .substring import op8_substring
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash, "op8_substring": op8_substring, "op2_decontaminate": op2_decontaminate, "op5_toxicity": op5_toxicity, "op3_language": op3_language, "op9_quality": op9_quality}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op10_minhash": op10_minhash, "op8_substring": op8_substring, "op2_decontaminate": op2_decontaminate, "op5_toxicity": op5_toxicity, "op3_language": op3_language, "op9_quality": op9_quality, "op4_licences": op4_licences}
+SQL: dict[str, str] = {"op4_licences": LICENCES_SQL}
