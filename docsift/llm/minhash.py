@@ -8,8 +8,8 @@ No group meets in one task and no group is paired with itself: copies of one shi
 of equal bands is compared with its smallest member alone (a star). Jaccard distance is a metric, so what a star leaves
 open can be told from the distances found: members that are near the centre are linked through it; a member further
 than twice the bound from the centre has no partner among those; what lies between is compared with those members only
-that the triangle inequality allows and that no chain of links joins already. The members outside the ball go on to a
-star of their own. A pair at the threshold shares no band with probability (1 - 0.8 ** rows) ** bands, about 1e-7.
+that the triangle inequality allows and that no chain of links joins already. Members outside the ball are compared with
+each other; both in blocks, by their registers and then their hashed sets, and the links are confirmed on the texts. A pair at the threshold shares no band with probability (1 - 0.8 ** rows) ** bands, about 1e-7.
 
 Defined results: null text or one without words has an empty set and links with nothing; rows with one doc_id count as
 one document; a null doc_id links with nothing and is kept; an empty table gives an empty result; more columns are ignored.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,10 @@ U = np.uint64
 BANDS, ROWS, BASE, RATE = 40, 5, 1.02, 20.0
 #: Sides of a join up to this many ids are broadcast (some 16 MB); larger ones are shuffled.
 BROADCAST_IDS = 500_000
-#: Of a bucket's members that its star left open, up to so many are compared with each other.
-SMALL = 16
-STARS = 8
+#: Rows of the blocks in which members that a star left open are compared.
+BLOCK_LEFT, BLOCK_RIGHT, BLOCK_SHINGLES = 256, 4096, 2_000_000
+#: Share of equal registers from which a pair is confirmed by its sets: over four standard errors below 0.8.
+LIKELY = 0.68
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -182,42 +184,78 @@ class _Verifier:
         return full.mapInArrow(confirm, "a long, b long, jaccard double, linked boolean")
 
 
+def _open_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that its star leaves open, whose registers make a link likely and whose hashed sets have one.
+
+    rows: key, x, component, jaccard (with the centre; null if far), inside (linked with the centre), n, registers, text. Each
+    member outside the ball meets the rest of its bucket in blocks of bounded size; all is compared where the rows are, so
+    that hardly a pair but the links leaves the task.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(~F.col("inside"), 1)).alias("out"), F.max(F.when(~F.col("inside"), F.col("jaccard"))).alias("nearest"), F.sum("n").alias("mass"))
+    # Inside the ball only those matter that the triangle inequality lets meet the nearest member outside.
+    rows = rows.join(sizes, "key").where("not inside or jaccard <= nearest + 0.2 + 1e-9")
+    parts = lambda count, rows_: F.ceil(F.greatest(F.col(count) / rows_, F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    lefts, rights = parts("out", BLOCK_LEFT), parts("all", BLOCK_RIGHT)
+    spread = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), n).cast("int")
+    columns = ["key", "x", "component", "jaccard", "inside", "n", "registers", "text"]
+    left = rows.where(~F.col("inside")).select(*columns, F.lit(True).alias("left"), spread(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
+    right = rows.select(*columns, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), spread(rights, 2).alias("j"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).combine_chunks()
+        is_left = pc.fill_null(block.column("left"), False)
+        l, r = block.filter(is_left), block.filter(pc.invert(is_left))
+        out_a, out_b = [], []
+        if l.num_rows and r.num_rows:
+            number = lambda t, c: column(t, c).to_numpy(zero_copy_only=False)
+            rr = np.frombuffer(b"".join(r.column("registers").to_pylist()), "u2").reshape(r.num_rows, -1)
+            rx, rc, rn, rj, rin = number(r, "x"), number(r, "component"), number(r, "n"), number(r, "jaccard").astype("f8"), number(r, "inside").astype(bool)
+            texts, sets = r.column("text"), {}
+            for x, c, m, j, reg, text in zip(*(l.column(c).to_pylist() for c in ("x", "component", "n", "jaccard", "registers", "text")), strict=True):
+                may = (rc != c) & (np.minimum(rn, m) >= 0.8 * np.maximum(rn, m) - 1e-9) & np.where(rin, (j is not None) & (rj <= (j or 0) + 0.2 + 1e-9), rx < x)
+                at = np.flatnonzero(may)
+                if len(at):
+                    mine = np.broadcast_to(np.frombuffer(reg, "u2"), (len(at), rr.shape[1]))
+                    at = at[(rr[at] == mine).mean(1) >= LIKELY]
+                if len(at):
+                    own = shingle_hashes(text, n)
+                    for i in at.tolist():
+                        if i not in sets:
+                            sets[i] = shingle_hashes(texts[i].as_py(), n)
+                    owner = np.repeat(np.arange(len(at)), [len(sets[i]) for i in at.tolist()])
+                    flat = np.concatenate([sets[i] for i in at.tolist()])
+                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.bincount(owner[hit], minlength=len(at))
+                    at = at[100 * both >= 80 * (m + rn[at] - both)]
+                    out_a.append(np.full(len(at), x))
+                    out_b.append(rx[at])
+        join = lambda v: pa.array(np.concatenate(v) if v else np.empty(0), pa.int64())
+        return pa.table({"a": join(out_a), "b": join(out_b)})
+
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int) -> list[DataFrame]:
     """Pairs (a, b) that are linked and connect all that is connected."""
     all_bands = common.cut(banded(reps, bands, rows))
     sizes = all_bands.groupBy("key").agg(F.min("x").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    open_rows = common.cut(all_bands.join(sizes.select("key", "centre"), "key"), old=[all_bands])
-    texts = texts_of(open_rows.select(F.col("x").alias("id")).distinct())
+    members = common.cut(all_bands.join(sizes.select("key", "centre"), "key"), old=[all_bands])
+    texts = texts_of(members.select(F.col("x").alias("id")).distinct())
     verify = _Verifier(reps, texts, n, 0.45)
-    found: list[DataFrame] = []
-    stars: list[DataFrame] = []
-    for turn in range(STARS):
-        pairs = open_rows.where("x <> centre").select(F.col("x").alias("a"), F.col("centre").alias("b")).distinct()
-        seen = common.cut(verify(pairs))
-        found.append(seen.where("linked").select("a", "b"))
-        told = open_rows.where("x <> centre").join(seen.select(F.col("a").alias("x"), F.col("b").alias("centre"), "jaccard", "linked"), ["x", "centre"], "left")
-        rest = told.where("linked is null or not linked")
-        keys = rest.select("key").distinct()
-        if not rest.limit(1).count():
-            break
-        rest = common.cut(rest.select("key", "x", "centre", "jaccard"))
-        near = told.where("linked").join(keys, "key", "left_semi").select("key", F.col("x").alias("y"), F.col("jaccard").alias("jy"))
-        stars.append(rest.where("jaccard >= 0.6").select("key", "x", F.col("jaccard").alias("jx")).join(near, "key").where("1 - jy >= 1 - jx - 0.2 - 1e-9").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        left = rest.groupBy("key").agg(F.min("x").alias("next"), F.count("*").alias("n")).where("n > 1")
-        small = F.col("n") <= (SMALL if turn < STARS - 1 else 1 << 62)
-        few = rest.join(left.where(small).select("key"), "key").select("key", "x")
-        within = few.select("key", F.col("x").alias("a")).join(few.select("key", F.col("x").alias("b")), "key").where("a > b").select("a", "b").distinct()
-        found.append(common.cut(verify(within).where("linked").select("a", "b")))
-        open_rows = common.cut(rest.select("key", "x").join(left.where(~small).select("key", F.col("next").alias("centre")), "key"))
-        if not open_rows.limit(1).count():
-            break
-    if stars:
-        edges = _union(found)
-        labels = common.components(edges)
-        name = lambda d, s: d.join(labels.select(F.col("id").alias(s), F.col("component_id").alias(f"c{s}")), s, "left")
-        across = name(name(_union(stars), "a"), "b").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
-        found.append(common.cut(verify(across).where("linked").select("a", "b")))
-    return found
+    star = members.where("x <> centre").select(F.col("x").alias("a"), F.col("centre").alias("b")).distinct()
+    seen = common.cut(verify(star))
+    linked = seen.where("linked").select("a", "b")
+    told = members.where("x <> centre").join(seen.select(F.col("a").alias("x"), F.col("b").alias("centre"), "jaccard", "linked"), ["x", "centre"], "left")
+    told = told.select("key", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"))
+    keys = told.groupBy("key").agg(F.count(F.when(~F.col("inside"), 1)).alias("out"), F.count(F.when(F.col("inside") | F.col("jaccard").isNotNull(), 1)).alias("near"))
+    # One member outside and nobody who could meet it: nothing is open.
+    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("key"), "key"))
+    labels = common.components(linked)
+    rows_ = left_open.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("component"), "jaccard", "inside")
+    rows_ = rows_.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x")
+    rows_ = rows_.join(texts.select(F.col("id").alias("x"), "text"), "x")
+    more = common.cut(_open_pairs(rows_, n))
+    return [linked, common.cut(verify(more).where("linked").select("a", "b"))]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
