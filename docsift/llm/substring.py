@@ -7,7 +7,8 @@ first. A run of later occurrences goes if it is `least` characters long at least
 
 Only digests that repeat are joined back to their places, and spans, not chunks, go on to the documents.
 
-Defined results: null text has no chunks and stays null; rows of one doc_id count as one document; of a null doc_id nothing is
+Defined results: null text has no chunks and stays null; rows of one doc_id count as one document (what repeats earlier
+text in any of them goes from each at the same place); of a null doc_id nothing is
 removed and it counts as no occurrence; an empty table gives an empty result; more columns are ignored.
 """
 
@@ -66,53 +67,53 @@ def chunks(text: str, mean: int, most: int) -> tuple[np.ndarray, np.ndarray, np.
     return digest, chars[:-1], chars[1:]
 
 
-def _first(digest: np.ndarray) -> np.ndarray:
-    """Whether each chunk is the first of its digest here."""
-    first = np.zeros(len(digest), bool)
-    first[np.unique(digest[:, 0] ^ (digest[:, 1] * U(0x9E3779B97F4A7C15)), return_index=True)[1]] = True
-    return first
-
-
-def _rows(docs: DataFrame, mean: int, most: int, places: bool) -> DataFrame:
-    """d1, d2, doc_id, at. With places a row for each chunk, at being start * 2 ** 32 + end * 2 + (1 if its document has it earlier); else a row for each digest of a document, at being 1 if it comes again there."""
+def _arrow(docs: DataFrame, schema: str, row) -> DataFrame:
+    """Rows of int64 columns that row(doc_id, text) gives as arrays."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text", 1_000_000):
-            cols: list[list[np.ndarray]] = [[], [], []]
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if not t or doc is None:
-                    continue
-                digest, start, end = chunks(t, mean, most)
-                first = _first(digest)
-                if places:
-                    cols[2].append((start << 32) + (end << 1) + (~first).astype("i8"))
-                    first[:] = True
-                else:
-                    # a digest that comes again in the same document repeats too
-                    again = np.zeros(len(first), bool)
-                    if not first.all():
-                        key = digest[:, 0] ^ (digest[:, 1] * U(0x9E3779B97F4A7C15))
-                        again = np.isin(key, key[~first])
-                    cols[2].append(again[first].astype("i8"))
-                cols[0].append(digest[first])
-                cols[1].append(np.full(int(first.sum()), doc, "i8"))
-            if cols[0]:
-                d = np.concatenate(cols[0]).view("i8")
-                yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2]))], names=["d1", "d2", "doc_id", "at"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "d1 long, d2 long, doc_id long, at long")
+            parts = [row(doc, t) for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t and doc is not None]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _counted(mean: int, most: int):
+    """First half of each digest of a document, and 2 if it comes again there, else 1."""
+
+    def row(doc: int, text: str) -> tuple[np.ndarray, ...]:
+        key, n = np.unique(chunks(text, mean, most)[0][:, 0], return_counts=True)
+        return key.view("i8"), np.minimum(n, 2)
+
+    return row
+
+
+def _placed(mean: int, most: int):
+    """Each chunk: digest, document, and start * 2 ** 32 + end * 2 + (1 if its document has it earlier)."""
+
+    def row(doc: int, text: str) -> tuple[np.ndarray, ...]:
+        digest, start, end = chunks(text, mean, most)
+        later = np.ones(len(digest), "i8")
+        later[np.unique(digest[:, 0] ^ (digest[:, 1] * U(0x9E3779B97F4A7C15)), return_index=True)[1]] = 0
+        d = digest.view("i8")
+        return d[:, 0], d[:, 1], np.full(len(d), doc, "i8"), (start << 32) + (end << 1) + later
+
+    return row
 
 
 def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST) -> DataFrame:
     """doc_id, spans (array of start, end in characters): what repeats earlier text, runs of `least` characters at least."""
-    once = _rows(docs, mean, most, places=False)
-    seen = once.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("at").alias("again"))
-    twice = common.cut(seen.where("owner <> last or again > 0").select("d1", "d2", "owner"))
-    few = twice.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
-    places = _rows(docs, mean, most, places=True)
-    hits = places.join(F.broadcast(twice) if few else twice, ["d1", "d2"])
-    # (at & 1) is 0 for the first occurrence in its document
-    gone = hits.where("doc_id <> owner or (at & 1) = 1").select("doc_id", F.shiftrightunsigned("at", 32).alias("start"), F.shiftrightunsigned(F.col("at").bitwiseAND(0xFFFFFFFF), 1).alias("end"))
+    # Half a digest tells what may repeat; whether it does, and where first, the whole digest tells.
+    may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"))
+    few = may.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
+    places = _arrow(docs, "d1 long, d2 long, doc_id long, at long", _placed(mean, most))
+    hits = common.cut(places.join(F.broadcast(may) if few else may, "d1"), old=[may])
+    owners = hits.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("at").bitwiseAND(1)).alias("again"))
+    owners = owners.where("owner <> last or again = 1").select("d1", "d2", "owner")
+    gone = hits.join(owners, ["d1", "d2"]).where("doc_id <> owner or (at & 1) = 1")
+    gone = gone.select("doc_id", F.shiftrightunsigned("at", 32).alias("start"), F.shiftrightunsigned(F.col("at").bitwiseAND(0xFFFFFFFF), 1).alias("end"))
     spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))  # bounded by the document
     item = "struct<start: bigint, end: bigint>"
 
