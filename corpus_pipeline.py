@@ -1,15 +1,71 @@
-"""Placeholder stages; see the commit that fills them in."""
+"""From raw documents to packed training sequences: toxicity, near-dedup, substring dedup, decontamination, packing.
+
+Each stage takes what its predecessor kept; the first four return the columns of documents. Which rows stay is told by
+ids: a small set of ids to drop is broadcast after a check of its size, a large one joined by shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docsift.llm import common, decontaminate, minhash, packing, substring, toxicity
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows with these ids; rows without an id stay."""
+    ids = common.cut(ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct())
+    few = ids.count() <= minhash.BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id; of rows that repeat a doc_id one stays."""
+    told = common.cut(minhash.near_duplicates(docs, n=5).select("doc_id", "kept"))
+    twice = told.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    stay = _without(docs, told.where("not kept").select("doc_id"))
+    if not twice.limit(1).count():
+        return stay
+    again = stay.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
+    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where("_n = 1").drop("_n")
+    return _without(stay, twice).unionByName(first)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of a passage go from their texts; a document of which nothing else is left goes too."""
+    out = substring.dedup_substrings(docs)
+    blank = F.col("spans").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return out.where(~blank).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("doc_id is not null"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+#: SQL has no word for most of these stages; the tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
