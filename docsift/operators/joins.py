@@ -30,11 +30,10 @@ def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
     return pairs.join(sets("a"), "a").join(sets("b"), "b").where(both >= F.lit(least) * whole - 1e-9).select("a", "b", F.round(both / whole, 6).alias("jaccard"))
 
 
-@F.udf(T.DoubleType(), useArrow=True)
-def _ratio(a, b):
+def _ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
 def sequence_ratio(a: str, b: str) -> Column:
     """Ratio of matching blocks; for the few pairs that a cheaper join left."""
-    return _ratio(F.col(a), F.col(b))
+    return F.udf(_ratio, T.DoubleType(), useArrow=True)(F.col(a), F.col(b))

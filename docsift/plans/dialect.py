@@ -49,13 +49,14 @@ MACROS = {
     "str": ("CAST({0} AS STRING)", "CAST({0} AS VARCHAR)"),
     "within": ("instr({0}, {1})", "instr({0}, {1})"),
 }
+_SPLIT = re.compile(r"\|(?=(?:[^']*'[^']*')*[^']*$)")  # not inside quotes
 _CALL = re.compile(r"@(\w+)\{([^{}]*)\}")
 
 
 def render(text: str, oracle: bool) -> str:
     """Macros are written @name{a|b}; inner ones first."""
     while True:
-        new = _CALL.sub(lambda m: MACROS[m[1]][oracle].format(*(x.strip() for x in m[2].split("|"))), text)
+        new = _CALL.sub(lambda m: MACROS[m[1]][oracle].format(*(x.strip() for x in _SPLIT.split(m[2]))), text)
         if new == text:
             return text
         text = new

@@ -216,26 +216,26 @@ k AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+'))
 
 
 @query("near_dup_jaccard", f"""WITH {NEAR_SQL} SELECT a, b, round(nab / (na + nb - nab)::DOUBLE, 6) AS jaccard FROM (
- SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.s, y.s)) AS nab, len(x.s) AS na, len(y.s) AS nb FROM k x JOIN k y ON x.p_partkey < y.p_partkey) WHERE nab >= 0.9 * (na + nb - nab)""")
+ SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.s, y.s)) AS nab, len(x.s) AS na, len(y.s) AS nb FROM k x JOIN k y ON x.p_partkey < y.p_partkey) WHERE nab >= 0.8 * (na + nb - nab)""")
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of query texts of Jaccard 0.9 or more; candidates share one of their rarest tokens (prefix filter, exact)."""
+    """Pairs of query texts of Jaccard 0.8 or more; candidates share one of their rarest tokens (prefix filter, exact)."""
     from docsift.operators import joins
 
     (part,) = _read(spark, sf_dir, "part")
     q = F.concat(F.lit("need "), "p_name", F.lit(" size "), "p_size", F.lit(" of "), "p_brand", F.lit(" type "), "p_type")
     rows = part.where("p_partkey % 20 = 0 or p_size = 7").select(F.col("p_partkey").alias("id"), F.array_distinct(T.tokens(q)).alias("s"))
-    return joins.jaccard_pairs(rows, 0.9)
+    return joins.jaccard_pairs(rows, 0.8)
 
 
 @query("near_dup_seq")
 def near_dup_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of pairs of Jaccard 0.5 or more those whose sequence ratio is 0.94 or more; the ratio is not SQL's to say."""
+    """Of pairs of Jaccard 0.7 or more those whose sequence ratio is 0.94 or more; the ratio is not SQL's to say."""
     from docsift.operators import joins
 
-    (items,) = _read(spark, sf_dir, "benchmark")
-    rows = items.select(F.col("item_id").alias("id"), F.array_distinct(T.tokens("text")).alias("s"))
-    pairs = joins.jaccard_pairs(rows, 0.5)
-    text = lambda s: items.select(F.col("item_id").alias(s), F.lower("text").alias(f"t{s}"))
+    (part,) = _read(spark, sf_dir, "part")
+    items = part.where("p_partkey % 20 = 0 or p_size = 7").select(F.col("p_partkey").alias("id"), F.concat(F.lit("need "), "p_name", F.lit(" size "), "p_size", F.lit(" of "), "p_brand", F.lit(" type "), "p_type").alias("text"))
+    pairs = joins.jaccard_pairs(items.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("s")), 0.7)
+    text = lambda s: items.select(F.col("id").alias(s), F.lower("text").alias(f"t{s}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").withColumn("ratio", joins.sequence_ratio("ta", "tb")).where("ratio >= 0.94").select("a", "b", "jaccard", F.round("ratio", 6).alias("ratio"))
 
 
