@@ -87,10 +87,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("id").alias("b"), "component_id"), "b")
         near = seen.groupBy(F.col("a").alias("id")).agg(F.min("component_id").alias("m"))
-        step = labels.join(near, "id").select("id", F.least("component_id", "m").alias("l"), F.col("component_id").alias("was"))
+        # Cut before the jump: a stage of one join is one whose hot keys adaptive execution can split.
+        step = cut(labels.join(near, "id").select("id", F.least("component_id", "m").alias("l"), F.col("component_id").alias("was")))
         jump = step.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        new = step.join(jump, "l", "left").select("id", F.least("l", F.coalesce("ll", "l")).alias("component_id"), "was")
-        new = cut(new)
+        new = cut(step.join(jump, "l", "left").select("id", F.least("l", F.coalesce("ll", "l")).alias("component_id"), "was"), old=[step])
         changed = new.where("component_id <> was").limit(1).count()
         drop(labels)
         labels = new.select("id", "component_id")
