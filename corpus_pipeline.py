@@ -15,15 +15,17 @@ from docsift.llm import common, decontaminate, minhash, packing, substring, toxi
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but for the rows with these ids; rows without an id stay."""
-    ids = common.cut(ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct())
+    gone = common.free(docs, "_gone")
+    ids = common.cut(ids.select(F.col("doc_id").cast("long").alias(gone)).distinct())
     few = ids.count() <= minhash.BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    out = common.free(docs, "_toxicity")
+    return toxicity.score(docs, model, out).where(F.col(out) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +35,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stay = _without(docs, told.where("not kept").select("doc_id"))
     if not twice.limit(1).count():
         return stay
-    again = stay.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
-    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where("_n = 1").drop("_n")
+    of, n = common.free(docs, "_twice"), common.free(docs, "_n")
+    again = stay.join(twice.select(F.col("doc_id").alias(of)), F.col("doc_id").cast("long") == F.col(of), "left_semi")
+    first = again.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(n) == 1).drop(n)
     return _without(stay, twice).unionByName(first)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of a passage go from their texts; a document of which nothing else is left goes too."""
-    out = substring.dedup_substrings(docs)
-    blank = F.col("spans").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return out.where(~blank).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    spans, removed = common.free(docs, "_spans"), common.free(docs, "_removed")
+    out = substring.dedup_substrings(docs, spans=spans, removed=removed)
+    blank = F.col(spans).isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    out = out.where(~blank)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return out.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or nearly, go."""
     return _without(docs, decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("doc_id is not null"))
 
 

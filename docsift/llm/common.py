@@ -62,6 +62,13 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as make it no column of df."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text; one text longer than the bound is a batch by itself."""
     for batch in batches:

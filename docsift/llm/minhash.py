@@ -11,8 +11,9 @@ than twice the bound from the centre has no partner among those; what lies betwe
 that the triangle inequality allows and that no chain of links joins already. Members outside the ball are compared with
 each other; both in blocks, by their registers and then their hashed sets, and the links are confirmed on the texts. A pair at the threshold shares no band with probability (1 - 0.8 ** rows) ** bands, about 1e-7.
 
-Defined results: null text or one without words has an empty set and links with nothing; rows with one doc_id count as
-one document; a null doc_id links with nothing and is kept; an empty table gives an empty result; more columns are ignored.
+Defined results: null text or one without words has an empty set and links with nothing; of rows that share a doc_id but
+not the set, one is compared, and the others are linked with their exact copies alone; a null doc_id links with nothing,
+has no component and is kept; an empty table gives an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -269,6 +270,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int =
     """doc_id, n_shingles, component_id, kept of every row; documents of Jaccard similarity 0.8 or more are linked."""
     table = common.cut(sketched(docs, n, bands * rows))
     full = table.where("n_shingles > 0 and doc_id is not null")
+    ids = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("m"), F.count("*").alias("n"))
+    if ids.where("n > 1").limit(1).count():
+        full = full.join(ids.select("doc_id", "m"), "doc_id").where("d1 = m.d1 and d2 = m.d2").drop("m")
     classes = common.cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     reps = common.cut(reps)
@@ -281,9 +285,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int =
     edges = _union(links(reps, texts_of, n, bands, rows))
     labels = common.components(edges)
     named = classes.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    # Rows of one doc_id and different texts are one document: the smallest class label that any of them has.
     joined = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
-    at = F.coalesce("component_id", "doc_id")
+    at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", at.alias("component_id"), F.col("doc_id").eqNullSafe(at).alias("kept"))
 
 

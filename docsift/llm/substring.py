@@ -136,7 +136,6 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: i
     return spans.mapInArrow(runs, f"doc_id long, spans array<{item}>")
 
 
-@F.udf(T.StringType(), useArrow=True)
 def _without(text, spans):
     if text is None or not spans:
         return text
@@ -147,17 +146,19 @@ def _without(text, spans):
     return "".join([*out, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """docs with the text that stays, and spans, n_removed (characters)."""
-    spans = common.cut(repeated_spans(docs, mean, most, least).withColumnRenamed("doc_id", "span_of"))
-    few = _bytes(spans) <= 24 << 20
-    joined = docs.drop("spans", "span_of", "n_removed").join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col("span_of"), "left").drop("span_of")
-    removed = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>")), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return joined.withColumn("n_removed", removed).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without(F.col("text").cast("string"), "spans")))
+def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST, spans: str = "spans", removed: str = "n_removed") -> DataFrame:
+    """docs with the text that stays, and two columns more: the spans that went and how many characters they held."""
+    of = common.free(docs, "_span_of")
+    found = common.cut(repeated_spans(docs, mean, most, least).select(F.col("doc_id").alias(of), F.col("spans").alias(spans)))
+    few = _bytes(found, spans) <= 24 << 20
+    joined = docs.drop(spans, removed).join(F.broadcast(found) if few else found, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
+    total = F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start: bigint, end: bigint>>")), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    cut_out = F.udf(_without, T.StringType(), useArrow=True)
+    return joined.withColumn(removed, total).withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut_out(F.col("text").cast("string"), spans)))
 
 
-def _bytes(spans: DataFrame) -> int:
-    return spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 40), F.lit(0))).first()[0]
+def _bytes(found: DataFrame, spans: str) -> int:
+    return found.agg(F.coalesce(F.sum(F.size(spans) * 16 + 40), F.lit(0))).first()[0]
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
