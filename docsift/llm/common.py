@@ -13,7 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+
+
+#: Rows of an Arrow batch, for sessions that leave Spark's default (10000): whole texts are long, and a batch is held by the
+#: JVM and by the Python worker at once.
+ARROW_ROWS = 2000
+
+
+def tune(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

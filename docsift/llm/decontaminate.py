@@ -164,6 +164,7 @@ def blocks(benchmark: DataFrame, shortest: int, chars: int) -> Iterator[tuple[tu
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end: the best match of each item in each document that has one."""
+    common.tune(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance int, start long, end long"
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]

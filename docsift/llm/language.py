@@ -50,7 +50,7 @@ def count(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in common.slices(batches, "text", 2_000_000):
+        for b in common.slices(batches, "text"):
             langs = b.column("lang").to_pylist()
             names = sorted(set(langs))
             doc, bucket = ngrams([" ", *b.column("text").to_pylist()])  # the first letter has a neighbour too
@@ -130,6 +130,7 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """docs: text, lang of the rows to learn from. The driver gets at most BUCKETS numbers a language."""
     rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    common.tune(docs.sparkSession)
     found = count(rows).toPandas()
     langs = sorted(found["lang"].unique())
     n = np.zeros((BUCKETS, len(langs)))
@@ -140,6 +141,7 @@ def fit(docs: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model, proportions: bool = False) -> DataFrame:
     """docs with lang_pred, score and, if asked for, proportions (map of language to share)."""
+    common.tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

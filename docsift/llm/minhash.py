@@ -268,6 +268,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; documents of Jaccard similarity 0.8 or more are linked."""
+    common.tune(docs.sparkSession)
     table = common.cut(sketched(docs, n, bands * rows))
     full = table.where("n_shingles > 0 and doc_id is not null")
     ids = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("m"), F.count("*").alias("n"))

@@ -144,6 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, window: int, end_
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and offset; with keep_ids also its ids, for sequences()."""
     spark = docs.sparkSession
+    common.tune(spark)
     cuts = common.cut(pieces(docs, tokenizer, ranks, window, end_id, keep_ids))
     total = cuts.count()
     shards = max(64, min(65_536, total // 20_000))  # a length that many pieces have is ranked in this many parts

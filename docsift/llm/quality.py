@@ -73,6 +73,7 @@ def measured(docs: DataFrame) -> DataFrame:
             x = np.array([statistics(t) for t in b.column("text").to_pylist()], "f4").reshape(-1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, WIDTH), pa.int32()), pa.array(x))], names=["doc_id", "x"])
 
+    common.tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
 
 

@@ -105,6 +105,7 @@ def _placed(mean: int, most: int):
 
 def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST) -> DataFrame:
     """doc_id, spans (array of start, end in characters): what repeats earlier text, runs of `least` characters at least."""
+    common.tune(docs.sparkSession)
     # Half a digest tells what may repeat; whether it does, and where first, the whole digest tells.
     may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"))
     few = may.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
