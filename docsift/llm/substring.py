@@ -104,7 +104,8 @@ def _placed(mean: int, most: int):
 
 
 def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """doc_id, spans (array of start, end in characters): what repeats earlier text, runs of `least` characters at least."""
+    """doc_id, spans (array of start, end in characters, source: the document that has its first chunk first): what repeats earlier
+    text, runs of `least` characters at least."""
     common.tune(docs.sparkSession)
     # Half a digest tells what may repeat; whether it does, and where first, the whole digest tells.
     may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"))
@@ -114,24 +115,24 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: i
     owners = hits.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("at").bitwiseAND(1)).alias("again"))
     owners = owners.where("owner <> last or again = 1").select("d1", "d2", "owner")
     gone = hits.join(owners, ["d1", "d2"]).where("doc_id <> owner or (at & 1) = 1")
-    gone = gone.select("doc_id", F.shiftrightunsigned("at", 32).alias("start"), F.shiftrightunsigned(F.col("at").bitwiseAND(0xFFFFFFFF), 1).alias("end"))
-    spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))  # bounded by the document
-    item = "struct<start: bigint, end: bigint>"
+    gone = gone.select("doc_id", "owner", F.shiftrightunsigned("at", 32).alias("start"), F.shiftrightunsigned(F.col("at").bitwiseAND(0xFFFFFFFF), 1).alias("end"))
+    spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("owner").alias("source")))).alias("found"))  # bounded by the document
+    item = "struct<start: bigint, end: bigint, source: bigint>"
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
             for doc, found in zip(b.column("doc_id").to_pylist(), b.column("found").to_pylist(), strict=True):
-                merged: list[list[int]] = []
+                merged: list[list[int]] = []  # start, end, and where its first chunk stands first
                 for x in found:
                     if merged and x["start"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x["end"])
                     else:
-                        merged.append([x["start"], x["end"]])
-                if long := [{"start": s, "end": e} for s, e in merged if e - s >= least]:
+                        merged.append([x["start"], x["end"], x["source"]])
+                if long := [{"start": s, "end": e, "source": o} for s, e, o in merged if e - s >= least]:
                     ids.append(doc)
                     out.append(long)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source")]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], names=["doc_id", "spans"])
 
     return spans.mapInArrow(runs, f"doc_id long, spans array<{item}>")
@@ -153,13 +154,13 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least:
     found = common.cut(repeated_spans(docs, mean, most, least).select(F.col("doc_id").alias(of), F.col("spans").alias(spans)))
     few = _bytes(found, spans) <= 24 << 20
     joined = docs.drop(spans, removed).join(F.broadcast(found) if few else found, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
-    total = F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start: bigint, end: bigint>>")), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    total = F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start: bigint, end: bigint, source: bigint>>")), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     cut_out = F.udf(_without, T.StringType(), useArrow=True)
     return joined.withColumn(removed, total).withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut_out(F.col("text").cast("string"), spans)))
 
 
 def _bytes(found: DataFrame, spans: str) -> int:
-    return found.agg(F.coalesce(F.sum(F.size(spans) * 16 + 40), F.lit(0))).first()[0]
+    return found.agg(F.coalesce(F.sum(F.size(spans) * 24 + 40), F.lit(0))).first()[0]
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
