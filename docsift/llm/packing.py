@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,12 +91,17 @@ def best_fit(counts: dict[int, int], window: int) -> list[tuple[int, int, int, i
 @lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str | None):
     """texts -> lists of ids. With the ranks of the same vocabulary tiktoken encodes, at several times the speed."""
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True
+    @lru_cache(maxsize=1)
+    def slow():
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(json_path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     if not ranks_path:
-        return lambda texts: [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [x.ids for x in slow().encode_batch(texts, add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
@@ -113,7 +117,7 @@ def encoder(json_path: str, ranks_path: str | None):
             except BaseException as e:  # noqa: BLE001  tiktoken panics on some texts of one endless word
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-                out.append(slow.encode(t, add_special_tokens=False).ids)
+                out.append(slow().encode(t, add_special_tokens=False).ids)
         return out
 
     return encode
@@ -160,16 +164,19 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
     order_ = np.lexsort((keys[:, 1], keys[:, 0]))
     shared = spark.sparkContext.broadcast(table[order_])  # some rows a length, at most
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         key = t[:, 0] * (1 << 45) + t[:, 1]
-        n, r = length.to_numpy("i8"), rank.to_numpy("i8")
-        s = t[np.searchsorted(key, n * (1 << 45) + r, side="right") - 1]
-        past = r - s[:, 1]
-        return pd.DataFrame({"sequence_id": s[:, 3] + past // s[:, 2], "offset": s[:, 4] + past % s[:, 2] * n})
-
-    return ranked.withColumn("at", place("length", "rank")).select(*PIECES_COLUMNS, "at.sequence_id", "at.offset", *["ids"] * keep_ids)
+        for b in batches:
+            n, r = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            s = t[np.searchsorted(key, n * (1 << 45) + r, side="right") - 1]
+            past = r - s[:, 1]
+            found = [pa.array(s[:, 3] + past // s[:, 2]), pa.array(s[:, 4] + past % s[:, 2] * n)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names if c in b.schema.names), *found, *([b.column("ids")] if keep_ids else [])], names=[*names, "sequence_id", "offset", *["ids"] * keep_ids])
+
+    names = PIECES_COLUMNS
+    schema = f"{PIECES}, sequence_id long, offset long" + (", ids array<int>" if keep_ids else "")
+    return ranked.select(*names, "rank", *["ids"] * keep_ids).withColumn("rank", F.col("rank").cast("long")).mapInArrow(place, schema)
 
 
 PIECES_COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
