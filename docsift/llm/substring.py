@@ -138,9 +138,7 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: i
     return spans.mapInArrow(runs, f"doc_id long, spans array<{item}>")
 
 
-def _without(text, spans):
-    if text is None or not spans:
-        return text
+def _without(text: str, spans: list[dict]) -> str:
     out, at = [], 0
     for s in spans:
         out.append(text[at : s["start"]])
@@ -154,9 +152,18 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least:
     found = common.cut(repeated_spans(docs, mean, most, least).select(F.col("doc_id").alias(of), F.col("spans").alias(spans)))
     few = _bytes(found, spans) <= 24 << 20
     joined = docs.drop(spans, removed).join(F.broadcast(found) if few else found, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
-    total = F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start: bigint, end: bigint, source: bigint>>")), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    cut_out = F.udf(_without, T.StringType(), useArrow=True)
-    return joined.withColumn(removed, total).withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut_out(F.col("text").cast("string"), spans)))
+    joined = joined.withColumn("text", F.col("text").cast("string"))
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            at, text, n = b.schema.get_field_index("text"), b.column("text").to_pylist(), [0] * b.num_rows
+            for i, found in enumerate(b.column(spans).to_pylist()):
+                if found and text[i] is not None:
+                    text[i], n[i] = _without(text[i], found), sum(x["end"] - x["start"] for x in found)
+            columns = [pa.array(text, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*b.schema.names, removed])
+
+    return joined.mapInArrow(without, T.StructType([*joined.schema.fields, T.StructField(removed, T.LongType())]))
 
 
 def _bytes(found: DataFrame, spans: str) -> int:
