@@ -18,7 +18,7 @@ SLICE_CHARS = 1_000_000
 
 #: Rows of an Arrow batch, for sessions that leave Spark's default (10000): whole texts are long, and a batch is held by the
 #: JVM and by the Python worker at once.
-ARROW_ROWS = 2000
+ARROW_ROWS = 500
 
 
 def tune(spark: SparkSession) -> None:

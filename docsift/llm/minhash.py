@@ -164,7 +164,8 @@ class _Verifier:
                     ok = likeliest(one, two, p.column("na").to_numpy().astype("f8"), p.column("nb").to_numpy().astype("f8")) >= least
                     yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").where("least(na, nb) >= 0.4 * greatest(na, nb)").mapInArrow(sift, "a long, b long")
+        # Cut here, lest both functions run in one stage: an executor would hold twice the Python workers.
+        likely = common.cut(pairs.join(side("a"), "a").join(side("b"), "b").where("least(na, nb) >= 0.4 * greatest(na, nb)").mapInArrow(sift, "a long, b long"))
         text = lambda s: self.texts.select(F.col("id").alias(s), F.col("text").alias(f"t{s}"))
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
