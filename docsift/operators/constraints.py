@@ -45,6 +45,9 @@ IMPLIED = [
     ("potable water supply", ["potable water", "drinking water"], "STRONG_COMPATIBLE"),
     ("water pipeline", ["water", "pipeline", "water supply"], "PARTIAL_MATCH"),
 ]
+# How a text tells a range of temperatures.
+TOP = r"(?:up to|upto|not exceeding|maximum|max)\s+(\d+(?:\.\d+)?)\s*(?:degrees?)?\s*c"
+SPAN = r"(\d+(?:\.\d+)?)\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s*(?:degrees?)?\s*c"
 CHECK_VALVE = ["check valve", "reflux", "non return", "non-return", "swing check", "prevent reverse flow"]
 
 
@@ -133,13 +136,10 @@ def exclusion(values: Column, text: Column, field: str, state: Callable[[Column,
 def temperature_ranges(text: Column) -> Column:
     """Ranges that a text tells: up to x, or x to y (the bare c at the end is the reference's)."""
     t = underscore_key(F.coalesce(text, F.lit("")))
-    number = r"(\d+(?:\.\d+)?)"
-    top = rf"(?:up to|upto|not exceeding|maximum|max)\s+{number}\s*(?:degrees?)?\s*c"
-    span = rf"{number}\s*(?:to|-)\s*{number}\s*(?:degrees?)?\s*c"
     all_ = lambda p, i: F.regexp_extract_all(t, F.lit(p), F.lit(i))
     pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
-    tops = F.transform(all_(top, 1), lambda x: pair(F.lit(-273.15), x.cast("double")))
-    spans = F.zip_with(all_(span, 1), all_(span, 2), lambda a, b: pair(F.least(a.cast("double"), b.cast("double")), F.greatest(a.cast("double"), b.cast("double"))))
+    tops = F.transform(all_(TOP, 1), lambda x: pair(F.lit(-273.15), x.cast("double")))
+    spans = F.zip_with(all_(SPAN, 1), all_(SPAN, 2), lambda a, b: pair(F.least(a.cast("double"), b.cast("double")), F.greatest(a.cast("double"), b.cast("double"))))
     return F.concat(tops, spans)
 
 
