@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from docsift.functions import text as T
 
 K1, B, TOP, RRF_K, NO_RANK = 1.5, 0.75, 20, 60, 10_000
+#: Distinct terms of all queries up to which their side of a join is broadcast.
+BROADCAST_TERMS = 200_000
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -26,19 +28,27 @@ class Bm25Index:
     """Postings, document frequencies and lengths as DataFrames. With queries, only their terms' postings are kept."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, queries: DataFrame | None = None, query_id: str = "", query_text: str = ""):
-        spread = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("toks"))
-        if spread.rdd.getNumPartitions() < spread.sparkSession.sparkContext.defaultParallelism:
-            spread = spread.repartition(spread.sparkSession.sparkContext.defaultParallelism)
+        raw, cores = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), docs.sparkSession.sparkContext.defaultParallelism
+        if raw.rdd.getNumPartitions() < cores:  # a single file is a single task
+            raw = raw.repartition(cores)
+        spread = raw.select("doc_id", T.tokens(F.col("t")).alias("toks"))
         lengths = spread.select("doc_id", F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"))
         self.stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        words = spread.select("doc_id", F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"), F.explode("toks").alias("tok"))
-        self.terms = None
+        # explode_outer: explode would infer a filter on the tokens and run it before the rows are spread.
+        words = spread.select("doc_id", F.coalesce(F.size("toks"), F.lit(0)).cast("long").alias("dl"), F.explode_outer("toks").alias("tok")).where("tok is not null")
+        self.terms, self.small = None, False
         if queries is not None:
             asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query_text))).alias("tok"))
             self.terms = asked.groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
-            words = words.join(self.terms.select("tok").distinct(), "tok", "left_semi")
+            vocabulary = self.terms.select("tok").distinct()
+            self.small = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+            words = words.join(self._side(vocabulary), "tok", "left_semi")
         self.postings = words.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
 
+    def _side(self, df: DataFrame) -> DataFrame:
+        """The query side of a join: broadcast if the queries' vocabulary was counted to be small."""
+        return F.broadcast(df) if self.small else df
+
     def weights(self) -> DataFrame:
         """tok, df, idf."""
         df = self.postings.groupBy("tok").agg(F.count("*").alias("df"))
@@ -46,8 +56,8 @@ class Bm25Index:
 
     def search(self, k: int = TOP, k1: float = K1, b: float = B) -> DataFrame:
         """query_id, doc_id, score, rank; every repeat of a query term counts."""
-        terms = self.terms.join(self.weights(), "tok")
-        hits = self.postings.join(terms, "tok").crossJoin(F.broadcast(self.stats.select("avgdl")))
+        terms = self.terms.join(self._side(self.weights()), "tok")
+        hits = self.postings.join(self._side(terms), "tok").crossJoin(F.broadcast(self.stats.select("avgdl")))
         tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
         return top_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
