@@ -16,7 +16,7 @@ from docsift.llm import common, decontaminate, minhash, packing, substring, toxi
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but for the rows with these ids; rows without an id stay."""
     gone = common.free(docs, "_gone")
-    ids = common.cut(ids.select(F.col("doc_id").cast("long").alias(gone)).distinct())
+    ids = common.cut(ids.select(F.col("doc_id").cast("long").alias(gone)).distinct(), files=common.files_for(docs.count()))
     few = ids.count() <= minhash.BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; of rows that repeat a doc_id one stays."""
-    told = common.cut(minhash.near_duplicates(docs, n=5).select("doc_id", "kept"))
+    told = common.cut(minhash.near_duplicates(docs, n=5).select("doc_id", "kept"), files=common.files_for(docs.count()))
     twice = told.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     stay = _without(docs, told.where("not kept").select("doc_id"))
     if not twice.limit(1).count():

@@ -48,12 +48,23 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, old: Iterable[DataFrame] = ()) -> DataFrame:
+#: Rows of a table for each file of what is cut from it, and the fewest files.
+ROWS_A_FILE, FEWEST_FILES = 10_000, 8
+
+
+def files_for(rows: int) -> int:
+    return max(FEWEST_FILES, rows // ROWS_A_FILE)
+
+
+def cut(df: DataFrame, old: Iterable[DataFrame] = (), files: int | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again, so that a lost executor costs no more than the last step.
 
-    old: earlier results of cut() that nothing needs any more; their files go.
+    old: earlier results of cut() that nothing needs any more; their files go. files: how many at most; on local file systems
+    each file makes Hadoop start a process to set its permissions, which counts twice an executor's memory while it forks.
     """
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/docsift/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -95,21 +106,21 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             yield batch.slice(begin)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, files: int = FEWEST_FILES, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of each vertex: columns id, component_id.
 
     edges: columns a, b (long). Labels travel along edges and jump to their label's label, so the rounds grow with the
     logarithm of a component's width. Hot vertices are met by partial aggregation and by adaptive skew joins.
     """
-    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component_id")))
+    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), files=files)
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component_id")), files=files)
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("id").alias("b"), "component_id"), "b")
         near = seen.groupBy(F.col("a").alias("id")).agg(F.min("component_id").alias("m"))
         # Cut before the jump: a stage of one join is one whose hot keys adaptive execution can split.
-        step = cut(labels.join(near, "id").select("id", F.least("component_id", "m").alias("l"), F.col("component_id").alias("was")))
+        step = cut(labels.join(near, "id").select("id", F.least("component_id", "m").alias("l"), F.col("component_id").alias("was")), files=files)
         jump = step.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        new = cut(step.join(jump, "l", "left").select("id", F.least("l", F.coalesce("ll", "l")).alias("component_id"), "was"), old=[step])
+        new = cut(step.join(jump, "l", "left").select("id", F.least("l", F.coalesce("ll", "l")).alias("component_id"), "was"), old=[step], files=files)
         changed = new.where("component_id <> was").limit(1).count()
         drop(labels)
         labels = new.select("id", "component_id")

@@ -148,8 +148,8 @@ def banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
 class _Verifier:
     """Exact similarity of candidate pairs, after a first sifting by registers."""
 
-    def __init__(self, reps: DataFrame, texts: DataFrame, n: int, least: float):
-        self.reps, self.texts, self.n, self.least = reps, texts, n, least
+    def __init__(self, reps: DataFrame, texts: DataFrame, n: int, least: float, files: int):
+        self.reps, self.texts, self.n, self.least, self.files = reps, texts, n, least, files
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> (a, b, jaccard, linked) of those whose estimate may be enough."""
@@ -165,7 +165,7 @@ class _Verifier:
                     yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
         # Cut here, lest both functions run in one stage: an executor would hold twice the Python workers.
-        likely = common.cut(pairs.join(side("a"), "a").join(side("b"), "b").where("least(na, nb) >= 0.4 * greatest(na, nb)").mapInArrow(sift, "a long, b long"))
+        likely = common.cut(pairs.join(side("a"), "a").join(side("b"), "b").where("least(na, nb) >= 0.4 * greatest(na, nb)").mapInArrow(sift, "a long, b long"), files=self.files)
         text = lambda s: self.texts.select(F.col("id").alias(s), F.col("text").alias(f"t{s}"))
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,27 +237,27 @@ def _open_pairs(rows: DataFrame, n: int) -> DataFrame:
     return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int) -> list[DataFrame]:
-    """Pairs (a, b) that are linked and connect all that is connected."""
+def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> list[DataFrame]:
+    """Pairs (a, b) that are linked and connect all that is connected. files: of each table that is cut."""
     all_bands = common.cut(banded(reps, bands, rows))
     sizes = all_bands.groupBy("key").agg(F.min("x").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = common.cut(all_bands.join(sizes.select("key", "centre"), "key"), old=[all_bands])
+    members = common.cut(all_bands.join(sizes.select("key", "centre"), "key"), old=[all_bands], files=files)
     texts = texts_of(members.select(F.col("x").alias("id")).distinct())
-    verify = _Verifier(reps, texts, n, 0.45)
+    verify = _Verifier(reps, texts, n, 0.45, files)
     star = members.where("x <> centre").select(F.col("x").alias("a"), F.col("centre").alias("b")).distinct()
-    seen = common.cut(verify(star))
+    seen = common.cut(verify(star), files=files)
     linked = seen.where("linked").select("a", "b")
     told = members.where("x <> centre").join(seen.select(F.col("a").alias("x"), F.col("b").alias("centre"), "jaccard", "linked"), ["x", "centre"], "left")
     told = told.select("key", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"))
     keys = told.groupBy("key").agg(F.count(F.when(~F.col("inside"), 1)).alias("out"), F.count(F.when(F.col("inside") | F.col("jaccard").isNotNull(), 1)).alias("near"))
     # One member outside and nobody who could meet it: nothing is open.
-    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("key"), "key"))
-    labels = common.components(linked)
+    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("key"), "key"), files=files)
+    labels = common.components(linked, files)
     rows_ = left_open.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("component"), "jaccard", "inside")
     rows_ = rows_.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x")
     rows_ = rows_.join(texts.select(F.col("id").alias("x"), "text"), "x")
-    more = common.cut(_open_pairs(rows_, n))
-    return [linked, common.cut(verify(more).where("linked").select("a", "b"))]
+    more = common.cut(_open_pairs(rows_, n), files=files)
+    return [linked, common.cut(verify(more).where("linked").select("a", "b"), files=files)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -271,21 +271,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int =
     """doc_id, n_shingles, component_id, kept of every row; documents of Jaccard similarity 0.8 or more are linked."""
     common.tune(docs.sparkSession)
     table = common.cut(sketched(docs, n, bands * rows))
+    files = common.files_for(table.count())
     full = table.where("n_shingles > 0 and doc_id is not null")
     ids = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("m"), F.count("*").alias("n"))
     if ids.where("n > 1").limit(1).count():
         full = full.join(ids.select("doc_id", "m"), "doc_id").where("d1 = m.d1 and d2 = m.d2").drop("m")
-    classes = common.cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classes = common.cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), files=files)
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    reps = common.cut(reps)
+    reps = common.cut(reps, files=files)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        ids = common.cut(ids)
+        ids = common.cut(ids, files=files)
         few = ids.count() <= BROADCAST_IDS
         return common.cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi"))
 
-    edges = _union(links(reps, texts_of, n, bands, rows))
-    labels = common.components(edges)
+    edges = _union(links(reps, texts_of, n, bands, rows, files))
+    labels = common.components(edges, files)
     named = classes.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
     joined = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
     total = cuts.count()
     shards = max(64, min(65_536, total // 20_000))  # a length that many pieces have is ranked in this many parts
     cuts = cuts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    counted = common.cut(cuts.groupBy("length", "shard").agg(F.count("*").alias("n")))
+    counted = common.cut(cuts.groupBy("length", "shard").agg(F.count("*").alias("n")), files=common.files_for(64 * shards))
     counts = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     spans = best_fit(counts, window)
     before = counted.select("length", "shard", (F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")).alias("before"))

@@ -107,11 +107,12 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: i
     """doc_id, spans (array of start, end in characters, source: the document that has its first chunk first): what repeats earlier
     text, runs of `least` characters at least."""
     common.tune(docs.sparkSession)
+    files = common.files_for(docs.count())
     # Half a digest tells what may repeat; whether it does, and where first, the whole digest tells.
-    may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"))
+    may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"), files=files)
     few = may.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
     places = _arrow(docs, "d1 long, d2 long, doc_id long, at long", _placed(mean, most))
-    hits = common.cut(places.join(F.broadcast(may) if few else may, "d1"), old=[may])
+    hits = common.cut(places.join(F.broadcast(may) if few else may, "d1"), old=[may], files=files)
     owners = hits.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("at").bitwiseAND(1)).alias("again"))
     owners = owners.where("owner <> last or again = 1").select("d1", "d2", "owner")
     gone = hits.join(owners, ["d1", "d2"]).where("doc_id <> owner or (at & 1) = 1")
@@ -149,7 +150,7 @@ def _without(text: str, spans: list[dict]) -> str:
 def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST, spans: str = "spans", removed: str = "n_removed") -> DataFrame:
     """docs with the text that stays, and two columns more: the spans that went and how many characters they held."""
     of = common.free(docs, "_span_of")
-    found = common.cut(repeated_spans(docs, mean, most, least).select(F.col("doc_id").alias(of), F.col("spans").alias(spans)))
+    found = common.cut(repeated_spans(docs, mean, most, least).select(F.col("doc_id").alias(of), F.col("spans").alias(spans)), files=common.files_for(docs.count()))
     few = _bytes(found, spans) <= 24 << 20
     joined = docs.drop(spans, removed).join(F.broadcast(found) if few else found, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
     joined = joined.withColumn("text", F.col("text").cast("string"))
