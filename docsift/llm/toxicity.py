@@ -7,7 +7,7 @@ documents, to which the words that tell toxic documents apart (learned from labe
 Score: words, and their beginnings of 4 and 5 letters, that occur in more toxic than other training documents beyond
 chance (likelihood ratio, corrected for the number of candidates) are a lexicon with log odds; a logistic regression
 over their sum, number and density gives the probability. Lexicon and regression are fitted on a bounded sample of
-labelled rows (`sample`), of which near-copies count once; the trigrams are counted over everything.
+labelled rows (`sample`), of which copies (equal sets of words, equal label) count once; the trigrams are counted over everything.
 
 Defined results: null and empty texts have no words and get the score of a text without toxic words; tokens of more than
 40 characters are left as they are; several labels of one doc_id count as their largest; without labels of both kinds
@@ -228,6 +228,20 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def learned(texts: DataFrame, marked: DataFrame, sample: int) -> DataFrame:
+    """doc_id, text, y of the rows drawn; of texts with the same set of words and the same label one stays."""
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows at most
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            sig = [xxhash.xxh3_128_digest(b" ".join(sorted(set((t or "").lower().encode("utf-8", "surrogatepass").split())))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("text"), pa.array(sig, pa.binary())], names=["doc_id", "y", "text", "sig"])
+
+    drawn = common.cut(texts.join(chosen, "doc_id").mapInArrow(signed, "doc_id long, y int, text string, sig binary"))  # `sample` documents
+    once = drawn.groupBy("sig", "y").agg(F.min("doc_id").alias("doc_id"))
+    return common.cut(drawn.join(F.broadcast(once), ["sig", "y", "doc_id"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("y").alias("y")), old=[drawn], files=common.FEWEST_FILES)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic, of the rows that may be learned from."""
     spark = docs.sparkSession
@@ -235,16 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = count_trigrams(texts)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows at most
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "text"):
-            sig = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in set((t or "").lower().encode().split())), default=0) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("text"), pa.array(sig, pa.int64())], names=["doc_id", "y", "text", "sig"])
-
-    drawn = common.cut(texts.join(chosen, "doc_id").mapInArrow(signed, "doc_id long, y int, text string, sig long"))  # `sample` documents
-    once = drawn.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    rows = common.cut(drawn.join(F.broadcast(once), ["sig", "doc_id"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("y").alias("y")), old=[drawn], files=common.FEWEST_FILES)
+    rows = learned(texts, marked, sample)
     n0, n1 = (rows.where(f"y {op} 0").count() for op in ("<=", ">"))
     if not n0 or not n1:
         return Model({}, None, n1 / (n0 + n1) if n0 + n1 else 0.0, counts)

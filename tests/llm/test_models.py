@@ -93,6 +93,16 @@ def test_toxicity_held_out(spark):
     assert ((held.toxic == 1) == (held.predicted == 1)).mean() > 0.9
 
 
+def test_toxicity_learns_from_all_but_copies(spark):
+    texts = [(i, f"the same words but number{i} and other{i % 7}") for i in range(200)]
+    texts += [(1000 + i, "One copy of this") for i in range(5)] + [(2000, "of this one COPY")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marked = spark.createDataFrame([(i, int(i % 3 == 0 or i == 1004)) for i, _ in texts], "doc_id long, y int")
+    got = {r.doc_id: r.y for r in toxicity.learned(docs, marked, 20_000).collect()}
+    ones = [i for i in range(1000, 1005) if i % 3 == 0 or i == 1004]
+    assert got == {i: int(i % 3 == 0) for i in range(200)} | {min(ones): 1, 1000: 0}
+
+
 @pytest.fixture(scope="module")
 def restorer():
     counts = np.bincount(toxicity.trigrams("the thing is another that this idiot stupid moron loser other string theory " * 50), minlength=toxicity.N**3).astype("f8")
