@@ -1,7 +1,7 @@
 """Toxicity: words hidden by leetspeak, spacing or repetition are restored first, then the text is scored.
 
 Noisy channel: a suspicious token is a lattice of the letters each character may stand for; repeated letters and separators
-may have been put in. Viterbi search finds the likeliest letters under a character trigram model, counted over all
+may have been put in, and where separators stand a word may end. Viterbi search finds the likeliest letters under a character trigram model, counted over all
 documents, to which the words that tell toxic documents apart (learned from labels) add their own trigrams.
 
 Score: words, and their beginnings of 4 and 5 letters, that occur in more toxic than other training documents beyond
@@ -9,8 +9,8 @@ chance (likelihood ratio, corrected for the number of candidates) are a lexicon
 over their sum, number and density gives the probability. Lexicon and regression are fitted on a bounded sample of
 labelled rows (`sample`), of which copies (equal sets of words, equal label) count once; the trigrams are counted over everything.
 
-Defined results: null and empty texts have no words and get the score of a text without toxic words; tokens of more than
-40 characters are left as they are; several labels of one doc_id count as their largest; without labels of both kinds
+Defined results: null and empty texts have no words and get the score of a text without toxic words; tokens of
+any length are decoded; several labels of one doc_id count as their largest; without labels of both kinds
 every score is the share of toxic labels, or 0; other columns are ignored.
 """
 
@@ -34,6 +34,7 @@ SAMPLE, LEXICON, THRESHOLD = 20_000, 20_000, 0.3
 # What characters stand for in leetspeak, and what is put between letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 BETWEEN = " .-_*·~'’,"
+ENDS = " .-_·~"  # of these, what may also part two words
 
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿœ"
 N = len(ALPHABET) + 1  # the last is any other letter
@@ -52,9 +53,32 @@ INSIDE = re.compile(
     rf"|(?:{_L}[.\-_*·~]+){{3,}}{_L}"  # s.e.p.a.r.a.t.e.d
     rf"|{_L}+[*#]+{_L}+"
 )
+# The branches of INSIDE for long tokens: the first without backtracking, the run that it reads, and the others.
+LEETED = re.compile(rf"{_S}*+{_L}(?:(?:{_L}|{_S}*+[.\-_*·~]++{_L})*+{_S}++{_L})++(?:{_S}|{_L})*+")
+RUN = re.compile(rf"{_S}*+{_L}(?:{_L}|{_S}*+[.\-_*·~]++{_L})*+{_S}*+")
+OTHERS = re.compile(rf"{_S}{{1,3}}{_L}{{2,}}+|(?:{_L}[.\-_*·~]++){{3,}}{_L}")
+CENSORED, LETTERS = re.compile(rf"{_L}++[*#]++{_L}++"), re.compile(rf"{_L}++")
 AROUND = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
+def inside(token: str) -> list[str]:
+    """Matches of INSIDE. What a failed try has read of a long token is not read again, so the time stays linear."""
+    if len(token) <= 200:
+        return [m[0] for m in INSIDE.finditer(token)]
+    out, at, plain, uncensored = [], 0, 0, 0
+    while at < len(token):
+        m = None
+        if at >= plain and not (m := LEETED.match(token, at)) and (run := RUN.match(token, at)):
+            plain = run.end()
+        m = m or OTHERS.match(token, at)
+        if not m and at >= uncensored and not (m := CENSORED.match(token, at)) and (run := LETTERS.match(token, at)):
+            uncensored = run.end()
+        if m:
+            out.append(m[0])
+        at = m.end() if m else at + 1
+    return out
+
+
 def suspicious(low: str) -> list[str]:
     """Tokens of a lower-case text that may hide a word, each once for each place it stands at."""
     tokens = low.split()
@@ -63,7 +87,7 @@ def suspicious(low: str) -> list[str]:
         if not t.isalpha():
             core = t.strip(AROUND)
             if not core.isalpha():
-                out += [m[0] for m in INSIDE.finditer(t.rstrip(".,;:?!"))] if len(t) <= 200 else []
+                out += inside(t.rstrip(".,;:?!"))
             elif len(core) < len(t) and t[0] in LEET and len(t) - len(core) <= 2:
                 out.append(t.rstrip(AROUND))  # a leading sign may be a letter
     if TRIPLE.search(low):
@@ -123,6 +147,8 @@ class Restorer:
     def restore(self, token: str) -> str:
         """The letters that most likely were meant."""
         token = token.lower()
+        if len(token) > 200:
+            return self._viterbi(token)
         if token not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
@@ -130,31 +156,41 @@ class Restorer:
         return self.known[token]
 
     def _viterbi(self, token: str) -> str:
-        if len(token) > 40 or not any(c.isalpha() for c in token):
+        if not any(c.isalpha() for c in token):
             return token
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}  # two letters and the last sign read
+        # Two letters and the last sign read, with the cost and the letters so far, linked backwards.
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for c in token:
             index = int(INDEX[ord(c)]) if ord(c) < 0x10000 else N - 1
             ways = [(c, 0.05)] if c.isalpha() else [(x, 0.7) for x in LEET.get(c, "")]
             if c in "*#":
                 ways += [(x, 2.5) for x in "aeiou"]
             skip = 0.4 if c in BETWEEN else 3.0 if not c.isalnum() else None
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+            new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (a, b, last), (cost, word) in states.items():
                 for x, extra in ways:
                     i = index if x == c else int(INDEX[ord(x)])
                     key, total = (b, i, x), cost + extra + float(self.cost[a, b, i])
                     if key not in new or total < new[key][0]:
-                        new[key] = (total, word + x)
+                        new[key] = (total, (word, x))
                 drop = 0.5 if c.isalpha() and c == last else 1.0 if last and last in LEET.get(c, "") else skip
                 if drop is not None:
                     key, total = (a, b, last), cost + drop
                     if key not in new or total < new[key][0]:
                         new[key] = (total, word)
+                if b and c in ENDS:  # a word may end here
+                    key, total = (0, 0, ""), cost + skip + float(self.cost[a, b, 0])
+                    if key not in new or total < new[key][0]:
+                        new[key] = (total, (word, " "))
             if not new:
                 return token
             states = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:48])
-        return min((cost + float(self.cost[a, b, 0]), word) for (a, b, _), (cost, word) in states.items())[1] or token
+        word = min(((cost + (float(self.cost[a, b, 0]) if b else 0.0), word) for (a, b, _), (cost, word) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while word:
+            word, x = word
+            out.append(x)
+        return "".join(reversed(out)).strip() or token
 
     def text(self, text: str) -> str:
         """The whole text with its suspicious tokens restored."""

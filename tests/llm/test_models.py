@@ -114,6 +114,32 @@ def test_restores(restorer, hidden, word):
     assert toxicity.suspicious(f"on {hidden}, there.") and word in restorer.text(f"on {hidden}, there.")
 
 
+@pytest.mark.parametrize(
+    "hidden, word",
+    [
+        (" ".join("this stupid idiot is another moron loser".replace(" ", "")), "stupid"),
+        (" ".join("this stupid idiot is another moron loser".replace(" ", "")), "loser"),
+        ("a s t u p i d", "stupid"),
+        ("s........t........u........p........i........d", "stupid"),
+        ("i.d.i........................................o.t", "idiot"),
+        ("st" + "u" * 60 + "pid", "stupid"),
+        ("/".join(["path"] * 60) + "/1d10t/end", "idiot"),
+        ("the-string-" * 30 + "$tup1d", "stupid"),
+    ],
+)
+def test_restores_tokens_of_any_length(restorer, hidden, word):
+    assert word in toxicity.counted(f"on {hidden} there.", restorer)[0]
+
+
+def test_long_tokens_are_searched_as_short_ones():
+    r = np.random.default_rng(5)
+    for _ in range(5000):
+        t = "".join(r.choice(list("abc1$.-*#/"), p=[0.2, 0.2, 0.1, 0.1, 0.1, 0.08, 0.06, 0.06, 0.06, 0.04], size=60))
+        want = [m[0] for m in toxicity.INSIDE.finditer(t)]
+        assert toxicity.inside(t + "/" * 200) == want, t
+    assert toxicity.inside("ab..cd--" * 20_000 + "1") == []
+
+
 @pytest.mark.parametrize("clean", ["The quick, brown fox - it's 42.", "a!! b&&& of%%% them***", "192.168.0.1", "", "3.14 + 2"])
 def test_leaves_clean_text_alone(restorer, clean):
     assert restorer.text(clean) == clean
