@@ -80,6 +80,26 @@ def test_recall(spark):
     assert got.query_id.nunique() == 150 and hit / 1500 > 0.95
 
 
+def near_copies(noise):
+    """3000 vectors, a third of them near copies of one, and an outlier."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(3000, 16))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    v[::3] = v[0] + noise * r.normal(size=(1000, 16))
+    v[1] *= 1000
+    return v
+
+
+@pytest.mark.parametrize("noise, kind", [(1e-5, "float"), (1e-9, "double")])
+def test_recall_of_near_copies(spark, noise, kind):
+    v = near_copies(noise)
+    v = v.astype("f4").astype("f8") if kind == "float" else v
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, embedding array<{kind}>").repartition(5)
+    got = neighbours.nearest(table, lambda i: i % 20 == 0).toPandas()
+    hit = [len({i for i, _ in brute(np.arange(3000), v, q, 10)} & set(g.vec_id)) for q, g in got.groupby("query_id")]
+    assert len(hit) == 150 and sum(hit) / 1500 > 0.95, sum(hit) / 1500
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (10, [3.0, 0.0]), (10, [3.0, 0.0]), (None, [1.0, 1.0]), (11, [float("inf"), 0.0])]
