@@ -233,7 +233,7 @@ def near_dup_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.operators import joins
 
     (part,) = _read(spark, sf_dir, "part")
-    items = part.where("p_partkey % 20 = 0 or p_size = 7").select(F.col("p_partkey").alias("id"), F.concat(F.lit("need "), "p_name", F.lit(" size "), "p_size", F.lit(" of "), "p_brand", F.lit(" type "), "p_type").alias("text"))
+    items = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("need "), "p_name", F.lit(" size "), "p_size", F.lit(" of "), "p_brand", F.lit(" type "), "p_type").alias("text"))
     pairs = joins.jaccard_pairs(items.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("s")), 0.7)
     text = lambda s: items.select(F.col("id").alias(s), F.lower("text").alias(f"t{s}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").withColumn("ratio", joins.sequence_ratio("ta", "tb")).where("ratio >= 0.94").select("a", "b", "jaccard", F.round("ratio", 6).alias("ratio"))

@@ -124,3 +124,21 @@ def test_search_and_requests(spark):
         with pytest.raises(ValueError):
             api.search(docs, spark.createDataFrame([(0, text)], "query_id long, text string"), limit)
     assert api.analyze(docs).where("doc_id = 2").first().facts[0].value == "20 mm"
+
+
+def test_near_dup_seq_finds_pairs_of_the_whole_table(spark, sf):
+    import re
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    import duckdb
+
+    from docsift.plans import registry
+
+    part = duckdb.sql(f"SELECT p_partkey, 'need ' || p_name || ' size ' || p_size || ' of ' || p_brand || ' type ' || p_type AS q FROM '{sf}/part.parquet'").fetchall()
+    grams = {i: set(re.findall("[a-z0-9]+", q.lower())) for i, q in part}
+    text = {i: q.lower() for i, q in part}
+    near = {(a, b) for a, b in combinations(sorted(grams), 2) if len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b])}
+    want = {(a, b) for a, b in near if SequenceMatcher(None, text[a], text[b], autojunk=False).ratio() >= 0.94}
+    got = {(r.a, r.b) for r in registry.queries()["near_dup_seq"](spark, sf).collect()}
+    assert got == want and any(a % 20 and b % 20 for a, b in got)
