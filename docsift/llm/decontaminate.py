@@ -8,8 +8,8 @@ Normalised text: lower case, each run of characters that are neither letters nor
 in blocks of bounded size, each broadcast by itself, so the benchmark may grow too.
 
 Defined results: null or empty documents and items match nothing; items of fewer than `shortest` normalised characters
-take no part (they say too little to give anything away); repeated items and rows are matched one by one; items of one
-id are told by their best match; empty tables give an empty result; more columns are ignored.
+match exactly and as whole words alone, those without letters or digits nothing; repeated items and rows are matched one
+by one; items of one id are told by their best match; empty tables give an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,10 +93,11 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The items of one block, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, shortest: int = SHORTEST):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, rate), masks(t), masks(t[::-1])) for i, t in items]
+        self.shortest = shortest
+        self.items = [(i, t, budget(t, rate) if len(t) >= shortest else 0, masks(t), masks(t[::-1])) for i, t in items]
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _, _) in enumerate(self.items):
             for offset, piece in pieces(t, k):
@@ -112,9 +113,15 @@ class Matcher:
             return []
         norm, shifts = normalise(text)
         windows: dict[int, list[list[int]]] = {}
+        best: dict[int, tuple[int, int, int]] = {}
         for last, (size, where) in self.automaton.iter(norm):
             for n, offset in where:
                 _, item, k, _, _ = self.items[n]
+                if len(item) < self.shortest:  # one piece, the whole item
+                    begin, end = last + 1 - size, last + 1
+                    if (begin == 0 or norm[begin - 1] == " ") and (end == len(norm) or norm[end] == " "):
+                        best.setdefault(self.items[n][0], (0, begin, end))
+                    continue
                 begin = last + 1 - size - offset - k
                 found = windows.setdefault(n, [])
                 end = begin + len(item) + 2 * k
@@ -122,7 +129,6 @@ class Matcher:
                     found[-1][1] = max(found[-1][1], end)
                 else:
                     found.append([begin, end])
-        best: dict[int, tuple[int, int, int]] = {}
         for n, found in windows.items():
             key, item, k, peq, rev = self.items[n]
             for begin, end in found:
@@ -142,16 +148,16 @@ def _original(shifts: list[tuple[int, int]], at: int) -> int:
 
 
 @lru_cache(maxsize=1)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+def _matcher(items: tuple[tuple[int, str], ...], rate: float, shortest: int) -> Matcher:
+    return Matcher(list(items), rate, shortest)
 
 
-def blocks(benchmark: DataFrame, shortest: int, chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
+def blocks(benchmark: DataFrame, chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
     """Normalised items, a bounded number at a time."""
     block, size = [], 0
     for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         item = normalise(row.t)[0].strip()
-        if len(item) < shortest:
+        if not item:
             continue
         if block and size + len(item) > chars:
             yield tuple(block)
@@ -170,11 +176,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     names = ["doc_id", "item_id", "distance", "start", "end"]
     out = None
-    for block in blocks(benchmark, shortest, block_chars):
+    for block in blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # block_chars at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, rate)
+            matcher = _matcher(shared.value, rate, shortest)
             for b in common.slices(batches, "text"):
                 rows = [(doc, *m) for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for m in matcher.search(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)

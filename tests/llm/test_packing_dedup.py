@@ -229,6 +229,14 @@ def test_normalised_places(text):
             assert 0 <= o < len(text) and text[o].lower()[:1] == c[:1]
 
 
+def test_short_items_match_exactly_and_as_words(spark):
+    items = [(1, "What is the capital of Peru?"), (2, "art"), (3, " .. "), (4, "")]
+    rows = [(1, "Q: what is  the capital of PERU"), (2, "What is the capital of Perus?"), (3, "What is the capitol of Peru?"), (4, "An art."), (5, "Party, artful."), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((m.doc_id, m.item_id, m.distance, m.start, m.end) for m in decontaminate.matches(frame(spark, rows), bench).collect())
+    assert got == [(1, 1, 0, 3, 31), (4, 2, 0, 3, 6)]
+
+
 def test_matches_equal_brute_force(spark):
     r = random.Random(11)
     items = [(i, " ".join(words(i + 70, 14))) for i in range(6)] + [(90, "too short"), (91, None), (None, "x" * 50)]
