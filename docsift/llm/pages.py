@@ -1,10 +1,10 @@
-"""Main text of web pages: a template deduced from the pages of a host, and the slots that remain.
+"""Main text of web pages: blocks that most pages of a host share are its template, and what remains are the slots.
 
-A page is a sequence of blocks; the token of a block is its tag path with its text. Tokens of one host that occur equally
-often on every page share an occurrence vector; such an equivalence class is told by a sum of hashes over (page, count),
-so it is found by a plain sum for each token, whatever the number of pages. A class that occurs once or more on at
-least half of the host's pages (and on `PAGES` of them) is template text: classes nest in one another as their blocks' tag paths do,
-and what their tokens leave open are the slots. Of the slots, those inside elements that hold no article text (menus,
+A page is a sequence of blocks; the token of a block is its tag path with its text. A token that occurs on at least half
+of the host's pages (and on `PAGES` of them) is template text. Tokens of one host are grouped by occurrence vector (a sum
+of hashes over (page, count)), but since a vector fixes the number of pages this is a filter by page frequency: classes
+are neither checked for order nor nested. Hence a block with one varying word, a template of under half of a host's pages
+and that of hosts of fewer than `PAGES` pages are not found. Of the slots, those inside elements that hold no article text (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) go by the element's name, role, class or id; hosts of one
 page have no template and are told by those alone. If a page has an article or main element outside of such elements,
 only the slots inside it are its text.
@@ -176,7 +176,7 @@ def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
     counted = seen.groupBy("h", "token").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")).where((F.col("pages") >= least) | (F.col("token") == 0))
     counted = common.cut(counted)
     size = counted.where("token = 0").select("h", F.col("pages").alias("all"))
-    # Tokens of one occurrence vector are one class, and are taken or left together.
+    # Tokens of one occurrence vector are on equally many pages, so this is a filter by page frequency.
     classes = counted.where("token <> 0").groupBy("h", "vector").agg(F.max("pages").alias("pages"), F.collect_set("token").alias("tokens"))  # tokens on one page, at most
     return classes.join(size, "h").where((F.col("pages") >= F.col("all") * share) & (F.col("pages") >= least)).select("h", F.explode("tokens").alias("token"))
 
