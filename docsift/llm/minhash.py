@@ -4,16 +4,18 @@ A register is the truncated, exponentially spaced minimum floor(1 - log_b x) of
 shingle sends a Poisson stream of points to random registers, so that registers are independent and a document costs its
 shingles and some m log m points, not shingles times registers.
 
-No group meets in one task and no group is paired with itself: copies of one shingle set are first one class; a bucket
-of equal bands is compared with its smallest member alone (a star). Jaccard distance is a metric, so what a star leaves
-open can be told from the distances found: members that are near the centre are linked through it; a member further
-than twice the bound from the centre has no partner among those; what lies between is compared with those members only
-that the triangle inequality allows and that no chain of links joins already. Members outside the ball are compared with
-each other; both in blocks, by their registers and then their hashed sets, and the links are confirmed on the texts. A pair at the threshold shares no band with probability (1 - 0.8 ** rows) ** bands, about 1e-7.
-
-Defined results: null text or one without words has an empty set and links with nothing; of rows that share a doc_id but
-not the set, one is compared, and the others are linked with their exact copies alone; a null doc_id links with nothing,
-has no component and is kept; an empty table gives an empty result; more columns are ignored.
+No group meets in one task and no group is paired with itself: copies of one shingle set are first one class; members of
+equal bands form a group under the smallest of them, which all others are compared with (a star). Groups whose members are
+then in several components elect another centre, the member that agrees best with the commonest registers, as long as that
+finds links. Jaccard distance is a metric, so what stars leave open can be told from the distances found: a member further
+than twice the bound from the first centre has no partner among those near it. The rest, members of different components
+alone, meet in blocks, by their registers and then their hashed sets. A pair at the threshold shares no band with
+probability (1 - 0.8 ** rows) ** bands, about 1e-7.
+
+Defined results: null text or one without words has an empty set and links with nothing; rows that share a doc_id are one
+document, linked through each of its sets; very long texts are sketched whole, one at a time; a null doc_id links with
+nothing, has no component and is kept; ties go to the smaller doc_id; an empty table gives an empty result; more columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +37,8 @@ BANDS, ROWS, BASE, RATE = 40, 5, 1.02, 20.0
 BROADCAST_IDS = 500_000
 #: Rows of the blocks in which members that a star left open are compared.
 BLOCK_LEFT, BLOCK_RIGHT, BLOCK_SHINGLES = 256, 4096, 2_000_000
+#: Members whose registers tell the commonest values of a group, and groups whose values are broadcast (400 bytes each).
+MODEL, BROADCAST_MODES = 64, 20_000
 #: Share of equal registers from which a pair is confirmed by its sets: over four standard errors below 0.8.
 LIKELY = 0.68
 
@@ -69,6 +73,11 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def digest(hashes: np.ndarray) -> tuple[int, int, int]:
+    """128 bits and the size of a set of hashes."""
+    return int(mix(hashes).sum(dtype=U)), int(mix(hashes ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)), len(hashes)
+
+
 def sketch(hashes: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
     """n x m registers of n sets; owner: the set of each hash. Sets without members get zeros."""
     low = np.full(n * m, np.inf)
@@ -114,7 +123,7 @@ def sketched(docs: DataFrame, n: int, m: int) -> DataFrame:
             sets, known, of = [], {}, []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, n)
-                key = (int(mix(h).sum(dtype=U)), int(mix(h ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U)), len(h))
+                key = digest(h)
                 if key not in known:
                     known[key] = len(sets)
                     sets.append(h)
@@ -186,85 +195,152 @@ class _Verifier:
         return full.mapInArrow(confirm, "a long, b long, jaccard double, linked boolean")
 
 
-def _open_pairs(rows: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that its star leaves open, whose registers make a link likely and whose hashed sets have one.
-
-    rows: key, x, component, jaccard (with the centre; null if far), inside (linked with the centre), n, registers, text. Each
-    member outside the ball meets the rest of its bucket in blocks of bounded size; all is compared where the rows are, so
-    that hardly a pair but the links leaves the task.
-    """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(~F.col("inside"), 1)).alias("out"), F.max(F.when(~F.col("inside"), F.col("jaccard"))).alias("nearest"), F.sum("n").alias("mass"))
-    # Inside the ball only those matter that the triangle inequality lets meet the nearest member outside.
-    rows = rows.join(sizes, "key").where("not inside or jaccard <= nearest + 0.2 + 1e-9")
-    parts = lambda count, rows_: F.ceil(F.greatest(F.col(count) / rows_, F.col("mass") / BLOCK_SHINGLES)).cast("int")
-    lefts, rights = parts("out", BLOCK_LEFT), parts("all", BLOCK_RIGHT)
-    spread = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), n).cast("int")
-    columns = ["key", "x", "component", "jaccard", "inside", "n", "registers", "text"]
-    left = rows.where(~F.col("inside")).select(*columns, F.lit(True).alias("left"), spread(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
-    right = rows.select(*columns, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), spread(rights, 2).alias("j"))
+def _compare_block(n: int):
+    """Links of one block that join two of its components; n: words of a shingle."""
 
     def compare(block: pa.Table) -> pa.Table:
-        column = lambda t, c: t.column(c).combine_chunks()
         is_left = pc.fill_null(block.column("left"), False)
         l, r = block.filter(is_left), block.filter(pc.invert(is_left))
-        out_a, out_b = [], []
+        out: list[tuple[int, int]] = []
         if l.num_rows and r.num_rows:
-            number = lambda t, c: column(t, c).to_numpy(zero_copy_only=False)
+            number = lambda c: r.column(c).combine_chunks().to_numpy(zero_copy_only=False)
             rr = np.frombuffer(b"".join(r.column("registers").to_pylist()), "u2").reshape(r.num_rows, -1)
-            rx, rc, rn, rj, rin = number(r, "x"), number(r, "component"), number(r, "n"), number(r, "jaccard").astype("f8"), number(r, "inside").astype(bool)
+            rx, rc, rn, rj, rin = number("x"), number("component").copy(), number("n"), number("jaccard").astype("f8"), number("inside").astype(bool)
             texts, sets = r.column("text"), {}
-            for x, c, m, j, reg, text in zip(*(l.column(c).to_pylist() for c in ("x", "component", "n", "jaccard", "registers", "text")), strict=True):
+            into: dict[int, int] = {}  # components that this block has joined
+
+            def now(c: int) -> int:
+                while c in into:
+                    c = into[c]
+                return c
+
+            for x, c, m, j, reg, text in zip(*(l.column(k).to_pylist() for k in ("x", "component", "n", "jaccard", "registers", "text")), strict=True):
+                c = now(c)
                 may = (rc != c) & (np.minimum(rn, m) >= 0.8 * np.maximum(rn, m) - 1e-9) & np.where(rin, (j is not None) & (rj <= (j or 0) + 0.2 + 1e-9), rx < x)
                 at = np.flatnonzero(may)
-                if len(at):
-                    mine = np.broadcast_to(np.frombuffer(reg, "u2"), (len(at), rr.shape[1]))
-                    at = at[(rr[at] == mine).mean(1) >= LIKELY]
-                if len(at):
-                    own = shingle_hashes(text, n)
-                    for i in at.tolist():
-                        if i not in sets:
-                            sets[i] = shingle_hashes(texts[i].as_py(), n)
-                    owner = np.repeat(np.arange(len(at)), [len(sets[i]) for i in at.tolist()])
-                    flat = np.concatenate([sets[i] for i in at.tolist()])
-                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                    both = np.bincount(owner[hit], minlength=len(at))
-                    at = at[100 * both >= 80 * (m + rn[at] - both)]
-                    out_a.append(np.full(len(at), x))
-                    out_b.append(rx[at])
-        join = lambda v: pa.array(np.concatenate(v) if v else np.empty(0), pa.int64())
-        return pa.table({"a": join(out_a), "b": join(out_b)})
-
-    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> list[DataFrame]:
-    """Pairs (a, b) that are linked and connect all that is connected. files: of each table that is cut."""
+                at = at[(rr[at] == np.frombuffer(reg, "u2")).mean(1) >= LIKELY] if len(at) else at
+                own = shingle_hashes(text, n) if len(at) else None
+                for i in at.tolist():
+                    if rc[i] == c:
+                        continue  # joined by a link found meanwhile
+                    if i not in sets:
+                        sets[i] = shingle_hashes(texts[i].as_py(), n)
+                    both = int((own[np.minimum(np.searchsorted(own, sets[i]), len(own) - 1)] == sets[i]).sum())
+                    if 100 * both >= 80 * (m + int(rn[i]) - both):
+                        out.append((x, int(rx[i])))
+                        into[c] = joined = int(rc[i])
+                        rc[rc == c] = joined
+                        c = joined
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return compare
+
+
+def _join_blocks(rows: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) between the components of a group that its stars leave open, enough of them to connect what is connected.
+
+    rows: g, x, component, jaccard (with the first centre; null if far), inside (linked with it), n, registers, text. Each
+    member outside the first centre's ball meets the members of other components in blocks of bounded size: sizes, the
+    triangle inequality and equal registers sift, hashed sets confirm, and of a block's links only those leave the task that
+    join two components there.
+    """
+    sizes = rows.groupBy("g").agg(F.count("*").alias("all"), F.count(F.when(~F.col("inside"), 1)).alias("out"), F.max(F.when(~F.col("inside"), F.col("jaccard"))).alias("nearest"), F.sum("n").alias("mass"))
+    # Inside the ball only those matter that the triangle inequality lets meet the nearest member outside.
+    rows = rows.join(sizes, "g").where("not inside or jaccard <= nearest + 0.2 + 1e-9")
+    parts = lambda count, rows_: F.ceil(F.greatest(F.col(count) / rows_, F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    lefts, rights = parts("out", BLOCK_LEFT), parts("all", BLOCK_RIGHT)
+    spread = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), n).cast("int")
+    columns = ["g", "x", "component", "jaccard", "inside", "n", "registers", "text"]
+    left = rows.where(~F.col("inside")).select(*columns, F.lit(True).alias("left"), spread(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
+    right = rows.select(*columns, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), spread(rights, 2).alias("j"))
+    return left.unionByName(right).groupBy("g", "i", "j").applyInArrow(_compare_block(n), "a long, b long").distinct()
+
+
+def _centres(rows: DataFrame, reps: DataFrame, files: int) -> DataFrame:
+    """g, c: the member of each group whose registers agree best with the commonest ones of the group.
+
+    Whoever is near most members of a group (what the others were copied from) agrees best, so its star reaches furthest.
+    The commonest values are read off the MODEL members of smallest hash; every member is held against them. Which member is
+    the centre decides how much work is left, not what is found.
+    """
+    registers = reps.select(F.col("doc_id").alias("x"), "registers")
+    first = rows.select("g", "x").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("x"), "x"))).where(F.col("r") <= MODEL).drop("r")
+
+    def common_values(group: pa.Table) -> pa.Table:
+        reg = np.sort(np.frombuffer(b"".join(group.column("registers").to_pylist()), "u2").reshape(group.num_rows, -1), axis=0)
+        run, best, mode = np.ones(reg.shape[1], int), np.ones(reg.shape[1], int), reg[0].copy()
+        for one, two in zip(reg, reg[1:], strict=False):
+            run = np.where(one == two, run + 1, 1)
+            mode, best = np.where(run > best, two, mode), np.maximum(run, best)
+        return pa.table({"g": group.column("g")[:1], "mode": pa.array([mode.astype("u2").tobytes()], pa.binary())})
+
+    modes = common.cut(first.join(registers, "x").groupBy("g").applyInArrow(common_values, "g long, mode binary"), files=files)  # MODEL rows a group
+    few = modes.limit(BROADCAST_MODES + 1).count() <= BROADCAST_MODES
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u2").reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 1)) for c in ("registers", "mode"))
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("x"), pa.array((one == two).sum(1), pa.int64())], names=["g", "x", "agree"])
+
+    held = rows.select("g", "x").join(registers, "x").join(F.broadcast(modes) if few else modes, "g").select("g", "x", "registers", "mode")
+    best = held.mapInArrow(agree, "g long, x long, agree long").groupBy("g").agg(F.max(F.struct("agree", (-F.col("x")).alias("x"))).alias("m"))
+    return common.cut(best.select("g", (-F.col("m.x")).alias("c")), old=[modes], files=files)
+
+
+def _open(rows: DataFrame, edges: DataFrame, files: int, old: list[DataFrame]) -> DataFrame:
+    """rows (g, x, jaccard, inside) of groups whose members are in several components, and the component of each."""
+    labels = common.components(edges, files)
+    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("g", "x", "jaccard", "inside", F.coalesce("component_id", "x").alias("component")), old=[labels], files=files)
+    several = rows.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("g")
+    return common.cut(rows.join(several, "g"), old=[rows, *old], files=files)
+
+
+def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> DataFrame:
+    """Pairs (a, b) that are linked and connect all that is connected. files: of each table that is cut.
+
+    Members of a group share a band with its centre. First each member is compared with the centre (a star). Then, as long as
+    that finds links, groups that are in several components yet elect another centre, and members of other components
+    than its own are compared with it. What is still in several components is compared in blocks.
+    """
     all_bands = common.cut(banded(reps, bands, rows))
-    sizes = all_bands.groupBy("key").agg(F.min("x").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = common.cut(all_bands.join(sizes.select("key", "centre"), "key"), old=[all_bands], files=files)
+    sizes = all_bands.groupBy("key").agg(F.min("x").alias("g"), F.count("*").alias("n")).where("n > 1")
+    members = common.cut(all_bands.join(sizes.select("key", "g"), "key").select("g", "x").distinct(), old=[all_bands], files=files)
     texts = texts_of(members.select(F.col("x").alias("id")).distinct())
     verify = _Verifier(reps, texts, n, 0.45, files)
-    star = members.where("x <> centre").select(F.col("x").alias("a"), F.col("centre").alias("b")).distinct()
-    seen = common.cut(verify(star), files=files)
-    linked = seen.where("linked").select("a", "b")
-    told = members.where("x <> centre").join(seen.select(F.col("a").alias("x"), F.col("b").alias("centre"), "jaccard", "linked"), ["x", "centre"], "left")
-    told = told.select("key", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"))
-    keys = told.groupBy("key").agg(F.count(F.when(~F.col("inside"), 1)).alias("out"), F.count(F.when(F.col("inside") | F.col("jaccard").isNotNull(), 1)).alias("near"))
+    seen = common.cut(verify(members.where("x <> g").select(F.col("x").alias("a"), F.col("g").alias("b"))), files=files)
+    edges = common.cut(seen.where("linked").select("a", "b"), files=files)
+    told = members.where("x <> g").join(seen.select(F.col("a").alias("x"), F.col("b").alias("g"), "jaccard", "linked"), ["x", "g"], "left")
+    told = told.select("g", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"))
+    keys = told.groupBy("g").agg(F.count(F.when(~F.col("inside"), 1)).alias("out"), F.count(F.when(F.col("inside") | F.col("jaccard").isNotNull(), 1)).alias("near"))
     # One member outside and nobody who could meet it: nothing is open.
-    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("key"), "key"), files=files)
-    labels = common.components(linked, files)
-    rows_ = left_open.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("component"), "jaccard", "inside")
-    rows_ = rows_.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x")
-    rows_ = rows_.join(texts.select(F.col("id").alias("x"), "text"), "x")
-    more = common.cut(_open_pairs(rows_, n), files=files)
-    return [linked, common.cut(verify(more).where("linked").select("a", "b"), files=files)]
+    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("g"), "g"), old=[seen, members], files=files)
+    left_open = _open(left_open, edges, files, [left_open])
+    while left_open.limit(1).count():
+        centres = _centres(left_open, reps, files)
+        own = left_open.join(centres, (left_open["x"] == centres["c"]) & (left_open["g"] == centres["g"])).select(left_open["g"], "c", F.col("component").alias("own"))
+        star = common.cut(left_open.join(own, "g").where("component <> own").select(F.col("x").alias("a"), F.col("c").alias("b")).distinct(), files=files)
+        more = common.cut(verify(star).where("linked").select("a", "b"), old=[star], files=files)
+        found = more.limit(1).count()
+        if found:
+            edges = common.cut(edges.union(more), old=[edges], files=files)
+        # A centre has met every member of its group's other components, so it is done there.
+        rest = left_open.drop("component").join(centres.select("g", F.col("c").alias("x")), ["g", "x"], "left_anti")
+        left_open = _open(rest, edges, files, [left_open, centres, more])
+        if not found:
+            break
+    full = left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x").join(texts.select(F.col("id").alias("x"), "text"), "x")
+    return common.cut(edges.union(_join_blocks(full, n)), old=[edges, left_open, texts], files=files)
+
+
+def _with_digests(texts: DataFrame, n: int) -> DataFrame:
+    """id, text, d1, d2 of texts (id, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            keys = [digest(shingle_hashes(t, n)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), *(pa.array(np.array([k[i] for k in keys], U).view("i8")) for i in (0, 1))], names=["id", "text", "d1", "d2"])
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return texts.mapInArrow(run, "id long, text string, d1 long, d2 long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -273,22 +349,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int =
     table = common.cut(sketched(docs, n, bands * rows))
     files = common.files_for(table.count())
     full = table.where("n_shingles > 0 and doc_id is not null")
-    ids = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("m"), F.count("*").alias("n"))
-    if ids.where("n > 1").limit(1).count():
-        full = full.join(ids.select("doc_id", "m"), "doc_id").where("d1 = m.d1 and d2 = m.d2").drop("m")
-    classes = common.cut(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), files=files)
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    ids = full.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2")).alias("least"), F.max(F.struct("d1", "d2")).alias("most"))
+    repeats = ids.agg(F.max("n").alias("n"), F.max((F.col("least") != F.col("most")).cast("int")).alias("several")).first()
+    repeated, several = (repeats.n or 0) > 1, bool(repeats.several)
+    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    if several:
+        # A class is a node under its smallest doc_id; of classes with one smallest doc_id all but one get a node of their own.
+        first = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("m"))
+        own = F.xxhash64("d1", "d2").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        classes = classes.join(first, "rep").withColumn("node", F.when((F.col("d1") == F.col("m.d1")) & (F.col("d2") == F.col("m.d2")), F.col("rep")).otherwise(own)).drop("m")
+    else:
+        classes = classes.withColumn("node", F.col("rep"))
+    classes = common.cut(classes, files=files)
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "node"), ["doc_id", "d1", "d2"]).groupBy(F.col("node").alias("doc_id")).agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     reps = common.cut(reps, files=files)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = common.cut(ids, files=files)
         few = ids.count() <= BROADCAST_IDS
-        return common.cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi"))
-
-    edges = _union(links(reps, texts_of, n, bands, rows, files))
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        if several:
+            wanted = ids.join(classes.select(F.col("node").alias("id"), "rep", "d1", "d2"), "id").select(F.col("id").alias("node"), F.col("rep").alias("id"), "d1", "d2")
+            texts = texts.join(F.broadcast(wanted.select("id").distinct()) if few else wanted.select("id").distinct(), "id", "left_semi")
+            texts = _with_digests(texts, n).join(F.broadcast(wanted) if few else wanted, ["id", "d1", "d2"]).select(F.col("node").alias("id"), "text")
+        else:
+            texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        return common.cut(texts.groupBy("id").agg(F.first("text").alias("text")) if repeated else texts, old=[ids])
+
+    edges = links(reps, texts_of, n, bands, rows, files)
+    if several:  # the sets of one doc_id are one document's
+        of = full.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "node")
+        least = of.groupBy("doc_id").agg(F.min("node").alias("a"))
+        edges = common.cut(edges.union(of.join(least, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()), old=[edges], files=files)
     labels = common.components(edges, files)
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    joined = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
+    named = classes.join(labels.select(F.col("id").alias("node"), "component_id"), "node", "left").select("d1", "d2", "rep", F.coalesce("component_id", "node").alias("component_id"))
+    if several:  # under its smallest doc_id, not its smallest node
+        named = named.join(named.groupBy("component_id").agg(F.min("rep").alias("least")), "component_id").withColumn("component_id", F.col("least"))
+    joined = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named.select("d1", "d2", "component_id"), ["d1", "d2"], "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", at.alias("component_id"), F.col("doc_id").eqNullSafe(at).alias("kept"))
 

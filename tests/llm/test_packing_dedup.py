@@ -137,9 +137,44 @@ def test_near_duplicates_odd_rows(spark):
     assert len(got) == len(rows)
     assert {(r.component_id, r.kept) for r in got if r.doc_id is None} == {(None, True)}
     assert {(r.component_id, r.kept) for r in got if r.doc_id in (1, 2)} == {(1, True), (1, False)}
+    assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
+    long = words(8, 40)
+    near = " ".join([*long[:-1], "end"])
+    rows = [(7, "x y z w"), (7, " ".join(long)), (8, "p q r s"), (9, near), (9, "k l m n"), (10, "K L M N"), (11, "p q r s t"), (12, " ".join(words(5, 60_000))), (12, " ".join(words(5, 60_000)))]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {(7, 7), (8, 8), (9, 7), (10, 7), (11, 11), (12, 12)}
     assert minhash.near_duplicates(frame(spark, []), 2).count() == 0
 
 
+def test_hot_group_stays_linear(spark, monkeypatch):
+    """Thousands of near copies of one text, which all copies are near and hardly two of them: rows stay in proportion."""
+    r, base = random.Random(4), words(77, 60)
+
+    def copy():
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(len(w))] = "e%d" % r.randrange(10**6)
+        return " ".join(w)
+
+    made, plain = [], minhash.common.cut
+
+    def counted(df, *a, **k):
+        back = plain(df, *a, **k)
+        made.append(back.count())
+        return back
+
+    monkeypatch.setattr(minhash.common, "cut", counted)
+    most = []
+    for size in (500, 2000):
+        made.clear()
+        rows = [(i, copy()) for i in range(size)] + [(size, " ".join(base))] + [(size + 1 + i, " ".join(words(i, 30))) for i in range(50)]
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, rows), 5).collect()}
+        if size == 500:
+            assert got == {i: c for i, (_, c) in brute_components(rows, 5).items()}
+        most.append(max(n for n in made))
+    assert most[1] < 6 * most[0], most
+
+
 def test_sketch_is_the_set_alone_and_estimates():
     r = np.random.default_rng(5)
     a, b = r.integers(0, 2**63, 900).astype("u8"), r.integers(0, 2**63, 100).astype("u8")
