@@ -29,9 +29,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (local tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset and the master is local (tests), a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_docsift_dir", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="docsift-")
@@ -106,8 +108,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             yield batch.slice(begin)
 
 
-def components(edges: DataFrame, files: int = FEWEST_FILES, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of each vertex: columns id, component_id.
+def components(edges: DataFrame, files: int = FEWEST_FILES, max_rounds: int = 60, old: Iterable[DataFrame] = ()) -> DataFrame:
+    """Smallest reachable id of each vertex: columns id, component_id. old: as for cut().
 
     edges: columns a, b (long). Labels travel along edges and jump to their label's label, so the rounds grow with the
     logarithm of a component's width. Hot vertices are met by partial aggregation and by adaptive skew joins.
@@ -129,5 +131,5 @@ def components(edges: DataFrame, files: int = FEWEST_FILES, max_rounds: int = 60
             break
     else:
         raise RuntimeError("components did not settle")
-    drop(both)
+    drop(both, *old)
     return labels

@@ -287,16 +287,15 @@ def _centres(rows: DataFrame, reps: DataFrame, files: int) -> DataFrame:
     return common.cut(best.select("g", (-F.col("m.x")).alias("c")), old=[modes], files=files)
 
 
-def _open(rows: DataFrame, edges: DataFrame, files: int, old: list[DataFrame]) -> DataFrame:
+def _open(rows: DataFrame, labels: DataFrame, files: int, old: list[DataFrame]) -> DataFrame:
     """rows (g, x, jaccard, inside) of groups whose members are in several components, and the component of each."""
-    labels = common.components(edges, files)
-    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("g", "x", "jaccard", "inside", F.coalesce("component_id", "x").alias("component")), old=[labels], files=files)
+    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("g", "x", "jaccard", "inside", F.coalesce("component_id", "x").alias("component")), files=files)
     several = rows.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("g")
     return common.cut(rows.join(several, "g"), old=[rows, *old], files=files)
 
 
-def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> DataFrame:
-    """Pairs (a, b) that are linked and connect all that is connected. files: of each table that is cut.
+def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that are linked and connect all that is connected, and their components. files: of each table that is cut.
 
     Members of a group share a band with its centre. First each member is compared with the centre (a star). Then, as long as
     that finds links, groups that are in several components yet elect another centre, and members of other components
@@ -314,7 +313,8 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
     keys = told.groupBy("g").agg(F.count(F.when(~F.col("inside"), 1)).alias("out"), F.count(F.when(F.col("inside") | F.col("jaccard").isNotNull(), 1)).alias("near"))
     # One member outside and nobody who could meet it: nothing is open.
     left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("g"), "g"), old=[seen, members], files=files)
-    left_open = _open(left_open, edges, files, [left_open])
+    labels = common.components(edges, files)
+    left_open = _open(left_open, labels, files, [left_open])
     while left_open.limit(1).count():
         centres = _centres(left_open, reps, files)
         own = left_open.join(centres, (left_open["x"] == centres["c"]) & (left_open["g"] == centres["g"])).select(left_open["g"], "c", F.col("component").alias("own"))
@@ -322,14 +322,21 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
         more = common.cut(verify(star).where("linked").select("a", "b"), old=[star], files=files)
         found = more.limit(1).count()
         if found:
-            edges = common.cut(edges.union(more), old=[edges], files=files)
+            edges = common.cut(edges.union(more), old=[edges, more], files=files)
+            labels = common.components(edges, files, old=[labels])
         # A centre has met every member of its group's other components, so it is done there.
         rest = left_open.drop("component").join(centres.select("g", F.col("c").alias("x")), ["g", "x"], "left_anti")
-        left_open = _open(rest, edges, files, [left_open, centres, more])
+        left_open = _open(rest, labels, files, [left_open, centres])
         if not found:
             break
-    full = left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x").join(texts.select(F.col("id").alias("x"), "text"), "x")
-    return common.cut(edges.union(_join_blocks(full, n)), old=[edges, left_open, texts], files=files)
+    if left_open.limit(1).count():
+        full = left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x").join(texts.select(F.col("id").alias("x"), "text"), "x")
+        last = common.cut(_join_blocks(full, n), files=files)
+        if last.limit(1).count():
+            edges = common.cut(edges.union(last), old=[edges, last], files=files)
+            labels = common.components(edges, files, old=[labels])
+    common.drop(left_open, texts)
+    return edges, labels
 
 
 def _with_digests(texts: DataFrame, n: int) -> DataFrame:
@@ -376,12 +383,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, bands: int = BANDS, rows: int =
             texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
         return common.cut(texts.groupBy("id").agg(F.first("text").alias("text")) if repeated else texts, old=[ids])
 
-    edges = links(reps, texts_of, n, bands, rows, files)
+    edges, labels = links(reps, texts_of, n, bands, rows, files)
     if several:  # the sets of one doc_id are one document's
         of = full.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "node")
         least = of.groupBy("doc_id").agg(F.min("node").alias("a"))
         edges = common.cut(edges.union(of.join(least, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()), old=[edges], files=files)
-    labels = common.components(edges, files)
+        labels = common.components(edges, files, old=[labels])
     named = classes.join(labels.select(F.col("id").alias("node"), "component_id"), "node", "left").select("d1", "d2", "rep", F.coalesce("component_id", "node").alias("component_id"))
     if several:  # under its smallest doc_id, not its smallest node
         named = named.join(named.groupBy("component_id").agg(F.min("rep").alias("least")), "component_id").withColumn("component_id", F.col("least"))

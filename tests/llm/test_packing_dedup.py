@@ -64,10 +64,13 @@ def test_best_fit_is_that_of_the_plain_algorithm(lengths):
     assert (len(free), sorted(left)) == naive_best_fit(lengths, 24)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(max_size=60), max_size=5))
-def test_both_encoders_agree(texts):
-    assert packing.encoder(JSON, RANKS)(texts) == packing.encoder(JSON, None)(texts)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "u v"])), max_size=5).map("".join), max_size=5))
+def test_ids_are_the_tokenizers(texts):
+    plain = Tokenizer.from_file(JSON)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encoder(JSON, RANKS)(texts) == want
+    assert packing.encoder(JSON, None)(texts) == want
 
 
 def test_packing(spark):
@@ -75,7 +78,6 @@ def test_packing(spark):
     packed = packing.pack(frame(spark, rows), JSON, RANKS, keep_ids=True)
     got = packed.toPandas()
     tokens = Tokenizer.from_file(JSON)
-    tokens.encode_special_tokens = True
     long = np.array(tokens.encode(rows[5][1], add_special_tokens=False).ids + [1], "<u4")
     assert got.doc_id.isna().sum() == 1 and (got.doc_id == 3).sum() == 2
     pieces = got[got.doc_id == 5].sort_values("start")
@@ -86,7 +88,7 @@ def test_packing(spark):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
     seq = packing.sequences(packed).toPandas()
-    assert set(seq.input_ids.map(len)) == {2048} and seq.n_tokens.sum() == got.length.sum()
+    assert all(len(r.input_ids) == (r.n_tokens if r.n_tokens & (r.n_tokens - 1) == 0 else 2048) for r in seq.itertuples()) and seq.n_tokens.sum() == got.length.sum()
     assert packing.pack(frame(spark, []), JSON, RANKS).count() == 0
 
 
@@ -165,11 +167,11 @@ def test_hot_group_stays_linear(spark, monkeypatch):
 
     monkeypatch.setattr(minhash.common, "cut", counted)
     most = []
-    for size in (500, 2000):
+    for size in (300, 1200):
         made.clear()
         rows = [(i, copy()) for i in range(size)] + [(size, " ".join(base))] + [(size + 1 + i, " ".join(words(i, 30))) for i in range(50)]
         got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, rows), 5).collect()}
-        if size == 500:
+        if size == 300:
             assert got == {i: c for i, (_, c) in brute_components(rows, 5).items()}
         most.append(max(n for n in made))
     assert most[1] < 6 * most[0], most
