@@ -3,13 +3,17 @@
 A gear hash rolls over the bytes of a text; its low 16 bits, which the last 16 bytes alone decide, say where chunks end.
 So an insertion moves no boundary further than 16 bytes away, and a passage falls into the same chunks wherever it
 stands. Of each chunk (by its 128-bit digest) the first occurrence stays: that in the smallest doc_id, and there the
-first. A run of later occurrences goes if it is `least` characters long at least; shorter ones are too common to tell.
+first. A run of later occurrences is extended, character by character, as far as the text around it equals the text around
+the first occurrence (`EDGE` characters to each side at most: eight mean chunks), and goes if it is `least` characters long
+then; shorter ones are too common to tell.
 
-Only digests that repeat are joined back to their places, and spans, not chunks, go on to the documents.
+Only digests that repeat are joined back to their places. Digests of so many places that one task would feel it are few by
+counting; what they own is broadcast, and the places of all others meet by shuffle. Then runs, not chunks, go on.
 
-Defined results: null text has no chunks and stays null; rows of one doc_id count as one document (what repeats earlier
-text in any of them goes from each at the same place); of a null doc_id nothing is
-removed and it counts as no occurrence; an empty table gives an empty result; more columns are ignored.
+Defined results: null text has no chunks and stays null; an empty text stays empty; very long texts are cut whole, one at a
+time; rows that share doc_id and text count as one document, so neither loses to the other; different texts under one
+doc_id are different documents, ordered by a hash of their text; of a null doc_id nothing is removed and it counts as no
+occurrence; an empty table gives an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +35,12 @@ U = np.uint64
 GEAR = mix((np.arange(256, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
 #: Mean bytes of a chunk, the most bytes of one, and the fewest characters of a run that is removed.
 MEAN, MOST, LEAST = 32, 4096, 80
+#: Characters by which a run is extended at each end, at most, and the shortest run that is tried.
+EDGE, TRIED = 256, 40
+#: A digest of at least FEW_PLACES places and of one HOT-th of all is hot; hence there are at most HOT of them.
+FEW_PLACES, HOT = 1000, 50_000
+#: What is broadcast of spans or contexts, at most.
+BROADCAST_BYTES = 24 << 20
 
 
 def boundaries(data: bytes, mean: int = MEAN, most: int = MOST) -> np.ndarray:
@@ -67,76 +77,142 @@ def chunks(text: str, mean: int, most: int) -> tuple[np.ndarray, np.ndarray, np.
     return digest, chars[:-1], chars[1:]
 
 
+def _keyed(docs: DataFrame, repeated: bool) -> DataFrame:
+    """doc_id, t, text; t tells the texts of one doc_id apart, if rows repeat a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("t"), text.alias("text"))
+
+
 def _arrow(docs: DataFrame, schema: str, row) -> DataFrame:
-    """Rows of int64 columns that row(doc_id, text) gives as arrays."""
+    """Rows of int64 columns that row(doc_id, t, text) gives as arrays. docs: doc_id, t, text."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text", 1_000_000):
-            parts = [row(doc, t) for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t and doc is not None]
+            parts = [row(*x) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "text")), strict=True) if x[2] and x[0] is not None]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _counted(mean: int, most: int):
-    """First half of each digest of a document, and 2 if it comes again there, else 1."""
+    """First half of each digest of a document, and how often it stands there."""
 
-    def row(doc: int, text: str) -> tuple[np.ndarray, ...]:
+    def row(doc: int, t: int, text: str) -> tuple[np.ndarray, ...]:
         key, n = np.unique(chunks(text, mean, most)[0][:, 0], return_counts=True)
-        return key.view("i8"), np.minimum(n, 2)
+        return key.view("i8"), n
 
     return row
 
 
 def _placed(mean: int, most: int):
-    """Each chunk: digest, document, and start * 2 ** 32 + end * 2 + (1 if its document has it earlier)."""
+    """Each chunk: digest, document, and start * 2 ** 32 + length."""
 
-    def row(doc: int, text: str) -> tuple[np.ndarray, ...]:
+    def row(doc: int, t: int, text: str) -> tuple[np.ndarray, ...]:
         digest, start, end = chunks(text, mean, most)
-        later = np.ones(len(digest), "i8")
-        later[np.unique(digest[:, 0] ^ (digest[:, 1] * U(0x9E3779B97F4A7C15)), return_index=True)[1]] = 0
         d = digest.view("i8")
-        return d[:, 0], d[:, 1], np.full(len(d), doc, "i8"), (start << 32) + (end << 1) + later
+        return d[:, 0], d[:, 1], np.full(len(d), doc, "i8"), np.full(len(d), t, "i8"), (start << 32) + (end - start)
 
     return row
 
 
-def repeated_spans(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """doc_id, spans (array of start, end in characters, source: the document that has its first chunk first): what repeats earlier
-    text, runs of `least` characters at least."""
-    common.tune(docs.sparkSession)
-    files = common.files_for(docs.count())
+_LATER = "doc_id long, t long, start long, end long, owner long, owner_t long, first long"
+_RUN = "doc_id long, t long, start long, end long, lo long, lt long, lp long, ro long, rt long, rp long"
+
+
+def _later(docs: DataFrame, mean: int, most: int, files: int) -> DataFrame:
+    """_LATER: the later occurrences of chunks, and where each chunk stands first. docs: doc_id, t, text."""
     # Half a digest tells what may repeat; whether it does, and where first, the whole digest tells.
-    may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"), files=files)
-    few = may.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
-    places = _arrow(docs, "d1 long, d2 long, doc_id long, at long", _placed(mean, most))
-    hits = common.cut(places.join(F.broadcast(may) if few else may, "d1"), old=[may], files=files)
-    owners = hits.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("at").bitwiseAND(1)).alias("again"))
-    owners = owners.where("owner <> last or again = 1").select("d1", "d2", "owner")
-    gone = hits.join(owners, ["d1", "d2"]).where("doc_id <> owner or (at & 1) = 1")
-    gone = gone.select("doc_id", "owner", F.shiftrightunsigned("at", 32).alias("start"), F.shiftrightunsigned(F.col("at").bitwiseAND(0xFFFFFFFF), 1).alias("end"))
-    spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("owner").alias("source")))).alias("found"))  # bounded by the document
-    item = "struct<start: bigint, end: bigint, source: bigint>"
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    may = common.cut(_arrow(docs, "d1 long, n long", _counted(mean, most)).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1"), files=files)
+    rows, total = may.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    may = may.select("d1", (F.col("n") >= max(FEW_PLACES, total / HOT)).alias("hot"))
+    places = _arrow(docs, "d1 long, d2 long, doc_id long, t long, at long", _placed(mean, most))
+    hits = common.cut(places.join(F.broadcast(may) if rows <= BROADCAST_IDS // 4 else may, "d1"), files=files)
+    place = F.struct("doc_id", "t", "at")
+    # A few task's worth of rows a digest: sorted once, the first tells the rest.
+    order = Window.partitionBy("d1", "d2").orderBy("doc_id", "t", "at")
+    cold = hits.where("not hot").withColumn("first", F.first(place).over(order)).where(place != F.col("first")).select("doc_id", "t", "at", "first")
+    owners = common.cut(hits.where("hot").groupBy("d1", "d2").agg(F.min(place).alias("first")), files=files)
+    # Digests that share a hot half are no more than the hot halves but for collisions of 64 bits.
+    hot = hits.where("hot").join(F.broadcast(owners), ["d1", "d2"]).where(place != F.col("first")).select("doc_id", "t", "at", "first")
+    start = lambda c: F.shiftrightunsigned(c, 32)
+    return cold.union(hot).select("doc_id", "t", start("at").alias("start"), (start("at") + F.col("at").bitwiseAND(0xFFFFFFFF)).alias("end"), F.col("first.doc_id").alias("owner"), F.col("first.t").alias("owner_t"), start("first.at").alias("first"))
+
+
+def _runs(later: DataFrame) -> DataFrame:
+    """_RUN: runs of later occurrences, TRIED characters at least, and where what they begin (l) and end with (r) stands first."""
+    found = later.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "end", "owner", "owner_t", "first"))).alias("found"))  # bounded by the document
+    names = [x.split()[0] for x in _RUN.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for doc, found in zip(b.column("doc_id").to_pylist(), b.column("found").to_pylist(), strict=True):
-                merged: list[list[int]] = []  # start, end, and where its first chunk stands first
-                for x in found:
-                    if merged and x["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x["end"])
+            out: list[list[int]] = []
+            for doc, t, chunks_ in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "found")), strict=True):
+                merged: list[list[int]] = []
+                for x in chunks_:
+                    last = [x["owner"], x["owner_t"], x["first"] + x["end"] - x["start"]]
+                    if merged and x["start"] <= merged[-1][3]:
+                        merged[-1][3] = x["end"]
+                        merged[-1][7:] = last
                     else:
-                        merged.append([x["start"], x["end"], x["source"]])
-                if long := [{"start": s, "end": e, "source": o} for s, e, o in merged if e - s >= least]:
-                    ids.append(doc)
-                    out.append(long)
-            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source")]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], names=["doc_id", "spans"])
+                        merged.append([doc, t, x["start"], x["end"], x["owner"], x["owner_t"], x["first"], *last])
+                out += [m for m in merged if m[3] - m[2] >= TRIED]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names=names)
 
-    return spans.mapInArrow(runs, f"doc_id long, spans array<{item}>")
+    return found.mapInArrow(run, _RUN)
+
+
+def _contexts(docs: DataFrame, runs: DataFrame, files: int) -> DataFrame:
+    """o, ot, p, left, context: the EDGE characters before or after the places where what the runs end with stands first."""
+    ask = runs.select(F.col("lo").alias("o"), F.col("lt").alias("ot"), F.col("lp").alias("p"), F.lit(True).alias("left")).union(runs.select("ro", "rt", "rp", F.lit(False))).distinct()
+    ask = common.cut(ask.groupBy("o", "ot").agg(F.collect_list(F.struct("p", "left")).alias("places")), files=files)  # bounded by the document
+    few = ask.agg(F.coalesce(F.sum(F.size("places") * 16 + 40), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    asked = docs.join(F.broadcast(ask) if few else ask, (F.col("doc_id") == F.col("o")) & (F.col("t") == F.col("ot"))).select("o", "ot", "places", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            out = []
+            for o, ot, places, text in zip(*(b.column(c).to_pylist() for c in ("o", "ot", "places", "text")), strict=True):
+                out += [(o, ot, x["p"], x["left"], text[max(0, x["p"] - EDGE) : x["p"]] if x["left"] else text[x["p"] : x["p"] + EDGE]) for x in places]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["o", "ot", "p", "left", "context"])
+
+    found = asked.mapInArrow(run, "o long, ot long, p long, left boolean, context string")
+    return common.cut(found.groupBy("o", "ot", "p", "left").agg(F.first("context").alias("context")), old=[ask], files=files)
+
+
+def repeated_runs(docs: DataFrame, mean: int, most: int, files: int) -> DataFrame:
+    """doc_id, t, runs (array of start, end, source, before, after: the text around the first occurrence). docs: doc_id, t, text."""
+    runs = common.cut(_runs(_later(docs, mean, most, files)), files=files)
+    around = _contexts(docs, runs, files)
+    few = around.agg(F.coalesce(F.sum(F.length("context") + 40), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    for side, o, t, p in (("before", "lo", "lt", "lp"), ("after", "ro", "rt", "rp")):
+        told = around.where(F.col("left") == (side == "before")).select(F.col("o").alias(o), F.col("ot").alias(t), F.col("p").alias(p), F.col("context").alias(side))
+        # Each is a stage of one join, so that adaptive execution can split the places that many runs point to.
+        runs = common.cut(runs.join(F.broadcast(told) if few else told, [o, t, p]), old=[runs], files=files)
+    out = runs.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("lo").alias("source"), "before", "after"))).alias("runs"))  # bounded by the document
+    return common.cut(out, old=[runs, around], files=files)
+
+
+def extend(text: str, runs: list[dict], least: int) -> list[dict]:
+    """Runs extended to where the text around them differs from that around their first occurrence; start, end, source."""
+    out: list[dict] = []
+    for x in runs:
+        start, end, before, after = x["start"], x["end"], x["before"], x["after"]
+        n, most = 0, min(len(before), start)
+        while n < most and before[-1 - n] == text[start - 1 - n]:
+            n += 1
+        start -= n
+        n, most = 0, min(len(after), len(text) - end)
+        while n < most and after[n] == text[end + n]:
+            n += 1
+        end += n
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end, "source": x["source"]})
+    return [x for x in out if x["end"] - x["start"] >= least]
 
 
 def _without(text: str, spans: list[dict]) -> str:
@@ -148,27 +224,38 @@ def _without(text: str, spans: list[dict]) -> str:
 
 
 def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least: int = LEAST, spans: str = "spans", removed: str = "n_removed") -> DataFrame:
-    """docs with the text that stays, and two columns more: the spans that went and how many characters they held."""
-    of = common.free(docs, "_span_of")
-    found = common.cut(repeated_spans(docs, mean, most, least).select(F.col("doc_id").alias(of), F.col("spans").alias(spans)), files=common.files_for(docs.count()))
-    few = _bytes(found, spans) <= 24 << 20
-    joined = docs.drop(spans, removed).join(F.broadcast(found) if few else found, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
-    joined = joined.withColumn("text", F.col("text").cast("string"))
+    """docs with the text that stays, and two columns more: the spans that went (start, end in characters, and the document
+    that has their first chunk first; null if none) and how many characters they held."""
+    common.tune(docs.sparkSession)
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n"))).alias("most")).first()
+    files, repeated = common.files_for(ids.n or 0), (ids.most or 0) > 1
+    of, of_t, runs = (common.free(docs, x) for x in ("_run_of", "_run_t", "_runs"))
+    found = repeated_runs(_keyed(docs, repeated), mean, most, files).select(F.col("doc_id").alias(of), F.col("t").alias(of_t), F.col("runs").alias(runs))
+    few = _bytes(found, runs) <= BROADCAST_BYTES
+    docs = docs.drop(spans, removed).withColumn("text", F.col("text").cast("string"))
+    same = F.col("doc_id").cast("long") == F.col(of)
+    if repeated:
+        same &= F.xxhash64("text") == F.col(of_t)
+    joined = docs.join(F.broadcast(found) if few else found, same, "left").drop(of, of_t)
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source")]))
+    names = docs.columns
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
-            at, text, n = b.schema.get_field_index("text"), b.column("text").to_pylist(), [0] * b.num_rows
-            for i, found in enumerate(b.column(spans).to_pylist()):
-                if found and text[i] is not None:
-                    text[i], n[i] = _without(text[i], found), sum(x["end"] - x["start"] for x in found)
-            columns = [pa.array(text, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*b.schema.names, removed])
+            text, gone, n = b.column("text").to_pylist(), [None] * b.num_rows, [0] * b.num_rows
+            for i, found_ in enumerate(b.column(runs).to_pylist()):
+                if found_ and text[i] is not None and (long := extend(text[i], found_, least)):
+                    text[i], gone[i], n[i] = _without(text[i], long), long, sum(x["end"] - x["start"] for x in long)
+            columns = [pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind), pa.array(n, pa.int64())], names=[*names, spans, removed])
 
-    return joined.mapInArrow(without, T.StructType([*joined.schema.fields, T.StructField(removed, T.LongType())]))
+    item = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "source")])
+    return joined.mapInArrow(without, T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(item)), T.StructField(removed, T.LongType())]))
 
 
-def _bytes(found: DataFrame, spans: str) -> int:
-    return found.agg(F.coalesce(F.sum(F.size(spans) * 24 + 40), F.lit(0))).first()[0]
+def _bytes(found: DataFrame, runs: str) -> int:
+    sizes = F.aggregate(runs, F.lit(40), lambda n, x: n + F.length(x["before"]) + F.length(x["after"]) + 40)
+    return found.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
