@@ -22,6 +22,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go. Null and empty texts have no toxic words and stay; rows that repeat are told one by one;
+    without documents nothing is left, without labels nothing goes; other columns are kept as they are."""
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
     out = common.free(docs, "_toxicity")
@@ -29,20 +31,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows that repeat a doc_id one stays."""
+    """One document of each group stays, the one with the smallest doc_id.
+
+    Null and empty texts are copies of nothing and stay, as do rows without doc_id; of rows that repeat doc_id and text one
+    stays; different texts under one doc_id are one document, and stay or go together.
+    """
     told = common.cut(minhash.near_duplicates(docs, n=5).select("doc_id", "kept"), files=common.files_for(docs.count()))
     twice = told.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     stay = _without(docs, told.where("not kept").select("doc_id"))
     if not twice.limit(1).count():
         return stay
-    of, n = common.free(docs, "_twice"), common.free(docs, "_n")
+    of, n, key = common.free(docs, "_twice"), common.free(docs, "_n"), F.sha2(F.col("text").cast("string"), 256)
     again = stay.join(twice.select(F.col("doc_id").alias(of)), F.col("doc_id").cast("long") == F.col(of), "left_semi")
-    first = again.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(n) == 1).drop(n)
+    first = again.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", key).orderBy("doc_id"))).where(F.col(n) == 1).drop(n)
     return _without(stay, twice).unionByName(first)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of a passage go from their texts; a document of which nothing else is left goes too."""
+    """Later copies of a passage go from their texts; a document of which nothing else is left goes too.
+
+    Null and empty texts stay; rows that repeat doc_id and text lose nothing to each other; n_chars, if there, follows the text.
+    """
     spans, removed = common.free(docs, "_spans"), common.free(docs, "_removed")
     out = substring.dedup_substrings(docs, spans=spans, removed=removed)
     blank = F.col(spans).isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
@@ -53,11 +62,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go."""
+    """Documents that hold a benchmark item, or nearly, go, and so do all rows of their doc_id. Null and empty texts hold none;
+    rows without doc_id stay; without items nothing goes."""
     return _without(docs, decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("doc_id is not null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed; a null or empty text is one piece of the end id alone; without documents there is no sequence."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -75,5 +86,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        docs = common.cut(stage(spark, docs, sf_dir), old=[docs])  # a stage's input goes once its result is written
     return STAGES[-1][1](spark, docs, sf_dir)
