@@ -236,7 +236,7 @@ def _compare_block(n: int):
     return compare
 
 
-def _join_blocks(rows: DataFrame, n: int) -> DataFrame:
+def _join_blocks(rows: DataFrame, n: int, files: int) -> DataFrame:
     """Links (a, b) between the components of a group that its stars leave open, enough of them to connect what is connected.
 
     rows: g, x, component, jaccard (with the first centre; null if far), inside (linked with it), n, registers, text. Each
@@ -245,8 +245,10 @@ def _join_blocks(rows: DataFrame, n: int) -> DataFrame:
     join two components there.
     """
     sizes = rows.groupBy("g").agg(F.count("*").alias("all"), F.count(F.when(~F.col("inside"), 1)).alias("out"), F.max(F.when(~F.col("inside"), F.col("jaccard"))).alias("nearest"), F.sum("n").alias("mass"))
+    sizes = common.cut(sizes, files=files)
+    few = sizes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     # Inside the ball only those matter that the triangle inequality lets meet the nearest member outside.
-    rows = rows.join(sizes, "g").where("not inside or jaccard <= nearest + 0.2 + 1e-9")
+    rows = rows.join(F.broadcast(sizes) if few else sizes, "g").where("not inside or jaccard <= nearest + 0.2 + 1e-9")
     parts = lambda count, rows_: F.ceil(F.greatest(F.col(count) / rows_, F.col("mass") / BLOCK_SHINGLES)).cast("int")
     lefts, rights = parts("out", BLOCK_LEFT), parts("all", BLOCK_RIGHT)
     spread = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), n).cast("int")
@@ -256,15 +258,14 @@ def _join_blocks(rows: DataFrame, n: int) -> DataFrame:
     return left.unionByName(right).groupBy("g", "i", "j").applyInArrow(_compare_block(n), "a long, b long").distinct()
 
 
-def _centres(rows: DataFrame, reps: DataFrame, files: int) -> DataFrame:
+def _centres(rows: DataFrame, files: int) -> DataFrame:
     """g, c: the member of each group whose registers agree best with the commonest ones of the group.
 
     Whoever is near most members of a group (what the others were copied from) agrees best, so its star reaches furthest.
     The commonest values are read off the MODEL members of smallest hash; every member is held against them. Which member is
     the centre decides how much work is left, not what is found.
     """
-    registers = reps.select(F.col("doc_id").alias("x"), "registers")
-    first = rows.select("g", "x").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("x"), "x"))).where(F.col("r") <= MODEL).drop("r")
+    first = rows.select("g", "x", "registers").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("x"), "x"))).where(F.col("r") <= MODEL).drop("r")
 
     def common_values(group: pa.Table) -> pa.Table:
         reg = np.sort(np.frombuffer(b"".join(group.column("registers").to_pylist()), "u2").reshape(group.num_rows, -1), axis=0)
@@ -274,7 +275,7 @@ def _centres(rows: DataFrame, reps: DataFrame, files: int) -> DataFrame:
             mode, best = np.where(run > best, two, mode), np.maximum(run, best)
         return pa.table({"g": group.column("g")[:1], "mode": pa.array([mode.astype("u2").tobytes()], pa.binary())})
 
-    modes = common.cut(first.join(registers, "x").groupBy("g").applyInArrow(common_values, "g long, mode binary"), files=files)  # MODEL rows a group
+    modes = common.cut(first.groupBy("g").applyInArrow(common_values, "g long, mode binary"), files=files)  # MODEL rows a group
     few = modes.limit(BROADCAST_MODES + 1).count() <= BROADCAST_MODES
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,14 +283,14 @@ def _centres(rows: DataFrame, reps: DataFrame, files: int) -> DataFrame:
             one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u2").reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 1)) for c in ("registers", "mode"))
             yield pa.RecordBatch.from_arrays([b.column("g"), b.column("x"), pa.array((one == two).sum(1), pa.int64())], names=["g", "x", "agree"])
 
-    held = rows.select("g", "x").join(registers, "x").join(F.broadcast(modes) if few else modes, "g").select("g", "x", "registers", "mode")
+    held = rows.select("g", "x", "registers").join(F.broadcast(modes) if few else modes, "g").select("g", "x", "registers", "mode")
     best = held.mapInArrow(agree, "g long, x long, agree long").groupBy("g").agg(F.max(F.struct("agree", (-F.col("x")).alias("x"))).alias("m"))
     return common.cut(best.select("g", (-F.col("m.x")).alias("c")), old=[modes], files=files)
 
 
 def _open(rows: DataFrame, labels: DataFrame, files: int, old: list[DataFrame]) -> DataFrame:
-    """rows (g, x, jaccard, inside) of groups whose members are in several components, and the component of each."""
-    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("g", "x", "jaccard", "inside", F.coalesce("component_id", "x").alias("component")), files=files)
+    """rows (g, x, jaccard, inside, n, registers) of groups whose members are in several components, and the component of each."""
+    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("g", "x", "jaccard", "inside", "n", "registers", F.coalesce("component_id", "x").alias("component")), files=files)
     several = rows.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("g")
     return common.cut(rows.join(several, "g"), old=[rows, *old], files=files)
 
@@ -314,9 +315,11 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
     # One member outside and nobody who could meet it: nothing is open.
     left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("g"), "g"), old=[seen, members], files=files)
     labels = common.components(edges, files)
+    # What is needed of each member is joined once and carried along.
+    left_open = common.cut(left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x"), old=[left_open], files=files)
     left_open = _open(left_open, labels, files, [left_open])
     while left_open.limit(1).count():
-        centres = _centres(left_open, reps, files)
+        centres = _centres(left_open, files)
         own = left_open.join(centres, (left_open["x"] == centres["c"]) & (left_open["g"] == centres["g"])).select(left_open["g"], "c", F.col("component").alias("own"))
         star = common.cut(left_open.join(own, "g").where("component <> own").select(F.col("x").alias("a"), F.col("c").alias("b")).distinct(), files=files)
         more = common.cut(verify(star).where("linked").select("a", "b"), old=[star], files=files)
@@ -330,8 +333,8 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
         if not found:
             break
     if left_open.limit(1).count():
-        full = left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x").join(texts.select(F.col("id").alias("x"), "text"), "x")
-        last = common.cut(_join_blocks(full, n), files=files)
+        full = left_open.join(texts.select(F.col("id").alias("x"), "text"), "x")
+        last = common.cut(_join_blocks(full, n, files), files=files)
         if last.limit(1).count():
             edges = common.cut(edges.union(last), old=[edges, last], files=files)
             labels = common.components(edges, files, old=[labels])
