@@ -66,18 +66,25 @@ def brute(ids, v, q, k):
     return [(int(ids[i]), float(d[i])) for i in order]
 
 
-def test_recall(spark):
-    r = np.random.default_rng(2)
-    v = r.normal(size=(3000, 16)).astype("f4")
+def recall(got, v, asked):
+    ids = np.arange(len(v))
+    return np.mean([len({i for i, _ in brute(ids, v, q, 10)} & set(got[got.query_id == q].vec_id)) / 10 for q in asked])
+
+
+def test_recall_with_descent_and_without(spark):
+    v = np.random.default_rng(2).normal(size=(6000, 24)).astype("f4")
+    v[7] *= 1e9  # one vector far away harms nobody
     table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, node int").repartition(5)
-    got = neighbours.nearest(table, lambda i: i % 20 == 0).toPandas()
-    hit = 0
-    for q, g in got.groupby("query_id"):
-        want = dict(brute(np.arange(3000), v.astype("f8"), q, 10))
+    got = neighbours.nearest(table, lambda i: i % 100 == 0, beam=16).toPandas()
+    rough = neighbours.nearest(table, lambda i: i % 100 == 0, beam=16, turns=0).toPandas()
+    asked = range(0, 6000, 100)
+    full = v.astype("f8")
+    for q in asked:
+        g, want = got[got.query_id == q], dict(brute(np.arange(6000), full, q, 10))
         assert list(g["rank"].sort_values()) == list(range(1, 11))
-        hit += len(set(want) & set(g.vec_id))
         assert all(abs(s - want[i]) < 1e-12 for i, s in zip(g.vec_id, g.score, strict=True) if i in want)
-    assert got.query_id.nunique() == 150 and hit / 1500 > 0.95
+    with_, without = recall(got, full, asked), recall(rough, full, asked)
+    assert with_ > 0.9 and without < with_ - 0.05, (with_, without)
 
 
 def near_copies(noise):
@@ -102,13 +109,14 @@ def test_recall_of_near_copies(spark, noise, kind):
 
 def test_odd_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (10, [3.0, 0.0]), (10, [3.0, 0.0]), (None, [1.0, 1.0]), (11, [float("inf"), 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (12, [4.0]), (10, [3.0, 0.0]), (10, [3.0, 0.0]), (None, [1.0, 1.0]), (11, [float("inf"), 0.0])]
     rows += [(100 + i, [1.0, 0.0]) for i in range(30)]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, label string")
-    got = neighbours.nearest(table, lambda i: i.isin(0, 3, 5, 6)).orderBy("query_id", "rank").collect()
+    got = neighbours.nearest(table, lambda i: i.isin(0, 3, 5, 6, 9)).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got if r.query_id == 0] == [1, 2, *range(100, 108)]
     assert [r.vec_id for r in got if r.query_id == 3] == [0, 1, 2, *range(100, 107)]
-    assert {r.query_id for r in got} == {0, 3}
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 9] == [(12, 3.0)]
+    assert {r.query_id for r in got} == {0, 3, 9}
     few = neighbours.nearest(table.where("vec_id in (0, 3, 10)"), lambda i: i == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in few] == [(10, 2.0), (3, 5**0.5)]
     assert neighbours.nearest(table.limit(0), lambda i: i == 0).count() == 0
