@@ -1,25 +1,30 @@
-"""Main text of web pages: blocks that most pages of a host share are its template, and what remains are the slots.
+"""Main text of web pages: the template of a host is deduced from equivalence classes, and what remains are the slots.
 
-A page is a sequence of blocks; the token of a block is its tag path with its text. A token that occurs on at least half
-of the host's pages (and on `PAGES` of them) is template text. Tokens of one host are grouped by occurrence vector (a sum
-of hashes over (page, count)), but since a vector fixes the number of pages this is a filter by page frequency: classes
-are neither checked for order nor nested. Hence a block with one varying word, a template of under half of a host's pages
-and that of hosts of fewer than `PAGES` pages are not found. Of the slots, those inside elements that hold no article text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) go by the element's name, role, class or id; hosts of one
-page have no template and are told by those alone. If a page has an article or main element outside of such elements,
-only the slots inside it are its text.
+Tokens of a page are its tags (opening and closing, told by their path of elements) and its words (told by the path they stand
+in). Tokens of a host with one occurrence vector (how often they stand on which pages) are a class. Classes of tokens that
+stand once on each of at least two pages, and on at least `share` of the host's, or on FREQUENT pages in a class of LARGE
+tokens, can be template. On a page, classes are taken by falling number of pages: of a class those tokens hold that keep the
+order which the class has on its first page, and a class holds if all of it lies in one slot of the template so far (so
+classes nest). A block of text at least half of whose words are template, and stand together on the class's first and last page
+too, is template, with what varies in it.
 
-The joins carry hashes: each page's blocks are told by (host, token), and only tokens of the template come back, so that
-no host's pages meet in a task. The template of all hosts is broadcast if it is small and joined by shuffle if not.
+What is left are slots. The names of elements tell some that hold no article text (nav, footer, form, ...; a class, id or role
+from a list). If a page has an article or main element outside of those, only what is in it is its text. If it has none but
+the host has a template, the slot with most words is the article, with the headings and with slots of a quarter of its words.
+
+The vectors are sums, modulo a prime, of a hash of (page, count); copies of a page divide by their number, so they count once.
+Sums and least positions are gathered before the shuffle, so that no host's pages meet in a task. The template of all hosts is
+broadcast if it is small and joined by shuffle if not (adaptive execution splits a host of many pages).
 
 Defined results: null or empty html gives an empty text; a null or odd url belongs to the host ''; an unclosed element
-ends with its parent; a page of template alone gives an empty text; repeated pages are told one by one; an empty table
-gives an empty result; other columns are ignored.
+ends with its parent; a page of template alone gives an empty text; very long pages are read whole, one at a time; repeated
+pages are told one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -31,9 +36,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PAGES, SHARE = 4, 0.5
-#: Template tokens up to this many are broadcast (16 bytes each).
+#: Pages that a template needs, and share of the host's; pages and tokens of a class on fewer.
+PAGES, SHARE, FREQUENT, LARGE = 2, 0.5, 4, 4
+#: Template tokens up to this many are broadcast (32 bytes each).
 BROADCAST_TOKENS = 500_000
+#: The prime of the sums.
+P = (1 << 61) - 1
 
 # Elements that hold no text of the page, elements that hold no article text, elements that do not end a
 # block, elements that have no end, and the words of a class, id or role that mark what is not the article.
@@ -42,36 +50,54 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 MARKS = re.compile(
-    r"^(nav(bar|igation)?|menu|submenu|breadcrumbs?|header|masthead|banner|footer|foot|colophon|side(bar|nav)?|aside|widgets?|related|recommend(ed|ations)?|"
-    r"ads?|advert(s|isement|ising)?|sponsor(ed)?|promo(tion)?|notices?|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"search|form|share|sharing|social|comments?|replies|reply|respond|discussion|disqus|pagination|pager|toolbar|skip|copyright|legal|disclaimer|hidden|complementary|contentinfo|dialog)$"
+    r"^(nav(bar|igation)?|menu|submenu|breadcrumbs?|masthead|banner|footer|foot|colophon|side(bar|nav)?|widgets?|ads?|advert(s|isement|ising)?|sponsor(ed)?|promo(tion)?|cookies?|consent|gdpr|"
+    r"popup|modal|newsletter|subscribe|subscription|signup|login|social|comments?|disqus|pagination|pager|toolbar|complementary|contentinfo)$"
+)
+# Words that mark it as the whole of a class, id or role, or with one of these; outside of an article.
+WEAK = re.compile(
+    r"^((site|page)[-_])?(header|aside|related|recommend(ed|ations)?|notices?|alert|overlay|search|form|share|sharing|replies|reply|respond|discussion|skip|copyright|legal|disclaimer|hidden|dialog)"
+    r"([-_](posts?|articles?|stories|links?|box|bar|form|area|list|section|buttons?|block|container|wrapper))?$"
 )
-#: Of a hyphenated class the whole or its first or last part may be a mark.
-PARTS = re.compile(r"[\s]+")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
+def marked(attrs: list[tuple[str, str | None]], article: bool) -> bool:
+    """Whether names say that an element holds no article text; article: it stands inside of one."""
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id", "role") and value:
-            for word in PARTS.split(value.lower().strip()):
+            for word in value.lower().split():
                 bits = [x for x in re.split(r"[-_]+", word) if x]
-                if bits and (MARKS.match(word) or MARKS.match(bits[0]) or MARKS.match(bits[-1])):
+                if bits and (MARKS.match(word) or MARKS.match(bits[0]) or MARKS.match(bits[-1]) or (not article and WEAK.match(word))):
                     return True
     return False
 
 
+_KNOWN: dict[tuple[str, str], int] = {}
+
+
+def token(path: str, text: str) -> int:
+    """A 63-bit hash, remembered for a while."""
+    found = _KNOWN.get((path, text))
+    if found is None:
+        if len(_KNOWN) > 200_000:
+            _KNOWN.clear()
+        found = _KNOWN[path, text] = xxhash.xxh3_64_intdigest(f"{path}\x00{text}".encode("utf-8", "surrogatepass")) >> 1
+    return found
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page: (path, text, aside, inside an article)."""
+    """Blocks of a page: (path, text, aside, inside an article, place of its first word in tokens); and its tokens."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, bool, int]] = []
+        self.tokens: list[int] = []
+        self.tags: list[int] = []  # places of tags in tokens
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, aside, article
         self.text: list[str] = []
 
@@ -81,10 +107,22 @@ class Blocks(HTMLParser):
         if text:
             _, silent, aside, article = self.open[-1] if self.open else ("", False, False, False)
             if not silent:
-                self.blocks.append(("/".join(x[0] for x in self.open if x[0] not in INLINE), text, aside, article))
+                path = self._path()
+                self.blocks.append((path, text, aside, article, len(self.tokens)))
+                self.tokens += [token(path, w) for w in text.split(" ")]
+
+    def _path(self) -> str:
+        return "/".join(x[0] for x in self.open if x[0] not in INLINE)
+
+    def _tag(self, kind: str) -> None:
+        if not self.open[-1][1] and self.open[-1][0] not in INLINE:
+            self.tags.append(len(self.tokens))
+            self.tokens.append(token(kind, self._path()))
 
     def _pop(self, n: int) -> None:
-        del self.open[n:]
+        while len(self.open) > n:
+            self._tag("end")
+            self.open.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -101,10 +139,11 @@ class Blocks(HTMLParser):
         _, silent, aside, article = self.open[-1] if self.open else ("", False, False, False)
         body = tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs)
         # inside an article a header holds its title; elsewhere it is the site's
-        away = (tag in ASIDE and not (tag == "header" and article)) or (tag not in ("html", "body") and marked(attrs))
+        away = (tag in ASIDE and not (tag == "header" and article)) or (tag not in ("html", "body") and marked(attrs, article))
         self.open.append((tag, silent or tag in SILENT, aside or away, article or body))
         if (tag in SILENT or away) and tag in INLINE:
             self._flush_before()
+        self._tag("begin")
 
     def _flush_before(self) -> None:
         last = self.open.pop()
@@ -129,29 +168,81 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         self.text.append(data)
 
-    def finish(self) -> list[tuple[str, str, bool, bool]]:
+    def finish(self) -> Blocks:
         self.close()
         self._flush()
-        return self.blocks
+        self._pop(0)
+        return self
 
 
-def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
-    if not html:
-        return []
+def parsed(html: str | None) -> Blocks:
     parser = Blocks()
-    parser.feed(html)
+    if html:
+        parser.feed(html)
     return parser.finish()
 
 
-def token(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\x00{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def main_text(found: list[tuple[str, str, bool, bool]], template: set[int]) -> str:
-    slots = [(text, article) for path, text, aside, article in found if not aside and token(path, text) not in template]
-    if any(article for _, article in slots):
+def in_order(places: list[tuple[int, int]]) -> list[int]:
+    """Of (place on this page, place on the first page), by the first, the longest part in which the second grows too."""
+    ends: list[int] = []  # least second of a part of each length, and which it is
+    which: list[int] = []
+    before: list[int] = [-1] * len(places)
+    for i, (_, second) in enumerate(places):
+        k = bisect_left(ends, second)
+        before[i] = which[k - 1] if k else -1
+        ends[k:], which[k:] = ([second], [i]) if k == len(ends) else ([second, *ends[k + 1 :]], [i, *which[k + 1 :]])
+    out, at = [], which[-1] if which else -1
+    while at >= 0:
+        out.append(places[at][0])
+        at = before[at]
+    return out[::-1]
+
+
+def template_places(tokens: list[int], classes: dict[int, tuple[int, int, int, int]]) -> list[int]:
+    """Places of the template's tokens on a page. classes: token to (pages, class, place on the first page, on the last)."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for at, t in enumerate(tokens):
+        if t in classes:
+            pages, of, first, _ = classes[t]
+            found.setdefault((-pages, of), []).append((at, first))
+    template: list[int] = []
+    for _, places in sorted(found.items()):
+        held = in_order(places)
+        if bisect_left(template, held[0]) == bisect_left(template, held[-1]):  # all in one slot
+            for at in held if template else ():
+                insort(template, at)
+            template = template or held
+    return template
+
+
+def _together(known: list[tuple[int, int, int, int]], words: int) -> bool:
+    """Whether template words of a block of so many words belong together: alone on FREQUENT pages, or close to each other elsewhere too."""
+    if 2 * len(known) < words or not known:
+        return False
+    if len(known) == 1:
+        return known[0][0] >= FREQUENT
+    return all(max(x[i] for x in known) - min(x[i] for x in known) <= 2 * words + 2 for i in (2, 3))
+
+
+def main_text(page: Blocks, classes: dict[int, tuple[int, int, int, int]]) -> str:
+    """The article's blocks, one a line. classes: as for template_places, empty if the host has no template."""
+    template = template_places(page.tokens, classes) if classes else []
+    held, tags = set(template), set(page.tags)
+    borders = [at for at in template if at in tags]
+    slots = []
+    for path, text, aside, article, at in page.blocks:
+        words = text.count(" ") + 1
+        if not aside and not _together([classes[page.tokens[i]] for i in range(at, at + words) if i in held], words):
+            slots.append((text, article, bisect_left(borders, at), words, path.rsplit("/", 1)[-1]))
+    if any(x[1] for x in slots):
         slots = [x for x in slots if x[1]]
-    return "\n".join(text for text, _ in slots)
+    elif len(borders) > 2 and slots:
+        size = Counter()
+        for x in slots:
+            size[x[2]] += x[3]
+        most = max(size.values())
+        slots = [x for x in slots if 4 * size[x[2]] >= most or x[4] in ("h1", "h2", "h3")]
+    return "\n".join(x[0] for x in slots)
 
 
 def host(url) -> F.Column:
@@ -159,45 +250,66 @@ def host(url) -> F.Column:
 
 
 def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """h, token: the blocks that belong to the template of the host with hash h. pages: h, html."""
+    """h, token, pages, class, first, last: the tokens that can be template on the host with hash h. pages: h, html, copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "token", "pages", "vector", "page", "first", "n", "end", "last"]
         for b in common.slices(batches, "html"):
-            rows: list[tuple[int, int, int, int]] = []
-            for h, html in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), strict=True):
-                found = blocks(html)
-                body = [x for x in found if x[3] and not x[2]] or [x for x in found if not x[2]]
-                page = token("", "\n".join(x[1] for x in body))  # copies of a page say nothing more about its template
-                rows.append((h, 0, 0, page))
-                rows += [(h, t or 1, n, page) for t, n in Counter(token(p, x) for p, x, _, _ in found).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["h", "token", "n", "page"])
-
-    seen = pages.mapInArrow(run, "h long, token long, n long, page long").groupBy("h", "token", "page").agg(F.max("n").alias("n"))
-    counted = seen.groupBy("h", "token").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")).where((F.col("pages") >= least) | (F.col("token") == 0))
-    counted = common.cut(counted)
-    size = counted.where("token = 0").select("h", F.col("pages").alias("all"))
-    # Tokens of one occurrence vector are on equally many pages, so this is a filter by page frequency.
-    classes = counted.where("token <> 0").groupBy("h", "vector").agg(F.max("pages").alias("pages"), F.collect_set("token").alias("tokens"))  # tokens on one page, at most
-    return classes.join(size, "h").where((F.col("pages") >= F.col("all") * share) & (F.col("pages") >= least)).select("h", F.explode("tokens").alias("token"))
+            seen: dict[tuple[int, int], list[int]] = {}
+            for h, html, copies in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), b.column("copies").to_pylist(), strict=True):
+                page = xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "surrogatepass")) >> 1
+                part = pow(copies, -1, P) if copies > 1 else 1
+                tokens = parsed(html).tokens
+                first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1), strict=True))
+                for t, n in [*Counter(tokens).items(), (0, 0)]:  # token 0 stands for the host
+                    vector = ((page ^ n * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) % P * part % P
+                    if (old := seen.get((h, t))) is None:
+                        seen[h, t] = [part, vector, page, first.get(t, 0), n, page, first.get(t, 0)]
+                    else:
+                        old[0], old[1] = (old[0] + part) % P, (old[1] + vector) % P
+                        if page < old[2]:
+                            old[2:5] = page, first.get(t, 0), n
+                        if page > old[5]:
+                            old[5:] = page, first.get(t, 0)
+            rows = [(*k, *v) for k, v in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(9)], names=names)
+
+    found = pages.mapInArrow(run, "h long, token long, pages long, vector long, page long, first long, n long, end long, last long")
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
+    gathered = found.groupBy("h", "token").agg(total("pages").alias("pages"), total("vector").alias("vector"), F.min("page").alias("page"), F.min_by("first", "page").alias("first"), F.min_by("n", "page").alias("n"), F.max_by("last", "end").alias("last"))
+    modulo = lambda c: (F.col(c) % F.lit(P).cast("decimal(20,0)")).cast("long")
+    gathered = gathered.select("h", "token", modulo("pages").alias("pages"), modulo("vector").alias("vector"), "first", "last", "n").where(f"pages >= {least} and (token = 0 or n = 1)")
+    gathered = common.cut(gathered)
+    hosts = gathered.where("token = 0").select("h", F.col("pages").alias("all"))
+    tokens = gathered.where("token <> 0")
+    sizes = tokens.groupBy("h", "vector").agg(F.max("pages").alias("on"), F.count("*").alias("size")).join(hosts, "h")
+    valid = sizes.where((F.col("on") >= share * F.col("all")) | ((F.col("on") >= FREQUENT) & (F.col("size") >= LARGE))).select("h", "vector")
+    return tokens.join(valid, ["h", "vector"]).select("h", "token", "pages", F.col("vector").alias("class"), "first", "last")
 
 
 def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     common.tune(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host(F.col("url"))).alias("h"), F.col("html").cast("string").alias("html"))
-    found = common.cut(templates(rows.select("h", "html"), least, share))
-    by_host = common.cut(found.groupBy("h").agg(F.collect_set("token").alias("template")))  # tokens on one page of the host over `share`, at most
+    html = F.col("html").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host(F.col("url"))).alias("h"), html.alias("html"), F.xxhash64(html, F.lit(1)).alias("digest"))
+    copies = common.cut(rows.groupBy("h", "digest").agg(F.count("*").alias("copies")).where("copies > 1"), files=common.FEWEST_FILES)
+    few = copies.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    told = rows.join(F.broadcast(copies) if few else copies, ["h", "digest"], "left").select("h", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    found = common.cut(templates(told, least, share))
+    by_host = common.cut(found.groupBy("h").agg(F.collect_list(F.struct("token", "pages", "class", "first", "last")).alias("template")))  # tokens on several pages of one host
     few = found.count() <= BROADCAST_TOKENS
     joined = rows.join(F.broadcast(by_host) if few else by_host, "h", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, dict[int, tuple[int, int, int, int]]] = {}
         for b in common.slices(batches, "html"):
-            known: dict[int, set[int]] = {}
             text = []
             for h, html, t in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), b.column("template"), strict=True):
                 if h not in known:
-                    known[h] = set(t.as_py() or ())
-                text.append(main_text(blocks(html), known[h]))
+                    if len(known) > 200:
+                        known.clear()
+                    known[h] = {x["token"]: (x["pages"], x["class"], x["first"], x["last"]) for x in t.as_py() or ()}
+                text.append(main_text(parsed(html), known[h]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "h", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,10 +1,16 @@
 """Page extraction and neighbour search: expected texts, recall against brute force, odd cases."""
 
 import html
+import itertools
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docsift.llm import neighbours, pages, queries
 
@@ -12,7 +18,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def text_of(page):
-    return pages.main_text(pages.blocks(page), set())
+    return pages.main_text(pages.parsed(page), {})
 
 
 @pytest.mark.parametrize(
@@ -32,26 +38,76 @@ def text_of(page):
         ("<p>cut in the &am", "cut in the &am"),
         ("<div class=cookie-notice>c</div><p hidden>h</p><p style='display: none'>n</p><p>a</p>", "a"),
         ("<p>a</b></i></p></div><p>b", "a\nb"),
+        ("<article><section id=discussion><p>a</p></section><div class='legal-analysis search-results related-work'>b</div></article>", "a\nb"),
+        ("<p>a</p><div id=discussion>c</div><div class=related-posts>r</div><section class=related-work>b</section>", "a\nb"),
     ],
 )
 def test_blocks(page, want):
     assert text_of(page) == want
 
 
+def story(i):
+    r = random.Random(i)
+    line = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    return line(4), [line(r.randrange(20, 40)) for _ in range(r.randrange(2, 6))]
+
+
+def bare(i):
+    """A page that names nothing: neither elements nor classes tell what its parts are."""
+    title, lines = story(i)
+    return f"<div><p>Welcome to our site</p><p>Sale of the day {i % 3}</p></div><section><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in lines) + f"</section><table><tr><td>{i} visitors since May</td></tr></table><div><p>All rights reserved</p></div>"
+
+
 def test_template_of_a_host(spark):
-    page = lambda i: f"<div>Welcome to our site</div><div><p>Story {i} told</p><p>And its end {i}</p></div><div>All rights reserved</div>"
-    rows = [(i, "http://a.example/x", page(i), "t", 1) for i in range(8)]
+    rows = [(i, "http://a.example/x", bare(i), "t", 1) for i in range(8)] + [(20 + i, "http://two.example/", bare(20 + i), "t", 1) for i in range(2)]
     rows += [(100 + i, "http://b.example/", "<article><p>A copy</p><p>of one text</p></article>", "t", 1) for i in range(9)]
     rows += [(200, None, "<p>alone</p>", None, None), (201, "odd", None, None, None), (None, "http://c.example", "", None, None), (202, "http://d.example", "<p>" + "x " * 200_000, None, None)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, h int")
     got = {r.page_id: r for r in pages.extract(table).collect()}
     assert len(got) == len(rows)
-    assert all(got[i].text == f"Story {i} told\nAnd its end {i}" for i in range(8))
+    for i in [*range(8), 20, 21]:
+        assert got[i].text == "\n".join([story(i)[0], *story(i)[1]]), got[i].text
+        assert "Welcome" in pages.main_text(pages.parsed(bare(i)), {})  # without its template
     assert all(got[100 + i].text == "A copy\nof one text" for i in range(9))
     assert got[200].text == "alone" and got[201].text == got[None].text == "" and got[202].n_chars == 399_999
     assert pages.extract(table.limit(0)).count() == 0
 
 
+def test_classes_equal_brute_force(spark):
+    html = [bare(i) for i in range(6)] + [bare(0)] * 3  # copies count once
+    table = spark.createDataFrame([(1, h, html.count(h)) for h in html], "h long, html string, copies long")
+    got: dict = {}
+    for r in pages.templates(table).collect():
+        assert (r.pages, r["class"]) not in got or got[r.pages, r["class"]]
+        got.setdefault((r.pages, r["class"]), set()).add(r.token)
+    counts = [Counter(pages.parsed(h).tokens) for h in html[:6]]
+    want: dict = {}
+    for t in set().union(*counts):
+        vector = tuple(c[t] for c in counts)
+        if max(vector) == 1:
+            want.setdefault(vector, set()).add(t)
+    want = [c for v, c in want.items() if sum(v) >= 3 or (sum(v) >= pages.FREQUENT and len(c) >= pages.LARGE)]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.permutations(range(7)))
+def test_in_order(seconds):
+    got = pages.in_order(list(enumerate(seconds)))
+    best = max((c for n in range(8) for c in itertools.combinations(range(7), n) if all(seconds[i] < seconds[j] for i, j in zip(c, c[1:], strict=False))), key=len)
+    assert len(got) == len(best) and all(seconds[i] < seconds[j] for i, j in zip(got, got[1:], strict=False))
+
+
+def test_articles_without_names(spark):
+    """The table's pages stripped of article elements and classes give the same text, where hosts have a template and articles some length."""
+    source = spark.read.parquet(f"{SF}/pages.parquet")
+    bare_ = source.withColumn("html", F.regexp_replace("html", r"</?article>| class=\"[^\"]*\"", ""))
+    want = {r.page_id: r.text for r in pages.extract(source).collect()}
+    got = pages.extract(bare_).collect()
+    alike = [r.text == want[r.page_id] for r in got]
+    assert sum(alike) / len(alike) > 0.8, sum(alike) / len(alike)
+
+
 def test_articles_of_the_table(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.QUERIES["op6_pages"](spark, SF).collect():
