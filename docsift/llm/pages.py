@@ -1,12 +1,13 @@
 """Main text of web pages: the template of a host is deduced from equivalence classes, and what remains are the slots.
 
 Tokens of a page are its tags (opening and closing, told by their path of elements) and its words (told by the path they stand
-in). Tokens of a host with one occurrence vector (how often they stand on which pages) are a class. Classes of tokens that
+in; in blocks of over SHORT words phrases take the place of words; what names tell to be no article has tags alone). Tokens of a host with one occurrence vector (how often they stand on which pages) are a class. Classes of tokens that
 stand once on each of at least two pages, and on at least `share` of the host's, or on FREQUENT pages in a class of LARGE
 tokens, can be template. On a page, classes are taken by falling number of pages: of a class those tokens hold that keep the
 order which the class has on its first page, and a class holds if all of it lies in one slot of the template so far (so
-classes nest). A block of text at least half of whose words are template, and stand together on the class's first and last page
-too, is template, with what varies in it.
+classes nest). A block of text is template, with what varies in it, if its element's tag is, and half of its words are and stand together on
+the class's first and last page too: text of an element that repeats on a page, like a paragraph, is a slot's, however
+many pages have it, and so is what stands in a paragraph, heading, list item or the like of an article element.
 
 What is left are slots. The names of elements tell some that hold no article text (nav, footer, form, ...; a class, id or role
 from a list). If a page has an article or main element outside of those, only what is in it is its text. If it has none but
@@ -40,8 +41,11 @@ from . import common
 PAGES, SHARE, FREQUENT, LARGE = 2, 0.5, 4, 4
 #: Template tokens up to this many are broadcast (32 bytes each).
 BROADCAST_TOKENS = 500_000
-#: The prime of the sums.
-P = (1 << 61) - 1
+#: Words of a block up to which words are tokens, not the phrases between marks.
+SHORT = 12
+PHRASE = re.compile(r"(?<=[.,;:!?]) ")
+#: The prime of the sums, small enough that four thousand million terms fit a long.
+P = (1 << 31) - 1
 
 # Elements that hold no text of the page, elements that hold no article text, elements that do not end a
 # block, elements that have no end, and the words of a class, id or role that mark what is not the article.
@@ -90,6 +94,16 @@ def token(path: str, text: str) -> int:
     return found
 
 
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "blockquote", "pre", "td", "th", "figcaption", "article", "main"}
+#: What holds where no element is open.
+OUTSIDE = ("", False, False, False, "")
+
+
+def units(text: str) -> list[str]:
+    """What are tokens of a block: its words, or its phrases if it is long."""
+    return text.split(" ") if text.count(" ") < SHORT else PHRASE.split(text)
+
+
 class Blocks(HTMLParser):
     """Blocks of a page: (path, text, aside, inside an article, place of its first word in tokens); and its tokens."""
 
@@ -98,26 +112,24 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, str, bool, bool, int]] = []
         self.tokens: list[int] = []
         self.tags: list[int] = []  # places of tags in tokens
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, aside, article
+        self.open: list[tuple[str, bool, bool, bool, str]] = []  # tag, silent, aside, article, path of elements
         self.text: list[str] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            _, silent, aside, article = self.open[-1] if self.open else ("", False, False, False)
+            _, silent, aside, article, path = self.open[-1] if self.open else OUTSIDE
             if not silent:
-                path = self._path()
                 self.blocks.append((path, text, aside, article, len(self.tokens)))
-                self.tokens += [token(path, w) for w in text.split(" ")]
-
-    def _path(self) -> str:
-        return "/".join(x[0] for x in self.open if x[0] not in INLINE)
+                if not aside:
+                    self.tokens += [token(path, w) for w in units(text)]
 
     def _tag(self, kind: str) -> None:
-        if not self.open[-1][1] and self.open[-1][0] not in INLINE:
+        tag, silent, _, _, path = self.open[-1]
+        if not silent and tag not in INLINE:
             self.tags.append(len(self.tokens))
-            self.tokens.append(token(kind, self._path()))
+            self.tokens.append(token(kind, path))
 
     def _pop(self, n: int) -> None:
         while len(self.open) > n:
@@ -136,11 +148,11 @@ class Blocks(HTMLParser):
                 self._pop(i)
             elif self.open[i][0] not in INLINE and self.open[i][0] not in ends:
                 break
-        _, silent, aside, article = self.open[-1] if self.open else ("", False, False, False)
+        _, silent, aside, article, path = self.open[-1] if self.open else OUTSIDE
         body = tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs)
         # inside an article a header holds its title; elsewhere it is the site's
         away = (tag in ASIDE and not (tag == "header" and article)) or (tag not in ("html", "body") and marked(attrs, article))
-        self.open.append((tag, silent or tag in SILENT, aside or away, article or body))
+        self.open.append((tag, silent or tag in SILENT, aside or away, article or body, path if tag in INLINE else f"{path}/{tag}"))
         if (tag in SILENT or away) and tag in INLINE:
             self._flush_before()
         self._tag("begin")
@@ -215,25 +227,32 @@ def template_places(tokens: list[int], classes: dict[int, tuple[int, int, int, i
     return template
 
 
-def _together(known: list[tuple[int, int, int, int]], words: int) -> bool:
-    """Whether template words of a block of so many words belong together: alone on FREQUENT pages, or close to each other elsewhere too."""
-    if 2 * len(known) < words or not known:
+def _together(known: list[tuple[int, int, int, int]], held: int, words: int, parts: int) -> bool:
+    """Whether template tokens of a block of so many words and tokens belong together: alone on FREQUENT pages, or in a block's length elsewhere too."""
+    if 2 * held < words or not known:
         return False
     if len(known) == 1:
         return known[0][0] >= FREQUENT
-    return all(max(x[i] for x in known) - min(x[i] for x in known) <= 2 * words + 2 for i in (2, 3))
+    return all(max(x[i] for x in known) - min(x[i] for x in known) <= parts + 1 for i in (2, 3))
 
 
 def main_text(page: Blocks, classes: dict[int, tuple[int, int, int, int]]) -> str:
     """The article's blocks, one a line. classes: as for template_places, empty if the host has no template."""
     template = template_places(page.tokens, classes) if classes else []
     held, tags = set(template), set(page.tags)
+    fixed = {page.tokens[at] for at in template if at in tags}
     borders = [at for at in template if at in tags]
     slots = []
     for path, text, aside, article, at in page.blocks:
+        if aside:
+            continue
         words = text.count(" ") + 1
-        if not aside and not _together([classes[page.tokens[i]] for i in range(at, at + words) if i in held], words):
-            slots.append((text, article, bisect_left(borders, at), words, path.rsplit("/", 1)[-1]))
+        if token("begin", path) in fixed and not (article and path.rsplit("/", 1)[-1] in PROSE):
+            parts = units(text)
+            known = [(classes[page.tokens[i]], u.count(" ") + 1) for i, u in enumerate(parts, at) if i in held]
+            if _together([x for x, _ in known], sum(n for _, n in known), words, len(parts)):
+                continue
+        slots.append((text, article, bisect_left(borders, at), words, path.rsplit("/", 1)[-1]))
     if any(x[1] for x in slots):
         slots = [x for x in slots if x[1]]
     elif len(borders) > 2 and slots:
@@ -253,32 +272,39 @@ def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
     """h, token, pages, class, first, last: the tokens that can be template on the host with hash h. pages: h, html, copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "token", "pages", "vector", "page", "first", "n", "end", "last"]
+        names = ["h", "token", "pages", "v1", "v2", "page", "first", "end", "last"]
         for b in common.slices(batches, "html"):
             seen: dict[tuple[int, int], list[int]] = {}
             for h, html, copies in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), b.column("copies").to_pylist(), strict=True):
                 page = xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "surrogatepass")) >> 1
                 part = pow(copies, -1, P) if copies > 1 else 1
+                v1, v2 = page % P * part % P, (page >> 32) * 48271 % P * part % P
                 tokens = parsed(html).tokens
-                first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1), strict=True))
-                for t, n in [*Counter(tokens).items(), (0, 0)]:  # token 0 stands for the host
-                    vector = ((page ^ n * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) % P * part % P
+                first = dict(zip(tokens, range(len(tokens)), strict=True))
+                twice = [t for t, n in Counter(tokens).items() if n > 1] if len(first) < len(tokens) else []
+                first.update(dict.fromkeys(twice, -1))  # once on each of its pages, or no template
+                first[0] = 0  # token 0 stands for the host
+                for t, at in first.items():
                     if (old := seen.get((h, t))) is None:
-                        seen[h, t] = [part, vector, page, first.get(t, 0), n, page, first.get(t, 0)]
-                    else:
-                        old[0], old[1] = (old[0] + part) % P, (old[1] + vector) % P
-                        if page < old[2]:
-                            old[2:5] = page, first.get(t, 0), n
-                        if page > old[5]:
-                            old[5:] = page, first.get(t, 0)
-            rows = [(*k, *v) for k, v in seen.items()]
+                        seen[h, t] = [part, v1, v2, page, at, page, at]
+                        continue
+                    old[0] += part
+                    old[1] += v1
+                    old[2] += v2
+                    if at < 0 or old[4] < 0:
+                        old[4] = -1
+                    elif page < old[3]:
+                        old[3:5] = page, at
+                    if page > old[5]:
+                        old[5:] = page, at
+            rows = [(*k, v[0] % P, v[1] % P, v[2] % P, *v[3:]) for k, v in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(9)], names=names)
 
-    found = pages.mapInArrow(run, "h long, token long, pages long, vector long, page long, first long, n long, end long, last long")
-    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
-    gathered = found.groupBy("h", "token").agg(total("pages").alias("pages"), total("vector").alias("vector"), F.min("page").alias("page"), F.min_by("first", "page").alias("first"), F.min_by("n", "page").alias("n"), F.max_by("last", "end").alias("last"))
-    modulo = lambda c: (F.col(c) % F.lit(P).cast("decimal(20,0)")).cast("long")
-    gathered = gathered.select("h", "token", modulo("pages").alias("pages"), modulo("vector").alias("vector"), "first", "last", "n").where(f"pages >= {least} and (token = 0 or n = 1)")
+    found = pages.mapInArrow(run, "h long, token long, pages long, v1 long, v2 long, page long, first long, end long, last long")
+    sums = [F.sum(c).alias(c) for c in ("pages", "v1", "v2")]
+    gathered = found.groupBy("h", "token").agg(*sums, F.min("first").alias("least"), F.min_by("first", "page").alias("first"), F.max_by("last", "end").alias("last"))
+    modulo = lambda c: F.col(c) % F.lit(P)
+    gathered = gathered.where("least >= 0").select("h", "token", modulo("pages").alias("pages"), (modulo("v1") * (1 << 31) + modulo("v2")).alias("vector"), "first", "last").where(f"pages >= {least} or token = 0")
     gathered = common.cut(gathered)
     hosts = gathered.where("token = 0").select("h", F.col("pages").alias("all"))
     tokens = gathered.where("token <> 0")

@@ -55,7 +55,7 @@ def story(i):
 def bare(i):
     """A page that names nothing: neither elements nor classes tell what its parts are."""
     title, lines = story(i)
-    return f"<div><p>Welcome to our site</p><p>Sale of the day {i % 3}</p></div><section><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in lines) + f"</section><table><tr><td>{i} visitors since May</td></tr></table><div><p>All rights reserved</p></div>"
+    return f"<dl><dt>Welcome to our site</dt><dd>Sale of the day {i % 3}</dd></dl><section><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in lines) + f"</section><table><tr><td>{i} visitors since May</td></tr></table><div>All rights reserved</div>"
 
 
 def test_template_of_a_host(spark):
