@@ -51,6 +51,12 @@ SPAN = r"(\d+(?:\.\d+)?)\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s*(?:degrees?)?\s*c"
 CHECK_VALVE = ["check valve", "reflux", "non return", "non-return", "swing check", "prevent reverse flow"]
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """f of the values, each computed once: an expression that is written twice is also evaluated, and compiled, twice."""
+    bound = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.transform(F.array(bound), lambda s: f(*(s[f"v{i}"] for i in range(len(values)))))[0]
+
+
 def any_cue(text: Column, cues: list[str]) -> Column:
     return F.lit(False) if not cues else _any([F.contains(text, F.lit(c)) for c in cues])
 
@@ -64,73 +70,80 @@ def _any(tests: list[Column]) -> Column:
 
 def first_cue(text: Column, table: list[tuple[str, str]]) -> Column:
     """The value of the first cue in the table that the text contains, else ''."""
-    key, out = underscore_key(text), F
-    for cue, value in table:
-        out = out.when(F.contains(key, F.lit(cue)), value)
-    return out.otherwise("")
+    cues = F.array(*(F.struct(F.lit(cue).alias("cue"), F.lit(value).alias("value")) for cue, value in table))
+    return let(lambda key: F.coalesce(F.get(F.filter(cues, lambda x: F.contains(key, x["cue"])), F.lit(0))["value"], F.lit("")), underscore_key(text))
 
 
 def lookup(value: Column, table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[value]
 
 
-def text_state(query: Column, candidate: Column) -> Column:
-    q, c = underscore_key(query), underscore_key(candidate)
+def _text_state(q: Column, c: Column) -> Column:
+    """Of two keys."""
     state = F.when(q.isin("potable", "potable water", "potable water supply") & any_cue(c, ["other than potable", "non potable"]), "CONTRADICTION").when(F.contains(c, q) | F.contains(q, c), "EXACT_MATCH")
     for value, cues, found in IMPLIED:
         state = state.when((q == value) & any_cue(c, cues), found)
     return state.otherwise("UNKNOWN")
 
 
+def text_state(query: Column, candidate: Column) -> Column:
+    return let(_text_state, underscore_key(query), underscore_key(candidate))
+
+
 def subtype_state(query: Column, candidate: Column) -> Column:
     """Subtypes and functions; a check valve and a pressure-reducing one exclude each other."""
-    q, c = underscore_key(query), underscore_key(candidate)
-    check = any_cue(c, CHECK_VALVE)
-    wanted = q.isin("prevent reverse flow", "check valve")
-    state = F.when(F.contains(c, q) | F.contains(q, c), "EXACT_MATCH").when(wanted & check, "STRONG_COMPATIBLE").when(wanted & F.contains(c, F.lit("pressure reducing")), "CONTRADICTION")
-    return state.when(F.contains(q, F.lit("pressure reducing")) & check, "CONTRADICTION").otherwise(text_state(query, candidate))
+
+    def state(q: Column, c: Column) -> Column:
+        check, wanted = any_cue(c, CHECK_VALVE), q.isin("prevent reverse flow", "check valve")
+        found = F.when(F.contains(c, q) | F.contains(q, c), "EXACT_MATCH").when(wanted & check, "STRONG_COMPATIBLE").when(wanted & F.contains(c, F.lit("pressure reducing")), "CONTRADICTION")
+        return found.when(F.contains(q, F.lit("pressure reducing")) & check, "CONTRADICTION").otherwise(_text_state(q, c))
+
+    return let(state, underscore_key(query), underscore_key(candidate))
 
 
 def pozzolana_state(query: Column, candidate: Column) -> Column:
-    q, c = underscore_key(query), underscore_key(candidate)
-    ash, clay = F.contains(c, F.lit("fly ash")), F.contains(c, F.lit("calcined clay"))
-    state = F.when((q == "fly ash") & clay, "CONTRADICTION").when((q == "fly ash") & ash, "EXACT_MATCH")
-    return state.when((q == "calcined clay") & clay, "EXACT_MATCH").when((q == "calcined clay") & ash, "CONTRADICTION").otherwise(text_state(query, candidate))
+    def state(q: Column, c: Column) -> Column:
+        ash, clay = F.contains(c, F.lit("fly ash")), F.contains(c, F.lit("calcined clay"))
+        found = F.when((q == "fly ash") & clay, "CONTRADICTION").when((q == "fly ash") & ash, "EXACT_MATCH")
+        return found.when((q == "calcined clay") & clay, "EXACT_MATCH").when((q == "calcined clay") & ash, "CONTRADICTION").otherwise(_text_state(q, c))
+
+    return let(state, underscore_key(query), underscore_key(candidate))
 
 
 def material_state(query: Column, candidate: Column) -> Column:
-    q, c = first_cue(query, MATERIAL_CUES), first_cue(candidate, MATERIAL_CUES)
     group = {m: g for g, ms in MATERIAL_GROUPS.items() for m in ms}
-    gq, gc = lookup(q, group), lookup(c, group)
-    pair = lambda a, b: ((q == a) & (c == b)) | ((q == b) & (c == a))
-    state = F.when((q == "") | (c == ""), "UNKNOWN").when(q == c, "EXACT_MATCH").when(pair("clay", "sandstone"), "CONTRADICTION").when(pair("plastic", "GRP"), "STRONG_COMPATIBLE")
-    return state.when((gq == gc) & gq.isin(*TOGETHER), "STRONG_COMPATIBLE").when(gq != gc, "CONTRADICTION").otherwise(text_state(query, candidate))
+
+    def state(q: Column, c: Column, gq: Column, gc: Column, by_text: Column) -> Column:
+        pair = lambda a, b: ((q == a) & (c == b)) | ((q == b) & (c == a))
+        found = F.when((q == "") | (c == ""), "UNKNOWN").when(q == c, "EXACT_MATCH").when(pair("clay", "sandstone"), "CONTRADICTION").when(pair("plastic", "GRP"), "STRONG_COMPATIBLE")
+        return found.when((gq == gc) & gq.isin(*TOGETHER), "STRONG_COMPATIBLE").when(gq != gc, "CONTRADICTION").otherwise(by_text)
+
+    by_text = text_state(query, candidate)
+    return let(lambda q, c: let(state, q, c, lookup(q, group), lookup(c, group), by_text), first_cue(query, MATERIAL_CUES), first_cue(candidate, MATERIAL_CUES))
 
 
 def best_state(states: Column) -> Column:
     """The best state of an array of them."""
-    out = F
-    for s in STATES:
-        out = out.when(F.array_contains(states, s), s)
-    return out.otherwise("UNKNOWN")
+    best = F.array(*map(F.lit, STATES))
+    return let(lambda found: F.coalesce(F.get(F.filter(best, lambda s: F.array_contains(found, s)), F.lit(0)), F.lit("UNKNOWN")), states)
+
+
+def _named(values: Column) -> Column:
+    return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
 
 
 def attribute(values: Column, text: Column, field: str, state: Callable[[Column, Column], Column]) -> tuple[Column, Column]:
     """Score and flag of a wanted attribute; 0 and no flag if nothing is wanted."""
-    wanted = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
-    t = F.coalesce(F.trim(text), F.lit(""))
-    found = F.when(t == "", "UNKNOWN").otherwise(best_state(F.transform(wanted, lambda v: state(v, t))))
-    none = F.size(wanted) == 0
-    return F.when(none, 0.0).otherwise(lookup(found, STATES)), F.when(~none, F.concat(F.lit(f"{field}_"), found))
+    found = let(lambda wanted, t: F.when(F.size(wanted) == 0, F.lit(None)).when(t == "", "UNKNOWN").otherwise(best_state(F.transform(wanted, lambda v: state(v, t)))), _named(values), F.coalesce(F.trim(text), F.lit("")))
+    return F.coalesce(lookup(found, STATES), F.lit(0.0)), F.concat(F.lit(f"{field}_"), found)
 
 
 def exclusion(values: Column, text: Column, field: str, state: Callable[[Column, Column], Column]) -> tuple[Column, Column]:
     """-8 and a contradiction if the candidate has what is excluded; a candidate without text is clear."""
-    unwanted = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
-    t = F.coalesce(F.trim(text), F.lit(""))
-    hit = (t != "") & best_state(F.transform(unwanted, lambda v: state(v, t))).isin("EXACT_MATCH", "STRONG_COMPATIBLE", "PARTIAL_MATCH")
-    none = F.size(unwanted) == 0
-    return F.when(none | ~hit, 0.0).otherwise(STATES["CONTRADICTION"]), F.when(~none, F.concat(F.lit(f"EXCLUDED_{field}_"), F.when(hit, "CONTRADICTION").otherwise("CLEAR")))
+    like = ["EXACT_MATCH", "STRONG_COMPATIBLE", "PARTIAL_MATCH"]
+    hit = lambda unwanted, t: (t != "") & best_state(F.transform(unwanted, lambda v: state(v, t))).isin(*like)
+    found = let(lambda unwanted, t: F.when(F.size(unwanted) > 0, hit(unwanted, t)), _named(values), F.coalesce(F.trim(text), F.lit("")))
+    return F.when(found, STATES["CONTRADICTION"]).otherwise(0.0), F.concat(F.lit(f"EXCLUDED_{field}_"), F.when(found, "CONTRADICTION").when(~found, "CLEAR"))
 
 
 def temperature_ranges(text: Column) -> Column:

@@ -12,7 +12,6 @@ from .dialect import sql_query
 from .registry import query
 
 sql_query("excerpts", "SELECT doc_id, CASE WHEN length(text) <= 240 THEN text ELSE concat(rtrim(substring(text, 1, 237)), '...') END AS excerpt FROM documents", "X4")
-sql_query("split_items", "SELECT conv_id, turn, @rank{PARTITION BY conv_id, turn ORDER BY position_key} AS item, @md5{item_text} AS item_md5 FROM (SELECT conv_id, turn, item_text, @md5{concat(item_text, @str{turn})} AS position_key FROM (SELECT conv_id, turn, @unnest{@distinct{@split{text|'[.] '}}} AS item_text FROM conversations) AS u WHERE length(item_text) > 3) AS i", "X5: items of a turn are its sentences, each once")
 MARKS = "@compact{CASE WHEN @within{t|'the'} > 0 THEN 'steel' END, CASE WHEN @within{t|'ion'} > 0 THEN 'iron' END, CASE WHEN @within{t|'ung'} > 0 THEN 'clay' END}"
 sql_query("tender_extract", f"SELECT conv_id, turn, @join{{{MARKS}|','}} AS materials, CASE WHEN @within{{t|'ring'}} > 0 THEN 'ring' WHEN @within{{t|'rod'}} > 0 THEN 'rod' END AS product, @size{{@all{{t|'[0-9]+'|0}}}} AS n_numbers, @join{{@all{{t|'[0-9]+[.][0-9]+'|0}}|';'}} AS requirements FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) AS c", "X6, X7")
 sql_query("scrub_codes", "SELECT doc_id, @md5{@gsub{text|'[0-9][0-9.]*[0-9]'|'#'}} AS scrubbed_md5, @size{@all{text|'[0-9][0-9.]*[0-9]'|0}} AS n_codes FROM documents", "X9")
@@ -27,7 +26,6 @@ sql_query(
 sql_query("code_parts", "SELECT o_orderkey, year(o_orderdate) AS revision_year, @at{@split{o_orderpriority|'-'}|1} AS part_no, @at{@split{o_orderpriority|'-'}|2} AS section FROM orders", "X18")
 sql_query("negation_phrases", "SELECT doc_id, @size{@all{lower(text)|'(not|no|except|excluding|without|nicht|pas|sin) ([a-z0-9/ -]+)'|2}} AS n, @at{@all{lower(text)|'(not|no|except|excluding|without|nicht|pas|sin) ([a-z0-9/ -]+)'|2}|1} AS first_phrase FROM documents", "X19")
 sql_query("grade_temperature", "SELECT p_partkey, nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS grade, CASE WHEN p_name LIKE 'hot%' THEN CAST(p_size AS DOUBLE) * 10 WHEN p_name LIKE 'cold%' THEN -CAST(p_size AS DOUBLE) END AS temperature_c FROM part", "X20")
-sql_query("temperature_ranges", "SELECT q.p_partkey AS query_id, d.p_partkey AS doc_id, CASE WHEN q.p_size >= d.p_size - 5 AND q.p_size <= d.p_size + 5 THEN 4e0 ELSE -8e0 END AS score FROM (SELECT * FROM part WHERE p_partkey % 100 = 0) q JOIN part d ON q.p_brand = d.p_brand WHERE d.p_name LIKE 'hot%'", "D20: containment in a range")
 sql_query("intent_values", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt' OR p_name LIKE '%rod' THEN 'structural' WHEN p_name LIKE '%gear' THEN 'power' ELSE 'general' END AS application, CASE WHEN p_type LIKE 'P%' THEN 'water' WHEN p_type LIKE 'S%' THEN 'sewage' END AS medium FROM part", "Z4, Z6")
 sql_query("intent_enums", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring' THEN 'round' WHEN p_name LIKE '%plate' THEN 'flat' ELSE 'other' END AS form, CASE WHEN p_size < 10 THEN 'light' WHEN p_size < 30 THEN 'medium' ELSE 'heavy' END AS class FROM part", "Z5")
 sql_query("enriched_query", "SELECT p_partkey, concat_ws('; ', p_name, p_type, CASE WHEN p_size > 25 THEN concat('size ', @str{p_size}) END, CASE WHEN p_name LIKE 'hot%' THEN 'temperature 100 C' END) AS enriched FROM part", "X22")
@@ -72,16 +70,3 @@ def fuzzy_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values only are compared with the aliases."""
     d = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.split("p_name", " ")[1].alias("noun")).distinct()
     return d.withColumn("alias", X.fuzzy_alias(F.translate("noun", "g", ""), ["anvil", "bolt", "gear", "plate", "ring"]))
-
-
-@query("intent_normalize")
-def intent_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grounded values stay, negated ones are excluded, the material of the surroundings is context."""
-    t = F.lower("text")
-    words = T.tokens(F.col("text"))
-    known = F.array(*(F.lit(x) for x in ("steel", "iron", "clay", "the", "der", "les")))
-    negated = F.regexp_extract_all(t, F.lit(r"\b(?:not|no|except|without)\s+([a-z]+)"), F.lit(1))
-    context = F.regexp_extract_all(t, F.lit(r"\b(?:on|in|of)\s+([a-z]+)"), F.lit(1))
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    out = c.select("conv_id", "turn", F.array_intersect(words, known).alias("grounded"), F.array_distinct(negated).alias("excluded"), F.array_intersect(context, known).alias("context_material"))
-    return out.select("conv_id", "turn", F.array_join(F.array_sort(F.array_except("grounded", F.array_union("excluded", "context_material"))), ",").alias("material"), F.array_join(F.array_sort("excluded"), ",").alias("excluded"), F.array_join(F.array_sort("context_material"), ",").alias("context_material"))

@@ -27,23 +27,13 @@ def _query(name: str, tail: str, doc: str) -> None:
     sql_query(name, f"WITH {TAX} {tail}", doc)
 
 
-_query("product_compatibility", "SELECT query_id, doc_id, compatibility FROM k", "D11, D12")
-_query("product_gate", "SELECT query_id, doc_id, @rank{PARTITION BY query_id ORDER BY CASE WHEN compatibility IN ('compatible', 'adjacent', 'same_family') THEN 0 WHEN compatibility LIKE 'unknown%' THEN 1 ELSE 2 END, rank} AS gated_rank FROM k", "W5")
-_query("constraint_score", "SELECT query_id, doc_id, state, constraint_score FROM s", "D14, D15")
-_query("constraint_order", "SELECT query_id, doc_id, @rank{PARTITION BY query_id ORDER BY least(constraint_score, 0e0) DESC, constraint_score DESC, rank} AS constraint_rank FROM s", "W6")
-_query("final_order", "SELECT query_id, doc_id, round(1e0 / (60 + rank) + constraint_score, 6) AS final_score, @rank{PARTITION BY query_id ORDER BY CASE WHEN constraint_score < 0 THEN 1 ELSE 0 END, round(1e0 / (60 + rank) + constraint_score, 6) DESC, rank} AS final_rank FROM s", "W7, D21")
 _query("contradiction_safe_order", "SELECT query_id, doc_id, @rank{PARTITION BY query_id ORDER BY CASE WHEN state = 'CONTRADICTION' THEN 1 ELSE 0 END, CASE WHEN constraint_score < 0 THEN 1 ELSE 0 END, constraint_score DESC, rank} AS safe_rank FROM s", "W9")
 _query("function_priority", "SELECT query_id, doc_id, @rank{PARTITION BY query_id ORDER BY CASE WHEN any_match = 1 AND fits = 0 THEN 1 ELSE 0 END, rank} AS priority_rank FROM (SELECT *, max(fits) OVER (PARTITION BY query_id) AS any_match FROM (SELECT *, CASE WHEN q_type = p_type AND q_word = word THEN 1 ELSE 0 END AS fits FROM k) AS a) AS b", "W8: only if some candidate fits")
-_query("exclusion_score", "SELECT query_id, doc_id, CASE WHEN q_field = field AND q_word <> word THEN -8e0 ELSE 0e0 END AS exclusion_score, CASE WHEN q_field = field AND q_word <> word THEN concat(upper(field), '_CONTRADICTION') ELSE concat(upper(coalesce(q_field, 'none')), '_CLEAR') END AS flag FROM k", "D16")
 _query("effective_values", "SELECT p_partkey, coalesce(product, 'unknown') AS product, CASE WHEN p_type LIKE 'P%' THEN 'promotional' WHEN product IS NULL THEN noun ELSE coalesce(family, 'none') END AS effective_family, CASE WHEN field = 'temperature' THEN word ELSE 'ambient' END AS effective_temperature FROM m", "D13")
-_query("material_state", "SELECT query_id, doc_id, CASE WHEN family IS NULL OR q_family IS NULL THEN 'UNKNOWN' WHEN product = q_product THEN 'EXACT' WHEN family = q_family THEN 'STRONG' WHEN family = 'mechanism' OR q_family = 'mechanism' THEN 'PARTIAL' ELSE 'CONTRADICTION' END AS material_state FROM k", "D17")
-_query("text_state", "SELECT query_id, doc_id, CASE WHEN q_type = p_type THEN 'EXACT' WHEN substring(q_type, 1, 3) = substring(p_type, 1, 3) THEN 'STRONG' WHEN @within{p_type|'A'} > 0 AND @within{q_type|'A'} > 0 THEN 'PARTIAL' ELSE 'UNKNOWN' END AS text_state FROM k", "D18")
-_query("grade_state", "SELECT query_id, doc_id, CASE WHEN p_size = q_size THEN 4e0 WHEN abs(p_size - q_size) <= 2 THEN 1.5e0 WHEN abs(p_size - q_size) > 30 THEN -8e0 ELSE 0e0 END AS grade_score FROM k", "D19")
 _query("debug_trace", "SELECT query_id, @join{@sort{@list{concat(lpad(@str{rank}, 3, '0'), ':', @str{doc_id})}}|','} AS trace FROM k WHERE rank <= 20 GROUP BY query_id", "Z14: twenty places a query")
 _query("recommendation_view", "SELECT query_id, doc_id, rank, concat_ws('; ', CASE WHEN product IS NOT NULL THEN concat('product=', product) END, CASE WHEN family IS NOT NULL THEN concat('family=', family) END, concat('state=', state)) AS details FROM s WHERE rank <= 5", "X26, X28")
 _query("metadata_integrity", "SELECT p_partkey, CASE WHEN product IS NULL THEN 'WEAK_PRODUCT_TEXT_EVIDENCE' WHEN family = 'mechanism' AND p_type LIKE 'S%' THEN 'PRODUCT_FAMILY_CONFLICT' ELSE 'SAME_FAMILY_MISMATCH' END AS issue FROM m WHERE product IS NULL OR (family = 'mechanism' AND p_type LIKE 'S%') OR (family = 'fastener' AND p_size > 45)", "F8")
 _query("metadata_report", "SELECT coalesce(family, 'none') AS family, count(*) AS n, @if{product IS NOT NULL} AS with_product, @if{field IS NOT NULL} AS with_attribute, @if{product IS NOT NULL AND field IS NOT NULL} AS resolved, CASE WHEN count(product) = 0 THEN 'REVIEW' ELSE 'RESOLVED_PRODUCT' END AS status FROM m GROUP BY coalesce(family, 'none')", "G7, F10")
-_query("metadata_derive", "SELECT p_partkey, CASE WHEN p_type LIKE 'E%' THEN NULL ELSE product END AS product, CASE WHEN p_type LIKE 'E%' THEN NULL ELSE family END AS family, CASE WHEN p_type LIKE 'E%' THEN coalesce(family, '') ELSE '' END AS applies_to, CASE WHEN p_type LIKE 'E%' AND family IS NOT NULL THEN 'high' WHEN product IS NOT NULL THEN 'high' WHEN field IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence, coalesce(product, noun) AS primary_subject FROM m", "D7, D8")
 _query("known_subtypes", "SELECT family, @join{@set{concat(word, ' ', noun)}|','} AS subtypes FROM m WHERE family IS NOT NULL GROUP BY family", "Z7: the taxonomy bounds a family's subtypes")
 _query("ambiguous_groups", "SELECT family, word, count(*) AS n, min(p_partkey) AS first_key FROM m WHERE family IS NOT NULL GROUP BY family, word HAVING count(*) >= 2", "D27, W12")
 _query("round_robin_sample", "SELECT p_partkey, family, product, turn FROM (SELECT p_partkey, coalesce(family, 'unknown_family') AS family, coalesce(product, 'unknown_product') AS product, @rank{PARTITION BY family, product ORDER BY p_partkey} AS turn FROM m) AS r ORDER BY turn, family, product, p_partkey LIMIT 75", "W10: the sample size is the operator's")
@@ -58,9 +48,7 @@ ranked AS (SELECT *, @rank{PARTITION BY doc_id ORDER BY score DESC, ord} AS r, c
 """
 sql_query("alias_matches", f"WITH {ALIAS} SELECT doc_id, product, in_title, in_text FROM hits", "J11, D2")
 sql_query("product_scores", f"WITH {ALIAS} SELECT doc_id, product, score FROM scores", "D3")
-sql_query("product_canonicalize", f"WITH {ALIAS} SELECT doc_id, product, score, runner, CASE WHEN in_title > 0 AND score - runner >= 2 THEN 'high' WHEN score - runner >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM ranked WHERE r = 1", "D4, W14, W15")
 sql_query("first_match_attribute", f"WITH {ALIAS} SELECT doc_id, @first{{product|ord}} AS attribute FROM (SELECT body.doc_id, product, ord FROM body JOIN alias ON body.word = alias.word) AS f GROUP BY doc_id", "D5")
-sql_query("kind_cascade", "SELECT doc_id, CASE WHEN @within{lower(text)|'test'} > 0 THEN 'test_method' WHEN @within{lower(text)|'practice'} > 0 THEN 'code_of_practice' WHEN @within{lower(text)|'term'} > 0 THEN 'terminology' WHEN @within{lower(text)|'inst'} > 0 THEN 'installation' WHEN @within{lower(text)|'mat'} > 0 THEN 'material_standard' WHEN @within{lower(text)|'the'} > 0 THEN 'product_standard' ELSE 'other' END AS kind FROM documents", "D1: ordered first match")
 sql_query("fallback_product", "SELECT doc_id, substring(@join{@slice{w|greatest(@size{w} - 3, 1)|4}|'_'}, 1, 128) AS product FROM (SELECT doc_id, @filter{@tok{substring(text, 1, 80)}|NOT x IN ('the', 'of', 'a', 'to', 'and') AND NOT (x >= '0' AND x < ':')} AS w FROM documents) AS t WHERE @size{w} > 0", "D6")
 sql_query("title_reconstruct", "SELECT doc_id, CASE WHEN length(line) > length(source) + 2 AND @rlike{line|'^[A-Z]'} THEN line WHEN source LIKE '%AND' OR source LIKE '%FOR' OR source LIKE '%OF' OR source LIKE '%TO' OR source LIKE '%,' THEN line ELSE source END AS title FROM (SELECT doc_id, source, @at{@split{text|chr(10)}|1} AS line FROM documents) AS t", "D9")
 sql_query("retrieval_text", "SELECT doc_id, concat_ws(chr(10), concat('source: ', nullif(source, '')), concat('language: ', nullif(lang, '')), concat('opening: ', nullif(substring(text, 1, 80), ''))) AS retrieval_text FROM documents", "D10, X25")

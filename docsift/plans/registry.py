@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import corpus, evaluation, extraction, ranking, retrieval, training  # noqa: F401
+    from . import catalogue, corpus, evaluation, extraction, ranking, retrieval, training  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

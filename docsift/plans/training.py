@@ -61,9 +61,6 @@ def pair_group_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("frozen_query_union", "SELECT item_id AS id, @md5{text} AS text_md5, 'benchmark' AS origin FROM benchmark UNION ALL SELECT doc_id, @md5{text}, 'documents' FROM documents WHERE doc_id % 100 = 0", "U4")
-sql_query("training_split", "SELECT p_partkey, CASE WHEN place <= round(total * 0.15e0) THEN 'validation' ELSE 'train' END AS split FROM (SELECT p_partkey, @rank{ORDER BY h, p_partkey} AS place, count(*) OVER () AS total FROM (SELECT p_partkey, @md5{concat('5108:', @str{p_partkey})} AS h FROM part WHERE p_partkey % 4 = 0) AS a) AS b", "M6: a fixed order by hash instead of a shuffle")
 sql_query("training_query_violations", """SELECT 'duplicate_query' AS rule, p_name AS k, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1
  UNION ALL SELECT 'contains_code', p_name, count(*) FROM part WHERE @rlike{p_name|'[0-9]'} GROUP BY p_name UNION ALL SELECT 'blank_product', p_name, count(*) FROM part WHERE p_name NOT LIKE '% %' GROUP BY p_name""", "Z16")
-sql_query("training_pair_violations", """SELECT 'duplicate_pair' AS rule, count(*) AS n FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1) AS a
- UNION ALL SELECT 'missing_document', count(*) FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_partkey IS NULL UNION ALL SELECT 'no_negatives', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) < 2) AS c""", "Z17")
 sql_query("ambiguous_violations", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) < 2 THEN 'too_few_plausible' WHEN max(p_size) > 49 THEN 'used_as_positive' ELSE 'ok' END AS rule, count(DISTINCT p_brand) AS plausible FROM part GROUP BY p_name", "Z18, D27")
