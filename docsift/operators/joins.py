@@ -12,15 +12,22 @@ from pyspark.sql import types as T
 def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
     """a < b, jaccard (6 decimals) of all pairs of similarity `least` or more. rows: id, s (distinct tokens).
 
-    Exact: with tokens in order of rarity, two such sets share a token among the first n - ceil(least * n) + 1 of each,
-    and their sizes differ by no more than the factor `least`.
+    Exact: with tokens in order of rarity, two such sets of n and more tokens share two tokens among the first
+    n - ceil(least * n) + 2 of each (one among one less, if a single token is enough), and their sizes differ by no more
+    than the factor `least`. Rows are joined by pairs of rare tokens, since single tokens can be common to most rows.
     """
     rows = rows.where(F.size("s") > 0)
     rarity = rows.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     ordered = rows.select("id", F.explode("s").alias("tok")).join(rarity, "tok").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
     n = F.size("o")
-    prefix = F.slice("o", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))
-    keys = ordered.select("id", n.alias("n"), F.explode(prefix).alias("p")).select("id", "n", F.col("p.tok").alias("tok"))
+    enough = F.ceil(F.lit(least) * n - 1e-9)
+    prefix = F.transform(F.slice("o", 1, F.least(n, n - enough + 2).cast("int")), lambda x: x["tok"])
+    two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    # A set of one token, or one of which one token is enough, is joined by single tokens with all.
+    single = least * 2 <= 1 + 1e-9
+    one = F.transform("p", lambda x: F.xxhash64(x))
+    tokens = one if single else F.when(F.col("n") == 1, one).otherwise(two)
+    keys = ordered.select("id", n.alias("n"), prefix.alias("p")).select("id", "n", F.explode(tokens).alias("tok"))
     left, right = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "tok"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tok")
     sized = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
     pairs = left.join(right, "tok").where(sized).select("a", "b").distinct()

@@ -16,6 +16,8 @@ from docsift.functions import text as T
 K1, B, TOP, RRF_K, NO_RANK = 1.5, 0.75, 20, 60, 10_000
 #: Distinct terms of all queries up to which their side of a join is broadcast.
 BROADCAST_TERMS = 200_000
+#: Queries that are held against all vectors at once.
+BLOCK = 4096
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -64,12 +66,18 @@ class Bm25Index:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """Exact cosine top k. vectors: doc_id, v; queries: query_id, q, a stated set, held in blocks against all rows."""
+    """Exact cosine top k. vectors: doc_id, v; queries: query_id, q, a stated set, held in blocks of BLOCK against all rows."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     left = vectors.select("doc_id", "v", F.sqrt(dot("v", "v")).alias("nv"))
     right = queries.select("query_id", "q", F.sqrt(dot("q", "q")).alias("nq"))
-    scored = left.crossJoin(F.broadcast(right)).select("query_id", "doc_id", F.round(dot("v", "q") / (F.col("nv") * F.col("nq")), 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    blocks = max(1, -(-right.count() // BLOCK))
+    out = None
+    for i in range(blocks):
+        some = right.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else right  # about BLOCK rows
+        scored = left.crossJoin(F.broadcast(some)).select("query_id", "doc_id", F.round(dot("v", "q") / (F.col("nv") * F.col("nq")), 6).alias("score"))
+        best = top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, k: int = RRF_K, limit: int = TOP) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries of the retrieval operators on the driver tables, with their oracles.
 
 Documents stand for standards and benchmark items for requirements; a document is relevant to an item if it contains the
-item's text. Embeddings: the vectors with vec_id < 10 are the queries, vectors of the same label are relevant.
+item's text. Embeddings: the vectors whose vec_id is divisible by 20 are the queries, vectors of the same label are relevant.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 """
 DENSE_SQL = """
 cs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-       FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id < 10) q),
+       FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
 ds AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs)
 """
 RRF_SQL = """
 fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS semantic_rank, b.rank AS bm25_rank,
               round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf_score
-       FROM (SELECT * FROM ds WHERE rank <= 20) a FULL JOIN (SELECT * FROM bm WHERE rank <= 20 AND query_id < 10) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+       FROM (SELECT * FROM ds WHERE rank <= 20) a FULL JOIN (SELECT * FROM bm WHERE rank <= 20) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 rf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, coalesce(semantic_rank, 10000), coalesce(bm25_rank, 10000), doc_id) AS rank FROM fu)
 """
 
@@ -63,7 +63,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     (e,) = _read(spark, sf_dir, "embeddings")
-    return R.dense_topk(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return R.dense_topk(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
 @query("dense_topk", f"WITH {DENSE_SQL} SELECT query_id, doc_id, score, rank FROM ds WHERE rank <= 20")
@@ -73,7 +73,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rrf(_dense(spark, sf_dir), _index(spark, sf_dir).search().where("query_id < 10"))
+    return R.rrf(_dense(spark, sf_dir), _index(spark, sf_dir).search())
 
 
 @query("rrf_fusion", f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL} SELECT query_id, doc_id, semantic_rank, bm25_rank, rrf_score, rank FROM rf WHERE rank <= 20")
@@ -140,12 +140,26 @@ METRICS_SQL = """count(*) AS queries, count(*) FILTER (rank <= 1) AS hit1, count
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items and the documents that contain them; a containing document shares the item's first tokens, by which they are joined."""
+    """Items and the documents that contain them.
+
+    A document that contains an item holds all of its tokens but the first and last as they are, so the two are joined by the
+    second to fourth token and then compared. Items of fewer than five tokens are compared with every document.
+    """
     docs, items = _read(spark, sf_dir, "documents", "benchmark")
-    n = items.count()
-    side = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("t"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(side) if n <= 10_000 else side, F.contains("text", F.col("t")))
-    return joined.select("query_id", "doc_id")
+    sides = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("t"), T.tokens("text").alias("toks")).where("t is not null")
+    three = lambda toks, at: F.xxhash64(F.get(toks, at), F.get(toks, at + 1), F.get(toks, at + 2))
+    long = sides.where("size(toks) >= 5").select("query_id", "t", three(F.col("toks"), F.lit(1)).alias("h"))
+    few = long.limit(R.BROADCAST_TERMS + 1).count() <= R.BROADCAST_TERMS
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("toks") - 3), lambda i: three(F.col("toks"), i)))
+    seen = docs.select("doc_id", T.tokens("text").alias("toks")).where("size(toks) >= 3").select("doc_id", F.explode(grams).alias("h"))
+    keys = long.select("query_id", "h")
+    pairs = seen.join(F.broadcast(keys) if few else keys, "h").select("query_id", "doc_id").distinct()
+    found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(long.select("query_id", "t"), "query_id").where(F.contains("text", F.col("t"))).select("query_id", "doc_id")
+    short = sides.where("size(toks) < 5").select("query_id", "t")
+    if not short.limit(1).count():
+        return found
+    few = short.limit(1001).count() <= 1000
+    return found.union(docs.select("doc_id", "text").join(F.broadcast(short) if few else short, F.contains("text", F.col("t"))).select("query_id", "doc_id"))
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +186,7 @@ def retrieval_metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups are the queries' labels."""
     (e,) = _read(spark, sf_dir, "embeddings")
     found = _dense(spark, sf_dir).join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("l")), "doc_id")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     ranks = found.join(F.broadcast(q), "query_id").groupBy("query_id", "label").agg(F.min(F.when((F.col("l") == F.col("label")) & (F.col("doc_id") != F.col("query_id")), F.col("rank"))).alias("rank"))
     return R.retrieval_metrics(ranks, ["label"])
 
@@ -204,13 +218,13 @@ def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense, lexical = _dense(spark, sf_dir), _index(spark, sf_dir).search()
     expected = dense.where("rank = 2").groupBy("query_id").agg(F.min("doc_id").alias("expected"))
     out = expected
-    for name, ranked in (("semantic_rank", dense), ("bm25_rank", lexical), ("rrf_rank", R.rrf(dense, lexical.where("query_id < 10")))):
+    for name, ranked in (("semantic_rank", dense), ("bm25_rank", lexical), ("rrf_rank", R.rrf(dense, lexical))):
         out = out.join(ranked.select("query_id", F.col("doc_id").alias("expected"), F.col("rank").alias(name)), ["query_id", "expected"], "left")
     return out.select("query_id", "expected", "semantic_rank", "bm25_rank", "rrf_rank")
 
 
 NEAR_SQL = """
-t AS (SELECT p_partkey, 'need ' || p_name || ' size ' || p_size || ' of ' || p_brand || ' type ' || p_type AS q FROM part WHERE p_partkey % 20 = 0 OR p_size = 7),
+t AS (SELECT p_partkey, 'need ' || p_name || ' size ' || p_size || ' of ' || p_brand || ' type ' || p_type AS q FROM part),
 k AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) AS s FROM t)
 """
 
@@ -223,7 +237,7 @@ def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (part,) = _read(spark, sf_dir, "part")
     q = F.concat(F.lit("need "), "p_name", F.lit(" size "), "p_size", F.lit(" of "), "p_brand", F.lit(" type "), "p_type")
-    rows = part.where("p_partkey % 20 = 0 or p_size = 7").select(F.col("p_partkey").alias("id"), F.array_distinct(T.tokens(q)).alias("s"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.array_distinct(T.tokens(q)).alias("s"))
     return joins.jaccard_pairs(rows, 0.8)
 
 
@@ -248,7 +262,7 @@ def leakage_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (part,) = _read(spark, sf_dir, "part")
     q = F.concat(F.lit("need "), "p_name", F.lit(" size "), "p_size", F.lit(" of "), "p_brand", F.lit(" type "), "p_type")
-    rows = part.where("p_partkey % 20 = 0 or p_size = 7").select(F.col("p_partkey").alias("id"), F.array_distinct(T.tokens(q)).alias("s"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.array_distinct(T.tokens(q)).alias("s"))
     pairs = joins.jaccard_pairs(rows, 0.7)
     both = pairs.union(pairs.select("b", "a", "jaccard")).where("a % 20 = 0 and b % 20 <> 0").select(F.col("a").alias("eval_id"), F.col("b").alias("train_id"), F.col("jaccard").alias("score"))
     return R.top_k(both, ["eval_id"], [F.desc("score"), F.asc("train_id")], 1, "r").drop("r")

@@ -16,7 +16,7 @@ sql_query("training_eligibility", f"WITH {ELIGIBLE} SELECT p_partkey, eligibilit
 
 NEG_SQL = f"""WITH {ELIGIBLE}, s AS (SELECT *, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+') AS toks FROM el WHERE eligibility = 'SAFE'),
 c AS (SELECT q.p_partkey AS query_id, d.p_partkey AS doc_id, CASE WHEN string_split(q.p_name, ' ')[2] = string_split(d.p_name, ' ')[2] THEN 'same_product' WHEN q.p_type = d.p_type THEN 'close_variant' ELSE 'trap' END AS category,
- len(list_intersect(q.toks, d.toks)) AS shared, len(list_distinct(list_concat(q.toks, d.toks))) AS total FROM (SELECT * FROM s WHERE p_partkey % 50 = 0) q JOIN s d ON q.p_brand = d.p_brand AND q.p_partkey <> d.p_partkey),
+ len(list_intersect(q.toks, d.toks)) AS shared, len(list_distinct(list_concat(q.toks, d.toks))) AS total FROM (SELECT * FROM s WHERE p_partkey % 20 = 0) q JOIN s d ON q.p_brand = d.p_brand AND q.p_partkey <> d.p_partkey),
 g AS (SELECT query_id, doc_id, category, round(shared / total::DOUBLE + CASE category WHEN 'same_product' THEN 0.30::DOUBLE WHEN 'close_variant' THEN 0.18::DOUBLE ELSE 0.05::DOUBLE END, 6) AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, doc_id) AS within FROM g),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN within <= CASE category WHEN 'same_product' THEN 2 ELSE 1 END THEN 0 ELSE 1 END, score DESC, doc_id) AS place FROM r)"""
@@ -28,7 +28,7 @@ def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = part.withColumn("eligibility", kind).where("eligibility = 'SAFE'")
     toks = T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
     d = safe.select(F.col("p_partkey").alias("doc_id"), "p_brand", F.split("p_name", " ")[1].alias("noun"), F.col("p_type").alias("kind"), toks.alias("toks"))
-    q = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "p_brand", F.col("noun").alias("qn"), F.col("kind").alias("qk"), F.col("toks").alias("qt"))
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "p_brand", F.col("noun").alias("qn"), F.col("kind").alias("qk"), F.col("toks").alias("qt"))
     category = F.when(F.col("qn") == F.col("noun"), "same_product").when(F.col("qk") == F.col("kind"), "close_variant").otherwise("trap")
     bonus = F.when(F.col("category") == "same_product", 0.30).when(F.col("category") == "close_variant", 0.18).otherwise(0.05)
     pairs = q.join(d, "p_brand").where("query_id <> doc_id").withColumn("category", category)
@@ -60,7 +60,7 @@ def pair_group_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("query_id").agg(F.sum("label").alias("positives"), F.count("*").alias("n")).withColumn("ok", (F.col("positives") == 1) & (F.col("n") > 1))
 
 
-sql_query("frozen_query_union", "SELECT item_id AS id, @md5{text} AS text_md5, 'benchmark' AS origin FROM benchmark UNION ALL SELECT doc_id, @md5{text}, 'documents' FROM documents WHERE doc_id % 100 = 0", "U4")
+sql_query("frozen_query_union", "SELECT item_id AS id, @md5{text} AS text_md5, 'benchmark' AS origin FROM benchmark UNION ALL SELECT doc_id, @md5{text}, 'documents' FROM documents", "U4")
 sql_query("training_query_violations", """SELECT 'duplicate_query' AS rule, p_name AS k, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1
  UNION ALL SELECT 'contains_code', p_name, count(*) FROM part WHERE @rlike{p_name|'[0-9]'} GROUP BY p_name UNION ALL SELECT 'blank_product', p_name, count(*) FROM part WHERE p_name NOT LIKE '% %' GROUP BY p_name""", "Z16")
 sql_query("ambiguous_violations", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) < 2 THEN 'too_few_plausible' WHEN max(p_size) > 49 THEN 'used_as_positive' ELSE 'ok' END AS rule, count(DISTINCT p_brand) AS plausible FROM part GROUP BY p_name", "Z18, D27")
