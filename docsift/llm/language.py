@@ -2,11 +2,12 @@
 
 Each n-gram of a document is drawn from one of its languages. Expectation-maximisation finds the proportions from the
 n-gram likelihoods of the languages; the set of languages is the one of greatest likelihood less half a logarithm of the
-number of n-grams for each language but the first. The languages' n-gram frequencies are counted over all training rows.
+number of n-grams for each language but the first; the sets tried are the n likeliest languages of all, for every n up to the
+number of languages that half an n-gram at least is expected of. The languages' n-gram frequencies are counted over all training rows.
 
 Defined results: null text, or text without a letter, is `und` with score 0; a language is learned only from rows whose
-text and lang are not null; without training rows every document is `und`; repeated rows are told one by one; other
-columns are ignored.
+text and lang are not null; without training rows every document is `und`; repeated rows are told one by one; of languages
+of equal share the first by name is told; very long texts are read whole, one at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from . import common
 from .minhash import mix
 
 U = np.uint64
-BUCKETS, MOST_LANGUAGES, ROUNDS = 1 << 14, 4, 15
+BUCKETS, ROUNDS = 1 << 14, 15
+#: Languages that the driver can hold the n-grams of (64 KB each, as float32); more are an error, not cut off.
+MOST_LANGUAGES = 2048
 
 
 def _letters(code: np.ndarray) -> np.ndarray:
@@ -104,7 +107,9 @@ class Model:
         order = np.argsort(-share, axis=1, kind="stable")
         grams = np.maximum(np.bincount(doc, weights=n, minlength=len(texts)), 1)
         best, best_value = share, np.full(len(texts), -np.inf)
-        for size in range(1, min(k, MOST_LANGUAGES) + 1):
+        # A language that under half an n-gram is expected of cannot pay for itself.
+        tried = int((share * grams[:, None] >= 0.5).sum(1).max(initial=1))
+        for size in range(1, max(1, tried) + 1):
             allowed = np.zeros_like(share)
             np.put_along_axis(allowed, order[:, :size], 1, axis=1)
             start = (share + 1e-3) * allowed
@@ -131,7 +136,11 @@ def fit(docs: DataFrame) -> Model:
     """docs: text, lang of the rows to learn from. The driver gets at most BUCKETS numbers a language."""
     rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     common.tune(docs.sparkSession)
-    found = count(rows).toPandas()
+    counted = common.cut(count(rows))
+    if counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    found = counted.toPandas()  # BUCKETS rows a language, at most
+    common.drop(counted)
     langs = sorted(found["lang"].unique())
     n = np.zeros((BUCKETS, len(langs)))
     if len(langs):
