@@ -142,6 +142,7 @@ class Restorer:
         p1 = uni / uni.sum()
         p2 = (bi + 5 * p1) / (bi.sum(1, keepdims=True) + 5)
         self.cost = (-np.log((cube + 2 * p2[None]) / (cube.sum(2, keepdims=True) + 2))).astype("f4")
+        self.slack = 2 * float(self.cost.max() - self.cost.min()) + 4
         self.known: dict[str, str] = {}
 
     def restore(self, token: str) -> str:
@@ -184,7 +185,9 @@ class Restorer:
                         new[key] = (total, (word, " "))
             if not new:
                 return token
-            states = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:48])
+            # After two letters more, all states go on alike: who is further behind than those can cost cannot win.
+            least = min(cost for cost, _ in new.values()) + self.slack
+            states = {k: v for k, v in new.items() if v[0] <= least}
         word = min(((cost + (float(self.cost[a, b, 0]) if b else 0.0), word) for (a, b, _), (cost, word) in states.items()), key=lambda x: x[0])[1]
         out = []
         while word:

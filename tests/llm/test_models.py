@@ -171,3 +171,71 @@ def test_licences_equal_brute_force(spark):
     got = {(r.doc_id, r.license): (r.dice, -r.line) for r in licences.scan(docs).collect()}
     assert got == want and len(got) >= len(licences.TEMPLATES)
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+def cheapest(restorer, token):
+    """The letters of the cheapest decodings of a token (several if they cost the same), every one tried by itself."""
+    all_ = {}
+
+    def go(i, a, b, last, cost, out):
+        if i == len(token):
+            cost += float(restorer.cost[a, b, 0]) if b else 0.0
+            all_[out] = min(cost, all_.get(out, cost))
+            return
+        c = token[i]
+        index = lambda x: int(toxicity.INDEX[ord(x)])
+        ways = [(c, 0.05)] if c.isalpha() else [(x, 0.7) for x in toxicity.LEET.get(c, "")]
+        ways += [(x, 2.5) for x in "aeiou"] if c in "*#" else []
+        skip = 0.4 if c in toxicity.BETWEEN else 3.0 if not c.isalnum() else None
+        for x, extra in ways:
+            go(i + 1, b, index(x), x, cost + extra + float(restorer.cost[a, b, index(x)]), out + x)
+        drop = 0.5 if c.isalpha() and c == last else 1.0 if last and last in toxicity.LEET.get(c, "") else skip
+        if drop is not None:
+            go(i + 1, a, b, last, cost + drop, out)
+        if b and c in toxicity.ENDS:
+            go(i + 1, 0, 0, "", cost + skip + float(restorer.cost[a, b, 0]), out + " ")
+
+    go(0, 0, 0, "", 0.0, "")
+    return {out for out, cost in all_.items() if cost <= min(all_.values()) + 1e-4}
+
+
+def test_viterbi_finds_the_cheapest_of_all_decodings():
+    import random
+
+    counts = np.zeros(toxicity.N**3)
+    for w in ("idiot", "stupid", "moron", "the", "house", "still"):
+        np.add.at(counts, toxicity.trigrams(w), 40)
+    restorer, r = toxicity.Restorer(counts), random.Random(9)
+    for _ in range(150):
+        token = "".join(r.choice("iidot1!0$.-* suph") for _ in range(r.randrange(2, 8)))
+        if any(c.isalpha() for c in token):
+            assert restorer.restore(token) in {x.strip() or token for x in cheapest(restorer, token)}, token
+
+
+def test_mixture_equals_plain_em():
+    """Proportions of the penalised best set against a plain EM in double precision, set by set."""
+    r = np.random.default_rng(1)
+    langs = ["a", "b", "c", "d", "e", "f"]
+    likelihood = r.dirichlet(np.full(language.BUCKETS, 0.02), len(langs)).T.astype("f4") + 1e-7
+    model = language.Model(langs, likelihood)
+    texts = ["the quick brown fox jumps over the lazy dog " * 3, "zwölf boxkämpfer jagen viktor quer über den sylter deich", "x"]
+    got = model.proportions(texts)
+    for t, g in zip(texts, got, strict=True):
+        _, bucket = language.ngrams([" ", t])
+        p = likelihood[bucket].astype("f8")
+
+        def em(start, p=p):
+            share = start
+            for _ in range(language.ROUNDS):
+                w = share * p
+                share = (w / w.sum(1, keepdims=True)).mean(0)
+            return share
+
+        first = em(np.full(len(langs), 1 / len(langs)))
+        order, best = np.argsort(-first, kind="stable"), (-np.inf, None)
+        for n in range(1, len(langs) + 1):
+            allowed = np.isin(np.arange(len(langs)), order[:n])
+            share = em((first + 1e-3) * allowed / ((first + 1e-3) * allowed).sum())
+            value = np.log((share * p).sum(1)).sum() - 0.5 * (n - 1) * np.log(len(p))
+            best = max(best, (value, n, share.tolist()), key=lambda x: x[0])
+        assert np.abs(np.array(best[2]) - g).max() < 0.05 and int(g.argmax()) == int(np.argmax(best[2]))
