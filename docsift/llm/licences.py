@@ -1,17 +1,22 @@
 """Licence scans, with DataFrame functions alone.
 
-Each line of each document is a block. A block and the templates are normalised alike (lower case, letters and digits, one space) and compared as sets of word bigrams by the Dice
-coefficient 2 |A and B| / (|A| + |B|). Since that is at most 2 min / (|A| + |B|), a template of b bigrams is only compared
-with blocks of b * t / (2 - t) to b * (2 - t) / t bigrams; and a block must share enough bigrams with all templates
-together. The templates are literals in the plan: nothing is shuffled but one row for each document and licence found.
-
-Defined results: null or empty texts have no blocks; a block of one word has no bigram and matches nothing; of several
-blocks that match one licence the best tells, then the first; templates of equal score are all told; rows of one doc_id
-count as one document; empty tables give an empty result; other columns are ignored.
+A whole text and the templates are normalised alike (lower case, letters and digits, one space), so that it does not matter
+how a notice is wrapped or what stands before and after it. Windows of a template's length begin at each word bigram of
+the text that the template has; a window and a template are compared as sets of word bigrams by the Dice coefficient
+2 |A and B| / (|A| + |B|). Since that is at most 2 min / (|A| + |B|), a template of b bigrams is only compared with windows of
+b * t / (2 - t) to b * (2 - t) / t bigrams, needs so many hits in the text at least, and hence (words are chosen so that
+too few bigrams are without them) one of a few words, which are looked for first. The templates are literals in the plan: nothing is shuffled but one
+row for each document and licence found.
+
+Defined results: null or empty texts have no windows; a text of one word has no bigram and matches nothing; of several
+windows that match one licence the best tells, then the first; templates of equal score are all told; very long texts
+are read whole; rows of one doc_id count as one document; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,39 +47,57 @@ def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def bigrams(norm: Column) -> Column:
-    """Distinct word bigrams of a normalised text."""
-    w = F.split(norm, " ")
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
-
-
 def _words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
+def _least(n: int, threshold: float) -> int:
+    """Bigrams of n that a window has at least, if its Dice coefficient reaches the threshold."""
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9)
+
+
+def anchors(grams: set[tuple[str, str]], threshold: float) -> set[str]:
+    """Words, long ones first, of which every window that reaches the threshold holds one."""
+    left, out = set(grams), set()
+    for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        if len(left) < _least(len(grams), threshold):
+            break
+        out.add(w)
+        left = {g for g in left if w not in g}
+    return out
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, line (from 1), dice (6 decimals): the best block of each licence in each document."""
-    sets = [(name, sorted(set(zip(w, w[1:], strict=False)))) for name, text in templates if len(w := _words(text)) > 1]
-    longest = max(len(s) for _, s in sets)
-    shortest = min(len(s) for _, s in sets)
-    most, least = longest * (2 - threshold) / threshold, shortest * threshold / (2 - threshold)
-    vocabulary = F.array(*(F.lit(" ".join(p)) for p in sorted({p for _, s in sets for p in s})))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "block"))
-    # Words are bounded by spaces; a block of more words than the longest template allows cannot match, nor a shorter one.
-    norm = lines.withColumn("norm", normalised(F.col("block")))
-    spaces = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit("")))
-    sized = norm.where(spaces >= F.ceil(F.lit(least))).withColumn("b", bigrams(F.col("norm"))).withColumn("n", F.size("b"))
-    sized = sized.where(F.col("n").between(F.lit(least), F.lit(most)))
-    shared = sized.withColumn("b", F.array_intersect("b", vocabulary)).where(2 * F.size("b") >= F.lit(threshold) * (F.col("n") + shortest) - 1e-9)
-    cases = []
-    for name, s in sets:
-        inside = F.col("n").between(F.lit(len(s) * threshold / (2 - threshold) - 1e-9), F.lit(len(s) * (2 - threshold) / threshold + 1e-9))
-        dice = 2.0 * F.size(F.array_intersect("b", F.array(*(F.lit(" ".join(p)) for p in s)))) / (F.col("n") + len(s))
-        cases.append(F.struct(F.lit(name).alias("license"), F.when(inside, dice).alias("dice")))
-    found = shared.select("doc_id", "at", F.explode(F.array(*cases)).alias("m")).where(F.col("m.dice") >= threshold - 1e-12)
-    best = found.groupBy("doc_id", F.col("m.license").alias("license")).agg(F.min(F.struct((-F.round("m.dice", 6)).alias("d"), (F.col("at") + 1).alias("line"))).alias("x"))
-    return best.select("doc_id", "license", F.col("x.line").cast("int").alias("line"), (-F.col("x.d")).alias("dice"))
+    """doc_id, license, word (from 1, where its window begins), dice (6 decimals): the best window of each licence in each document."""
+    sets = [(name, len(w) - 1, sorted(set(zip(w, w[1:], strict=False)))) for name, text in templates if len(w := _words(text)) > 1]
+    grams_of = lambda s: F.array(*(F.lit(" ".join(p)) for p in s))
+    looked_for = "|".join(sorted({w for _, _, s in sets for w in anchors(set(s), threshold)}))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("low"))
+    may = low.where(F.rlike("low", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{looked_for})(?![\p{{L}}\p{{N}}])")))
+    words = may.select("doc_id", F.split(normalised(F.col("low")), " ").alias("w")).where(F.size("w") > 1)
+    grams = words.select("doc_id", F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)).alias("g"))
+    vocabulary = grams_of(sorted({p for _, _, s in sets for p in s}))
+    places = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(vocabulary, x), i + 1)), lambda i: i.isNotNull())
+    fewest = min(_least(len(s), threshold) for _, _, s in sets)
+    hits = grams.withColumn("at", places).where(F.size("at") >= fewest)
+
+    def case(name: str, length: int, s: list[tuple[str, str]]) -> Column:
+        mine, n = grams_of(s), len(s)
+
+        def told(i: Column) -> Column:
+            window = F.array_distinct(F.slice("g", i, length))
+            inside = F.size(window).between(F.lit(n * threshold / (2 - threshold) - 1e-9), F.lit(n * (2 - threshold) / threshold + 1e-9))
+            dice = F.round(2.0 * F.size(F.array_intersect(window, mine)) / (F.size(window) + n), 6)
+            return F.when(inside, F.struct((-dice).alias("d"), i.alias("word")))
+
+        starts = F.filter("at", lambda i: F.array_contains(mine, F.get(F.col("g"), i - 1)))
+        best = F.transform(F.array(starts), lambda x: F.when(F.size(x) >= _least(n, threshold), F.array_min(F.transform(x, told))))[0]
+        return F.struct(F.lit(name).alias("license"), best.alias("m"))
+
+    cases = [case(*x) for x in sets]
+    found = hits.select("doc_id", F.explode(F.array(*cases)).alias("c")).where(-F.col("c.m.d") >= threshold - 1e-12)
+    first = found.groupBy("doc_id", F.col("c.license").alias("license")).agg(F.min("c.m").alias("m"))
+    return first.select("doc_id", "license", F.col("m.word").cast("int").alias("word"), (-F.col("m.d")).alias("dice"))
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,19 +107,21 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quoted(name)}, {quoted(' '.join(_words(text)))})" for i, (name, text) in enumerate(TEMPLATES))
-    grams = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    grams = "list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+    low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     return f"""
 WITH templates(id, license, norm) AS (VALUES {values}),
-t AS (SELECT id, license, {grams.format(w="string_split(norm, ' ')")} AS b FROM templates),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
-          FROM documents WHERE text IS NOT NULL),
-words AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(block), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM lines),
-blocks AS (SELECT doc_id, line, {grams.format(w="w")} AS b FROM words WHERE len(w) BETWEEN 2 AND 200),
-pairs AS (SELECT doc_id, line, license, 2.0 * len(list_intersect(blocks.b, t.b)) / (len(blocks.b) + len(t.b)) AS dice
-          FROM blocks JOIN t ON len(blocks.b) BETWEEN len(t.b) * {THRESHOLD} / {2 - THRESHOLD} - 0.01 AND len(t.b) * {2 - THRESHOLD} / {THRESHOLD} + 0.01),
-best AS (SELECT doc_id, license, line, round(CAST(dice AS DOUBLE), 6) AS dice FROM pairs WHERE dice >= {THRESHOLD} - 1e-12)
-SELECT doc_id, license, CAST(line AS INT) AS line, dice FROM best
-QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, line) = 1"""
+t AS (SELECT id, license, {grams.format(w="string_split(norm, ' ')")} AS all_grams FROM templates),
+s AS (SELECT id, license, len(all_grams) AS length, list_distinct(all_grams) AS b FROM t),
+v AS (SELECT id, unnest(b) AS gram FROM s),
+words AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT r, doc_id, {grams.format(w="w")} AS g FROM words WHERE len(w) > 1),
+places AS (SELECT r, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS word FROM g),
+starts AS (SELECT r, v.id, word FROM places JOIN v USING (gram) QUALIFY count(*) OVER (PARTITION BY r, v.id) >= ceil({low} * (SELECT len(b) FROM s WHERE s.id = v.id) - 1e-9)),
+windows AS (SELECT g.doc_id, license, word, list_distinct(list_slice(g.g, word, word + length - 1)) AS a, b FROM starts JOIN g USING (r) JOIN s USING (id)),
+best AS (SELECT doc_id, license, word, round(2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS dice FROM windows WHERE len(a) BETWEEN len(b) * {low} - 1e-9 AND len(b) * {high} + 1e-9)
+SELECT doc_id, license, CAST(word AS INT) AS word, dice FROM best WHERE dice >= {THRESHOLD} - 1e-12
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, word) = 1"""
 
 
 ORACLE = _oracle()

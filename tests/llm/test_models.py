@@ -156,20 +156,24 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_licences_equal_brute_force(spark):
+    mit = dict(licences.TEMPLATES)["MIT"].split()
+    wrapped = "/* " + "\n * ".join(" ".join(mit[i : i + 6]) for i in range(0, len(mit), 6)) + "\n */"
     texts = [(i, f"Some line here.\n{t}\nand more") for i, (_, t) in enumerate(licences.TEMPLATES)]
     texts += [(50, None), (51, ""), (52, "MIT"), (53, "Released under the mit  licence! License"), (54, "x " * 50_000), (55, "Released under the MIT License.\nReleased under the MIT License."), (None, "Released under the MIT License.")]
-    docs = spark.createDataFrame([(i, t, 1, 1.0) for i, t in texts], "doc_id long, text string, line int, dice double")
-    grams = lambda t: (lambda w: set(zip(w, w[1:], strict=False)))(licences._words(t))
+    texts += [(56, wrapped), (57, "It is good. It was released under the MIT License, and we like it."), (58, "word " * 30_000 + wrapped), (59, " ".join(mit[:12] + ["and", "so", "on"] + mit[12:])), (60, "the license of the software"), (61, " ".join(mit[::2]))]
+    docs = spark.createDataFrame([(i, t, 1, 1.0) for i, t in texts], "doc_id long, text string, word int, dice double")
+    grams = lambda w: list(zip(w, w[1:], strict=False))
     want = {}
     for i, text in texts:
+        g = grams(licences._words(text or ""))
         for name, template in licences.TEMPLATES:
-            for n, line in enumerate((text or "").split("\n"), 1):
-                a, b = grams(line), grams(template)
-                if a and (d := 2 * len(a & b) / (len(a) + len(b))) >= licences.THRESHOLD:
-                    key = (i, name)
-                    want[key] = max(want.get(key, (0, 0)), (round(d, 6), -n))
-    got = {(r.doc_id, r.license): (r.dice, -r.line) for r in licences.scan(docs).collect()}
-    assert got == want and len(got) >= len(licences.TEMPLATES)
+            whole = grams(licences._words(template))
+            for at in range(len(g)):
+                a, b = set(g[at : at + len(whole)]), set(whole)
+                if g[at] in b and (d := 2 * len(a & b) / (len(a) + len(b))) >= licences.THRESHOLD:
+                    want[i, name] = max(want.get((i, name), (0, 0)), (round(d, 6), -at - 1))
+    got = {(r.doc_id, r.license): (r.dice, -r.word) for r in licences.scan(docs).collect()}
+    assert got == want and len(got) >= len(licences.TEMPLATES) and {56, 57, 58, 59} <= {i for i, _ in got}
     assert licences.scan(docs.limit(0)).count() == 0
 
 
