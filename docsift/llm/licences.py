@@ -5,7 +5,7 @@ how a notice is wrapped or what stands before and after it. Windows of a templat
 the text that the template has; a window and a template are compared as sets of word bigrams by the Dice coefficient
 2 |A and B| / (|A| + |B|). Since that is at most 2 min / (|A| + |B|), a template of b bigrams is only compared with windows of
 b * t / (2 - t) to b * (2 - t) / t bigrams, needs so many hits in the text at least, and hence (words are chosen so that
-too few bigrams are without them) one of a few words, which are looked for first. The templates are literals in the plan: nothing is shuffled but one
+too few bigrams are without them) one of a few words or pairs of words, which are looked for first. The templates are literals in the plan: nothing is shuffled but one
 row for each document and licence found.
 
 Defined results: null or empty texts have no windows; a text of one word has no bigram and matches nothing; of several
@@ -56,14 +56,17 @@ def _least(n: int, threshold: float) -> int:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9)
 
 
-def anchors(grams: set[tuple[str, str]], threshold: float) -> set[str]:
-    """Words, long ones first, of which every window that reaches the threshold holds one."""
-    left, out = set(grams), set()
-    for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+def anchors(grams: set[tuple[str, str]], threshold: float) -> list[tuple[str, ...]]:
+    """Words, long ones first, and pairs of short words, such that every window that reaches the threshold holds one of them."""
+    left, out = set(grams), []
+    single = sorted({(w,) for g in grams for w in g if len(w) > 4}, key=lambda x: (-len(x[0]), x))
+    for found in [*single, *sorted(grams, key=lambda g: (-len(g[0] + g[1]), g))]:
         if len(left) < _least(len(grams), threshold):
             break
-        out.add(w)
-        left = {g for g in left if w not in g}
+        now = {g for g in left if found[0] not in g} if len(found) == 1 else left - {found}
+        if now != left:
+            left = now
+            out.append(found)
     return out
 
 
@@ -71,9 +74,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     """doc_id, license, word (from 1, where its window begins), dice (6 decimals): the best window of each licence in each document."""
     sets = [(name, len(w) - 1, sorted(set(zip(w, w[1:], strict=False)))) for name, text in templates if len(w := _words(text)) > 1]
     grams_of = lambda s: F.array(*(F.lit(" ".join(p)) for p in s))
-    looked_for = "|".join(sorted({w for _, _, s in sets for w in anchors(set(s), threshold)}))
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("low"))
-    may = low.where(F.rlike("low", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{looked_for})(?![\p{{L}}\p{{N}}])")))
+    # As parts of words too: what passes is looked at closely, and a search for bytes is many times faster than a pattern.
+    some = F.lit(False)
+    for found in sorted({x for _, _, s in sets for x in anchors(set(s), threshold)}):
+        all_ = F.contains("low", F.lit(found[0]))
+        some = some | (all_ & F.contains("low", F.lit(found[1])) if len(found) > 1 else all_)
+    may = low.where(some)
     words = may.select("doc_id", F.split(normalised(F.col("low")), " ").alias("w")).where(F.size("w") > 1)
     grams = words.select("doc_id", F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)).alias("g"))
     vocabulary = grams_of(sorted({p for _, _, s in sets for p in s}))
