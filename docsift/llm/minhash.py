@@ -6,10 +6,11 @@ shingles and some m log m points, not shingles times registers.
 
 No group meets in one task and no group is paired with itself: copies of one shingle set are first one class; members of
 equal bands form a group under the smallest of them, which all others are compared with (a star). Groups whose members are
-then in several components elect another centre, the member that agrees best with the commonest registers, as long as that
-finds links. Jaccard distance is a metric, so what stars leave open can be told from the distances found: a member further
-than twice the bound from the first centre has no partner among those near it. The rest, members of different components
-alone, meet in blocks, by their registers and then their hashed sets. A pair at the threshold shares no band with
+then in several components are merged where their centres are linked and their members mostly the same, and elect another
+centre, the member that agrees best with the commonest registers, as long as that finds links enough. Jaccard distance is a
+metric, so what stars leave open can be told from the distances to a last centre: a member further than twice the bound from
+it has no partner among those near it. The rest, members of different components alone, meet in blocks, by their registers
+and then their hashed sets. A pair at the threshold shares no band with
 probability (1 - 0.8 ** rows) ** bands, about 1e-7.
 
 Defined results: null text or one without words has an empty set and links with nothing; rows that share a doc_id are one
@@ -41,6 +42,8 @@ BLOCK_LEFT, BLOCK_RIGHT, BLOCK_SHINGLES = 256, 4096, 2_000_000
 MODEL, BROADCAST_MODES = 64, 20_000
 #: Share of equal registers from which a pair is confirmed by its sets: over four standard errors below 0.8.
 LIKELY = 0.68
+#: Links that another round of stars must find for each open member, to be followed by one more; blocks do the rest.
+WORTH = 0.01
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -239,8 +242,8 @@ def _compare_block(n: int):
 def _join_blocks(rows: DataFrame, n: int, files: int) -> DataFrame:
     """Links (a, b) between the components of a group that its stars leave open, enough of them to connect what is connected.
 
-    rows: g, x, component, jaccard (with the first centre; null if far), inside (linked with it), n, registers, text. Each
-    member outside the first centre's ball meets the members of other components in blocks of bounded size: sizes, the
+    rows: g, x, component, jaccard (with the group's last centre; null if far), inside (linked with it), n, registers, text. Each
+    member outside that centre's ball meets the members of other components in blocks of bounded size: sizes, the
     triangle inequality and equal registers sift, hashed sets confirm, and of a block's links only those leave the task that
     join two components there.
     """
@@ -259,7 +262,7 @@ def _join_blocks(rows: DataFrame, n: int, files: int) -> DataFrame:
 
 
 def _centres(rows: DataFrame, files: int) -> DataFrame:
-    """g, c: the member of each group whose registers agree best with the commonest ones of the group.
+    """g, c, own (component of c): the member of each group whose registers agree best with the commonest ones of the group.
 
     Whoever is near most members of a group (what the others were copied from) agrees best, so its star reaches furthest.
     The commonest values are read off the MODEL members of smallest hash; every member is held against them. Which member is
@@ -281,26 +284,47 @@ def _centres(rows: DataFrame, files: int) -> DataFrame:
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u2").reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 1)) for c in ("registers", "mode"))
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("x"), pa.array((one == two).sum(1), pa.int64())], names=["g", "x", "agree"])
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("x"), b.column("component"), pa.array((one == two).sum(1), pa.int64())], names=["g", "x", "component", "agree"])
 
-    held = rows.select("g", "x", "registers").join(F.broadcast(modes) if few else modes, "g").select("g", "x", "registers", "mode")
-    best = held.mapInArrow(agree, "g long, x long, agree long").groupBy("g").agg(F.max(F.struct("agree", (-F.col("x")).alias("x"))).alias("m"))
-    return common.cut(best.select("g", (-F.col("m.x")).alias("c")), old=[modes], files=files)
+    held = rows.select("g", "x", "component", "registers").join(F.broadcast(modes) if few else modes, "g").select("g", "x", "component", "registers", "mode")
+    best = held.mapInArrow(agree, "g long, x long, component long, agree long").groupBy("g").agg(F.max(F.struct("agree", (-F.col("x")).alias("x"), "component")).alias("m"))
+    return common.cut(best.select("g", (-F.col("m.x")).alias("c"), F.col("m.component").alias("own")), old=[modes], files=files)
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """df for one side of a join: broadcast if counted to be small, else shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def _open(rows: DataFrame, labels: DataFrame, files: int, old: list[DataFrame]) -> DataFrame:
-    """rows (g, x, jaccard, inside, n, registers) of groups whose members are in several components, and the component of each."""
-    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").select("g", "x", "jaccard", "inside", "n", "registers", F.coalesce("component_id", "x").alias("component")), files=files)
-    several = rows.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("g")
-    return common.cut(rows.join(several, "g"), old=[rows, *old], files=files)
+    """rows (g, x, ...) of groups whose members are in several components, and the component of each."""
+    rows = common.cut(rows.join(labels.select(F.col("id").alias("x"), "component_id"), "x", "left").withColumn("component", F.coalesce("component_id", "x")).drop("component_id"), old=old, files=files)
+    several = common.cut(rows.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("g"), files=files)
+    return common.cut(rows.join(_held(several), "g", "left_semi"), old=[rows, several], files=files)
+
+
+def _merged(rows: DataFrame, labels: DataFrame, files: int) -> DataFrame:
+    """rows (g, x, ...), once each, with a component's groups under one g where that makes no more pairs than they have apart.
+
+    Near copies of one text share bands under many centres, with nearly the same members: apart, each group would repeat the
+    others' work. Groups that are joined by a chain, with other members each, stay apart.
+    """
+    sizes = rows.groupBy("g").agg(F.count("*").cast("double").alias("n")).join(labels.select(F.col("id").alias("g"), "component_id"), "g", "left")
+    sizes = common.cut(sizes.select("g", "n", F.coalesce("component_id", "g").alias("to")), files=files)
+    apart = sizes.groupBy("to").agg(F.sum(F.col("n") * F.col("n")).alias("apart"), F.count("*").alias("groups")).where("groups > 1")
+    moved = common.cut(sizes.join(apart, "to").select("g", "to", "apart"), old=[sizes], files=files)
+    whole = rows.join(_held(moved), "g").select("to", "apart", "x").distinct().groupBy("to", "apart").agg(F.count("*").cast("double").alias("n"))
+    better = common.cut(moved.join(whole.where("n * n <= apart").select("to"), "to").select("g", "to"), files=files)
+    back = rows.join(_held(better), "g", "left").withColumn("g", F.coalesce("to", "g")).drop("to").dropDuplicates(["g", "x"])
+    return common.cut(back, old=[moved, better], files=files)
 
 
 def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that are linked and connect all that is connected, and their components. files: of each table that is cut.
 
     Members of a group share a band with its centre. First each member is compared with the centre (a star). Then, as long as
-    that finds links, groups that are in several components yet elect another centre, and members of other components
-    than its own are compared with it. What is still in several components is compared in blocks.
+    that finds links enough, groups that are in several components yet elect another centre, and members of other components
+    than its own are compared with it. What is still in several components is compared with one more centre, then in blocks.
     """
     all_bands = common.cut(banded(reps, bands, rows))
     sizes = all_bands.groupBy("key").agg(F.min("x").alias("g"), F.count("*").alias("n")).where("n > 1")
@@ -313,26 +337,40 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
     told = told.select("g", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"))
     keys = told.groupBy("g").agg(F.count(F.when(~F.col("inside"), 1)).alias("out"), F.count(F.when(F.col("inside") | F.col("jaccard").isNotNull(), 1)).alias("near"))
     # One member outside and nobody who could meet it: nothing is open.
-    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("g"), "g"), old=[seen, members], files=files)
+    left_open = common.cut(told.join(keys.where("out > 1 or (out = 1 and near > 1)").select("g"), "g", "left_semi"), old=[seen, members], files=files)
     labels = common.components(edges, files)
+    lean = _open(left_open.select("g", "x"), labels, files, [left_open])
+    left_open = _merged(lean.drop("component"), labels, files)
     # What is needed of each member is joined once and carried along.
-    left_open = common.cut(left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x"), old=[left_open], files=files)
+    left_open = common.cut(left_open.join(reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "registers"), "x"), old=[lean, left_open], files=files)
     left_open = _open(left_open, labels, files, [left_open])
-    while left_open.limit(1).count():
+    while (size := left_open.count()) > 0:
         centres = _centres(left_open, files)
-        own = left_open.join(centres, (left_open["x"] == centres["c"]) & (left_open["g"] == centres["g"])).select(left_open["g"], "c", F.col("component").alias("own"))
-        star = common.cut(left_open.join(own, "g").where("component <> own").select(F.col("x").alias("a"), F.col("c").alias("b")).distinct(), files=files)
+        at = _held(centres)
+        star = common.cut(left_open.join(at, "g").where("component <> own").select(F.col("x").alias("a"), F.col("c").alias("b")).distinct(), files=files)
         more = common.cut(verify(star).where("linked").select("a", "b"), old=[star], files=files)
-        found = more.limit(1).count()
+        found = more.count()
         if found:
             edges = common.cut(edges.union(more), old=[edges, more], files=files)
             labels = common.components(edges, files, old=[labels])
         # A centre has met every member of its group's other components, so it is done there.
-        rest = left_open.drop("component").join(centres.select("g", F.col("c").alias("x")), ["g", "x"], "left_anti")
-        left_open = _open(rest, labels, files, [left_open, centres])
-        if not found:
+        rest = left_open.drop("component").join(at.select("g", F.col("c").alias("x")), ["g", "x"], "left_anti")
+        if found < WORTH * size:
+            left_open = _open(rest, labels, files, [left_open, centres])
             break
+        merged = _merged(rest, labels, files)
+        left_open = _open(merged, labels, files, [left_open, centres, merged])
     if left_open.limit(1).count():
+        # Distances of all members from one centre, for the blocks.
+        centres = _centres(left_open, files)
+        rows_ = common.cut(left_open.drop("component").join(_held(centres), "g").where("x <> c").drop("own"), old=[left_open, centres], files=files)
+        seen = common.cut(verify(rows_.select(F.col("x").alias("a"), F.col("c").alias("b")).distinct()), files=files)
+        more = common.cut(seen.where("linked").select("a", "b"), files=files)
+        edges = common.cut(edges.union(more), old=[edges, more], files=files)
+        labels = common.components(edges, files, old=[labels])
+        rows_ = rows_.join(seen.select(F.col("a").alias("x"), F.col("b").alias("c"), "jaccard", "linked"), ["x", "c"], "left")
+        rows_ = common.cut(rows_.select("g", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"), "n", "registers"), old=[rows_, seen], files=files)
+        left_open = _open(rows_, labels, files, [rows_])
         full = left_open.join(texts.select(F.col("id").alias("x"), "text"), "x")
         last = common.cut(_join_blocks(full, n, files), files=files)
         if last.limit(1).count():
