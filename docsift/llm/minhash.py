@@ -319,6 +319,17 @@ def _merged(rows: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     return common.cut(back, old=[moved, better], files=files)
 
 
+def _joined(labels: DataFrame, more: DataFrame, files: int) -> DataFrame:
+    """Labels after more links (a, b): only the components that these join are gone through again."""
+    of = lambda s: labels.select(F.col("id").alias(s), F.col("component_id").alias(f"c{s}"))
+    pairs = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    pairs = common.cut(pairs.where("a <> b").distinct(), files=files)
+    moved = common.components(pairs, files, old=[pairs])
+    to = _held(moved.select(F.col("id").alias("component_id"), F.col("component_id").alias("to")))
+    kept = labels.join(to, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+    return common.cut(kept.union(moved.join(labels.select("id"), "id", "left_anti")), old=[labels, moved, more], files=files)
+
+
 def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that are linked and connect all that is connected, and their components. files: of each table that is cut.
 
@@ -351,8 +362,8 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
         more = common.cut(verify(star).where("linked").select("a", "b"), old=[star], files=files)
         found = more.count()
         if found:
-            edges = common.cut(edges.union(more), old=[edges, more], files=files)
-            labels = common.components(edges, files, old=[labels])
+            edges = common.cut(edges.union(more), old=[edges], files=files)
+            labels = _joined(labels, more, files)
         # A centre has met every member of its group's other components, so it is done there.
         rest = left_open.drop("component").join(at.select("g", F.col("c").alias("x")), ["g", "x"], "left_anti")
         if found < WORTH * size:
@@ -366,16 +377,16 @@ def links(reps: DataFrame, texts_of, n: int, bands: int, rows: int, files: int)
         rows_ = common.cut(left_open.drop("component").join(_held(centres), "g").where("x <> c").drop("own"), old=[left_open, centres], files=files)
         seen = common.cut(verify(rows_.select(F.col("x").alias("a"), F.col("c").alias("b")).distinct()), files=files)
         more = common.cut(seen.where("linked").select("a", "b"), files=files)
-        edges = common.cut(edges.union(more), old=[edges, more], files=files)
-        labels = common.components(edges, files, old=[labels])
+        edges = common.cut(edges.union(more), old=[edges], files=files)
+        labels = _joined(labels, more, files)
         rows_ = rows_.join(seen.select(F.col("a").alias("x"), F.col("b").alias("c"), "jaccard", "linked"), ["x", "c"], "left")
         rows_ = common.cut(rows_.select("g", "x", F.when(F.col("jaccard") >= 0.6, F.col("jaccard")).alias("jaccard"), F.coalesce("linked", F.lit(False)).alias("inside"), "n", "registers"), old=[rows_, seen], files=files)
         left_open = _open(rows_, labels, files, [rows_])
         full = left_open.join(texts.select(F.col("id").alias("x"), "text"), "x")
         last = common.cut(_join_blocks(full, n, files), files=files)
         if last.limit(1).count():
-            edges = common.cut(edges.union(last), old=[edges, last], files=files)
-            labels = common.components(edges, files, old=[labels])
+            edges = common.cut(edges.union(last), old=[edges], files=files)
+            labels = _joined(labels, last, files)
     common.drop(left_open, texts)
     return edges, labels
 
