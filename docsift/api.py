@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
-from docsift.operators import facts, retrieval
+from docsift.operators import details, facts, retrieval
 
 
 def check_request(queries: DataFrame, text: str, limit: int, longest: int = 5000, most: int = 30) -> None:
@@ -37,5 +37,8 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 5, dense: DataFrame
 
 
 def analyze(documents: DataFrame) -> DataFrame:
-    """doc_id, description, facts of each document (doc_id, text)."""
-    return documents.select("doc_id", T.excerpt(F.array_join(F.slice(T.sentences(F.col("text")), 1, 2), " "), 240).alias("description"), facts.extract_facts(F.col("text")).alias("facts"))
+    """doc_id, description, facts (sizes, temperatures, addresses) and details (typed technical facts) of each document (doc_id, text)."""
+    text = F.col("text")
+    return documents.select(
+        "doc_id", T.excerpt(F.array_join(F.slice(T.sentences(text), 1, 2), " "), 240).alias("description"), facts.extract_facts(text).alias("facts"), details.extract_details(text).alias("details")
+    )

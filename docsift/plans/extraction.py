@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
+from docsift.operators import details as D
 from docsift.operators import facts as X
 
 from .dialect import sql_query
 from .registry import query
 
 sql_query("excerpts", "SELECT doc_id, CASE WHEN length(text) <= 240 THEN text ELSE concat(rtrim(substring(text, 1, 237)), '...') END AS excerpt FROM documents", "X4")
-MARKS = "@compact{CASE WHEN @within{t|'the'} > 0 THEN 'steel' END, CASE WHEN @within{t|'ion'} > 0 THEN 'iron' END, CASE WHEN @within{t|'ung'} > 0 THEN 'clay' END}"
-sql_query("tender_extract", f"SELECT conv_id, turn, @join{{{MARKS}|','}} AS materials, CASE WHEN @within{{t|'ring'}} > 0 THEN 'ring' WHEN @within{{t|'rod'}} > 0 THEN 'rod' END AS product, @size{{@all{{t|'[0-9]+'|0}}}} AS n_numbers, @join{{@all{{t|'[0-9]+[.][0-9]+'|0}}|';'}} AS requirements FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) AS c", "X6, X7")
 sql_query("scrub_codes", "SELECT doc_id, @md5{@gsub{text|'[0-9][0-9.]*[0-9]'|'#'}} AS scrubbed_md5, @size{@all{text|'[0-9][0-9.]*[0-9]'|0}} AS n_codes FROM documents", "X9")
 sql_query("grade_facts", "SELECT doc_id, @at{@all{lower(text)|'(the|der|les) ([a-z]+)'|2}|1} AS first_grade, @size{@all{lower(text)|'(the|der|les) ([a-z]+)'|2}} AS n_grades FROM documents", "X13")
 sql_query(
@@ -60,9 +59,9 @@ def scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fact_extract")
 def fact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with their places and evidence."""
+    """Facts of whole documents with their places and evidence."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.explode(X.extract_facts(F.col("text"))).alias("f")).select("doc_id", "f.*")
+    return d.select("doc_id", F.explode(D.extract_details(F.col("text"))).alias("f")).select("doc_id", "f.*")
 
 
 @query("fuzzy_alias")
