@@ -85,7 +85,7 @@ class Rule:
     section: str
     kind: str
     name: str
-    cue: str
+    cue: str  # lower-case alternatives, parted by |
     pattern: str
     value: Callable[[re.Match], str]
     unit: str | Callable[[re.Match], str | None] | None = None
@@ -98,7 +98,7 @@ class Rule:
     once: bool = False
 
     def matches(self, text: str, low: str) -> Iterator[re.Match]:
-        if self.cue not in low:
+        if not any(c in low for c in self.cue.split("|")):
             return
         for m in re.finditer(self.pattern, text, self.flags):
             around = text[max(0, m.start() - self.window[0]) : m.end() + self.window[1]].casefold()
@@ -119,7 +119,7 @@ def _diameter(pattern: str) -> Rule:
 
 
 def _heat(name: str, pattern: str) -> Rule:
-    return Rule("temperature", "TEMPERATURE_LIMIT", name, "c", pattern, lambda m: heat_value(m[1]), "C", near=HEAT_WORDS, window=(80, 60))
+    return Rule("temperature", "TEMPERATURE_LIMIT", name, "°|º|0c|deg", pattern, lambda m: heat_value(m[1]), "C", near=HEAT_WORDS, window=(80, 60))
 
 
 def _grade(pattern: str, cue: str) -> Rule:

@@ -107,7 +107,7 @@ def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upsert_classify", f"WITH {MERGED_SQL} SELECT change, count(*) AS n FROM m GROUP BY change")
 def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows a load inserts, updates and leaves."""
+    """How many rows a load inserts, updates and leaves."""
     return _upserted(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"))
 
 

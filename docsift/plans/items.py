@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.operators import details as D
+from docsift.operators import mapping as R
 from docsift.operators import tender as X
 
 from .registry import query
@@ -84,3 +85,30 @@ def detail_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     told = p.select("p_partkey", F.explode(D.extract_details(text)).alias("f"))
     return told.select("p_partkey", "f.kind", "f.name", "f.value", "f.unit")
+
+
+NORM = "'IS ' || p_partkey || CASE WHEN p_size % 3 = 0 THEN ' (PART ' || p_size || ')' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ' SEC 2' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN ':' || (1950 + p_size) ELSE '' END"
+
+
+@query(
+    "curated_rows",
+    f"""SELECT {NORM} AS canonical_id, CASE WHEN p_partkey BETWEEN 10 AND 999999 THEN 'IS ' || p_partkey ELSE {NORM} END AS base_code, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) END AS part,
+ CASE WHEN p_size % 5 = 0 THEN '2' END AS section, CASE WHEN p_size % 2 = 0 THEN 1950 + p_size END AS publication_year, CASE WHEN p_size % 7 = 0 THEN 'ACTIVE' ELSE 'UNKNOWN' END AS status,
+ array_to_string(list_sort(list_distinct([lower(p_type), lower(p_brand)])), ',') AS keywords, lower(p_name) AS normalized_retrieval_text FROM part""",
+)
+def curated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records of a curated dataset."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = F.col("p_size").cast("string")
+    code = F.concat(
+        F.lit("is "), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" (part "), size, F.lit(")"))).otherwise(""), F.when(F.col("p_size") % 5 == 0, " sec 2").otherwise(""),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" : "), (F.col("p_size") + 1950).cast("string"))).otherwise(""),
+    )
+    none = F.lit(None).cast("string")
+    records = p.select(
+        code.alias("standard_code"), F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), F.col("p_type").alias("source_scope"), F.when(F.col("p_size") % 7 == 0, "ACTIVE").alias("lifecycle_status"),
+        none.alias("lifecycle_status_note"), none.alias("source_revision"), F.lit(1).alias("source_page_start"), F.col("p_size").alias("source_page_end"), F.concat(F.lit("  "), F.upper("p_name")).alias("retrieval_text"),
+        F.col("p_name").alias("full_text"), F.array("p_type", F.lit(" ")).alias("product_family"), F.array("p_type", "p_brand").alias("applications"), F.lit(None).cast("array<string>").alias("materials"),
+    )
+    rows = R.curated(records, "parts")
+    return rows.select("canonical_id", "base_code", "part", "section", "publication_year", "status", F.array_join("keywords", ",").alias("keywords"), "normalized_retrieval_text")
