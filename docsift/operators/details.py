@@ -171,7 +171,10 @@ def sentences(text: str) -> Iterator[tuple[int, int, str]]:
         begin = after
 
 
-def _named(text: str, section: str, names: dict[str, str]) -> Iterator[dict]:
+def _named(text: str, low: str, section: str, names: dict[str, str]) -> Iterator[dict]:
+    # Spaces in a sentence are collapsed before its words are looked for, so a text is passed over by single words alone.
+    if not any(all(part in low for part in w.split()) for w in names):
+        return
     for begin, end, sentence in sentences(text):
         low = sentence.casefold()
         if any(w in low for w in REQUIRES) and (name := next((n for w, n in names.items() if w in low), None)):
@@ -196,8 +199,8 @@ def details(text: str | None, limits: dict[str, int] | None = LIMITS) -> list[di
         if rule.section != "table" or all(w in low for w in TABLE_WORDS):
             by_section.setdefault(rule.section, []).extend(_ruled(text, low, rule))
     if not by_section.get("table"):
-        by_section["performance"] = list(_named(text, "performance", PERFORMANCE))
-    by_section["other"] = list(_named(text, "other", OTHER))
+        by_section["performance"] = list(_named(text, low, "performance", PERFORMANCE))
+    by_section["other"] = list(_named(text, low, "other", OTHER))
     out = []
     for section, facts in by_section.items():
         most = (limits or {}).get(section)

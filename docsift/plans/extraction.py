@@ -26,11 +26,9 @@ sql_query("code_parts", "SELECT o_orderkey, year(o_orderdate) AS revision_year,
 sql_query("negation_phrases", "SELECT doc_id, @size{@all{lower(text)|'(not|no|except|excluding|without|nicht|pas|sin) ([a-z0-9/ -]+)'|2}} AS n, @at{@all{lower(text)|'(not|no|except|excluding|without|nicht|pas|sin) ([a-z0-9/ -]+)'|2}|1} AS first_phrase FROM documents", "X19")
 sql_query("grade_temperature", "SELECT p_partkey, nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS grade, CASE WHEN p_name LIKE 'hot%' THEN CAST(p_size AS DOUBLE) * 10 WHEN p_name LIKE 'cold%' THEN -CAST(p_size AS DOUBLE) END AS temperature_c FROM part", "X20")
 sql_query("intent_values", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt' OR p_name LIKE '%rod' THEN 'structural' WHEN p_name LIKE '%gear' THEN 'power' ELSE 'general' END AS application, CASE WHEN p_type LIKE 'P%' THEN 'water' WHEN p_type LIKE 'S%' THEN 'sewage' END AS medium FROM part", "Z4, Z6")
-sql_query("intent_enums", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring' THEN 'round' WHEN p_name LIKE '%plate' THEN 'flat' ELSE 'other' END AS form, CASE WHEN p_size < 10 THEN 'light' WHEN p_size < 30 THEN 'medium' ELSE 'heavy' END AS class FROM part", "Z5")
 sql_query("enriched_query", "SELECT p_partkey, concat_ws('; ', p_name, p_type, CASE WHEN p_size > 25 THEN concat('size ', @str{p_size}) END, CASE WHEN p_name LIKE 'hot%' THEN 'temperature 100 C' END) AS enriched FROM part", "X22")
 sql_query("query_templates", "SELECT p_partkey, @size{q} AS n, @join{@slice{q|1|12}|' / '} AS queries FROM (SELECT p_partkey, @compact{concat('need ', p_name), concat(p_name, ' for ', p_type), CASE WHEN p_size > 20 THEN concat(p_name, ' of size ', @str{p_size}) END, CASE WHEN p_name LIKE 'hot%' THEN concat(p_name, ' for high temperature') END} AS q FROM part) AS t", "X24, Z20")
 sql_query("flag_state", "SELECT doc_id, nullif(regexp_extract(flags, 'LANG_([A-Z]+)', 1), '') AS lang_state, nullif(regexp_extract(flags, 'SIZE_([A-Z]+)', 1), '') AS size_state FROM (SELECT doc_id, concat('LANG_', upper(lang), ' SIZE_', CASE WHEN n_chars > 2000 THEN 'LONG' ELSE 'SHORT' END) AS flags FROM documents) AS f", "X27")
-sql_query("description_function", "SELECT conv_id, turn, CASE WHEN @within{t|'back'} > 0 OR @within{t|'not'} > 0 THEN 'reverse_flow' WHEN @within{t|'press'} > 0 OR @within{t|'ed '} > 0 THEN 'pressure' WHEN @within{t|'air'} > 0 OR @within{t|'an '} > 0 THEN 'air' END AS target_function FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) AS c", "Z3")
 sql_query("list_merge", "SELECT p_partkey, @join{@sort{@filter{@distinct{@arr{p_type, @at{@split{p_name|' '}|1}, p_brand, @at{@split{p_name|' '}|1}}}|x <> 'red'}}|','} AS merged FROM part", "U5")
 sql_query("fact_dedupe", "SELECT conv_id, role, turn, @md5{text} AS text_md5 FROM (SELECT *, @rank{PARTITION BY conv_id, lower(role), lower(text) ORDER BY turn} AS r FROM conversations) AS d WHERE r = 1", "W16")
 sql_query("query_ids", "SELECT p_partkey, concat('fcq_', @gsub{lower(p_name)|'[^a-z0-9]+'|'_'}, '_', lpad(@str{n}, 4, '0')) AS query_id FROM (SELECT p_partkey, p_name, @rank{PARTITION BY p_name ORDER BY p_partkey} AS n FROM part) AS q", "W17")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.operators import details as D
+from docsift.operators import effective as E
 from docsift.operators import mapping as R
 from docsift.operators import tender as X
 
@@ -112,3 +113,70 @@ def curated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = R.curated(records, "parts")
     return rows.select("canonical_id", "base_code", "part", "section", "publication_year", "status", F.array_join("keywords", ",").alias("keywords"), "normalized_retrieval_text")
+
+
+# What a part's noun and first word say in a document, and in a requirement.
+TITLES = {
+    "widget": "glass fibre reinforced pipes", "ring": "reflux valves", "bolt": "pressure reducing valves", "plate": "cement, part 1 fly ash based", "rod": "cement, Part 2 calcined_clay based",
+    "gear": "preformed fibrous pipe insulation", "gizmo": "clay flooring tiles", "anvil": "anvils",
+}
+SCOPES = {"blue": "for Potable  water", "cold": "for sewage", "red": "for roofing"}
+NEEDS = {
+    "widget": "must not let water come  back", "ring": "of the Non-Return type", "bolt": "with a pressure regulator", "plate": "shall release air, OPC", "rod": "air relief on fly_ash, PPC", "gear": "pre-formed mats",
+    "gizmo": "hexagon heads", "anvil": "Portland pozzolana of calcined  clay",
+}
+
+
+def _named(key: Column, table: dict) -> Column:
+    return E.mapped(key, table)
+
+
+@query(
+    "effective_values",
+    """WITH a AS (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS word, string_split(p_name, ' ')[2] AS noun, p_size % 2 = 0 AS even FROM part),
+ b AS (SELECT *, CASE noun WHEN 'widget' THEN 'pipe' WHEN 'ring' THEN 'valve' ELSE 'stored' END AS product,
+  CASE noun WHEN 'bolt' THEN 'pressure_reducing_valve' WHEN 'ring' THEN 'check_valve' WHEN 'plate' THEN 'portland_pozzolana_fly_ash' WHEN 'rod' THEN 'portland_pozzolana_calcined_clay' ELSE CASE WHEN even THEN 'ordinary_portland_43' END END AS subtype,
+  CASE WHEN word = 'blue' THEN 'potable water supply' WHEN word = 'cold' THEN 'sewerage' WHEN noun = 'gizmo' AND word = 'red' THEN 'flooring roofing' WHEN noun = 'gizmo' THEN 'flooring' WHEN word = 'red' THEN 'roofing'
+   WHEN noun = 'gear' THEN 'thermal insulation' ELSE 'any' END AS application FROM a)
+ SELECT p_partkey, product AS canonical_product, CASE product WHEN 'pipe' THEN 'pipe_water_drainage' WHEN 'valve' THEN 'water_valve' ELSE 'stored family' END AS family, subtype AS product_subtype,
+  CASE WHEN noun = 'ring' THEN 'check_valve' END AS subtype_family, CASE WHEN noun IN ('plate', 'rod') THEN 'ppc' WHEN even AND noun NOT IN ('bolt', 'ring') THEN 'opc' END AS cement_type,
+  CASE noun WHEN 'plate' THEN 'fly_ash' WHEN 'rod' THEN 'calcined_clay' END AS pozzolana_source, CASE noun WHEN 'widget' THEN 'GRP' WHEN 'gear' THEN 'fibrous' WHEN 'gizmo' THEN 'clay' ELSE 'brass' END AS material, application,
+  CASE WHEN noun = 'bolt' THEN 'reduce_pressure' WHEN noun = 'ring' THEN 'prevent_reverse_flow' WHEN application = 'potable water supply' THEN 'carry_potable_water' WHEN application = 'sewerage' THEN 'carry_sewage'
+   WHEN application IN ('flooring', 'roofing') THEN application ELSE 'hold' END AS "function", coalesce(replace(subtype, '_', ' '), p_name) AS primary_subject, CASE WHEN noun = 'gear' THEN 'preformed' END AS form FROM b""",
+)
+def effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven fields from what a text says, else as stored."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    stored = {"canonical_product": "stored", "family": "stored family", "material": "brass", "application": "any", "function": "hold"}
+    docs = p.select(
+        "p_partkey", F.concat(F.lit("code "), F.col("p_partkey").cast("string")).alias("standard_id"), _named(F.split("p_name", " ")[1], TITLES).alias("title"), _named(F.split("p_name", " ")[0], SCOPES).alias("scope_text"),
+        F.lit(None).cast("string").alias("retrieval_text"), F.when(F.col("p_size") % 2 == 0, "ordinary_portland_43").alias("product_subtype"), F.col("p_name").alias("primary_subject"), *(F.lit(v).alias(k) for k, v in stored.items()),
+    )
+    return E.effective(docs).select("p_partkey", *(F.col(f"effective_{f}").alias(f) for f in E.FIELDS))
+
+
+@query(
+    "description_function",
+    "SELECT p_partkey, CASE string_split(p_name, ' ')[2] WHEN 'widget' THEN 'prevent_reverse_flow' WHEN 'ring' THEN 'prevent_reverse_flow' WHEN 'bolt' THEN 'reduce_pressure' WHEN 'plate' THEN 'release_air' WHEN 'rod' THEN 'release_air' END AS target_function FROM part",
+)
+def description_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", E.description_function(_named(F.split("p_name", " ")[1], NEEDS)).alias("target_function"))
+
+
+@query(
+    "intent_enums",
+    """SELECT p_partkey, CASE noun WHEN 'plate' THEN 'opc' WHEN 'rod' THEN 'ppc' WHEN 'anvil' THEN 'ppc' END AS cement_type, CASE noun WHEN 'rod' THEN 'fly_ash' WHEN 'anvil' THEN 'calcined_clay' END AS pozzolana_source,
+ CASE WHEN noun = 'gizmo' THEN 'hexagonal' ELSE word END AS head_shape, CASE WHEN noun = 'gear' THEN 'preformed' END AS form, CASE WHEN noun = 'ring' AND p_size % 2 = 0 THEN 'check_valve' END AS subtype_family
+ FROM (SELECT p_partkey, p_size, string_split(p_name, ' ')[1] AS word, string_split(p_name, ' ')[2] AS noun FROM part) AS a""",
+)
+def intent_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enums of a requirement from its words."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    word, noun, none = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.lit(None).cast("string")
+    needs = _named(noun, NEEDS)
+    return p.select(
+        "p_partkey", E.cement_type(none, needs, none).alias("cement_type"), E.pozzolana_source(none, needs, none).alias("pozzolana_source"), E.head_shape(word, needs).alias("head_shape"), E.form(F.lit(" "), needs).alias("form"),
+        E.subtype_family(needs, F.when(F.col("p_size") % 2 == 0, "valve").otherwise("pipe"), ["non return", "reflux"]).alias("subtype_family"),
+    )

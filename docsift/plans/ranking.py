@@ -30,7 +30,6 @@ def _query(name: str, tail: str, doc: str) -> None:
 
 _query("contradiction_safe_order", "SELECT query_id, doc_id, @rank{PARTITION BY query_id ORDER BY CASE WHEN state = 'CONTRADICTION' THEN 1 ELSE 0 END, CASE WHEN constraint_score < 0 THEN 1 ELSE 0 END, constraint_score DESC, rank} AS safe_rank FROM s", "W9")
 _query("function_priority", "SELECT query_id, doc_id, @rank{PARTITION BY query_id ORDER BY CASE WHEN any_match = 1 AND fits = 0 THEN 1 ELSE 0 END, rank} AS priority_rank FROM (SELECT *, max(fits) OVER (PARTITION BY query_id) AS any_match FROM (SELECT *, CASE WHEN q_type = p_type AND q_word = word THEN 1 ELSE 0 END AS fits FROM k) AS a) AS b", "W8: only if some candidate fits")
-_query("effective_values", "SELECT p_partkey, coalesce(product, 'unknown') AS product, CASE WHEN p_type LIKE 'P%' THEN 'promotional' WHEN product IS NULL THEN noun ELSE coalesce(family, 'none') END AS effective_family, CASE WHEN field = 'temperature' THEN word ELSE 'ambient' END AS effective_temperature FROM m", "D13")
 _query("debug_trace", "SELECT query_id, @join{@sort{@list{concat(lpad(@str{rank}, 3, '0'), ':', @str{doc_id})}}|','} AS trace FROM k WHERE rank <= 20 GROUP BY query_id", "Z14: twenty places a query")
 _query("recommendation_view", "SELECT query_id, doc_id, rank, concat_ws('; ', CASE WHEN product IS NOT NULL THEN concat('product=', product) END, CASE WHEN family IS NOT NULL THEN concat('family=', family) END, concat('state=', state)) AS details FROM s WHERE rank <= 5", "X26, X28")
 _query("metadata_integrity", "SELECT p_partkey, CASE WHEN product IS NULL THEN 'WEAK_PRODUCT_TEXT_EVIDENCE' WHEN family = 'mechanism' AND p_type LIKE 'S%' THEN 'PRODUCT_FAMILY_CONFLICT' ELSE 'SAME_FAMILY_MISMATCH' END AS issue FROM m WHERE product IS NULL OR (family = 'mechanism' AND p_type LIKE 'S%') OR (family = 'fastener' AND p_size > 45)", "F8")
