@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
-from docsift.operators import details, facts, retrieval
+from docsift.operators import constraints, details, facts, intent, retrieval
 
 
 def check_request(queries: DataFrame, text: str, limit: int, longest: int = 5000, most: int = 30) -> None:
@@ -36,6 +36,24 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 5, dense: DataFrame
     return ranked.select("query_id", "doc_id", "rank", "score", F.lit("reranker" if scorer else "rrf_fallback").alias("score_source"))
 
 
+def product_search(docs: DataFrame, queries: DataFrame, vocabulary: DataFrame, families: DataFrame, limit: int = 5, pool: int = 30, **how) -> DataFrame:
+    """query_id, doc_id, rank, final_score, constraint_score, flags, compatibility: search, then intent, gate and constraints.
+
+    docs: doc_id, text, title, scope, product, family and any attribute that constraints know; vocabulary: field, value, phrase,
+    ord (intent.values; the field product tells the product wanted); families: product, family; how: as for search(). The pool
+    is searched first; what contradicts the intent comes last, whatever its score.
+    """
+    check_request(queries, "text", limit)
+    found = search(docs.select("doc_id", "text"), queries, max(pool, limit), **how)
+    wanted = intent.intents(queries, vocabulary).withColumn("q_product", F.get("q_product", F.lit(0)))
+    wanted = wanted.join(families.select(F.col("product").alias("q_product"), F.col("family").alias("q_family")), "q_product", "left").drop("text")
+    rows = found.drop("score_source").join(docs.drop("text"), "doc_id").join(wanted, "query_id")
+    fit = constraints.compatibility(F.col("q_product"), F.col("product"), F.col("q_family"), F.col("family"))
+    gated = constraints.gate(rows.withColumn("compatibility", fit), F.col("compatibility")).drop("rank").withColumnRenamed("gated_rank", "rank")
+    final = constraints.final_order(constraints.score(gated), "score").where(F.col("final_rank") <= limit)
+    return final.select("query_id", "doc_id", F.col("final_rank").alias("rank"), "final_score", "constraint_score", "flags", "compatibility")
+
+
 def analyze(documents: DataFrame) -> DataFrame:
     """doc_id, description, facts (sizes, temperatures, addresses) and details (typed technical facts) of each document (doc_id, text)."""
     text = F.col("text")
