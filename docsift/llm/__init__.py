@@ -1 +1 @@
-"""Training-data operators: packing, decontamination, language, licences, toxicity, pages, neighbours, dedup, quality."""
+"""Training-data operators: packing, decontamination, language, licences, toxicity, pages, neighbours, dedup, quality, ranked search, conversations."""
