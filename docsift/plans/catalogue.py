@@ -176,7 +176,7 @@ def kind_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("product_canonicalize", f"WITH {BASE}, {SCORES} SELECT id, product, score, runner_up, CASE WHEN score >= runner_up + 2 THEN 'high' ELSE 'low' END AS confidence FROM r")
 def product_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases in titles, scopes and texts, and the margin of the best."""
-    found = M.products(M._sources(records(spark, sf_dir)), _aliases(spark)[0])
+    found = M.products(records(spark, sf_dir), _aliases(spark)[0])
     return found.select("id", "product", F.col("score").cast("long").alias("score"), F.col("runner_up").cast("long").alias("runner_up"), "confidence")
 
 

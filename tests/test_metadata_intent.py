@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from docsift.operators import intent, metadata
+from docsift.operators import intent, metadata, phrases
 
 
 def tables(spark):
@@ -35,7 +35,7 @@ def test_large_taxonomy_gives_the_same_hits(spark, monkeypatch):
     hits = lambda: sorted(map(tuple, metadata.phrase_hits(sources, aliases).select("id", "phrase").collect()))
     want = [(1, "cement"), (1, "hydraulic cement"), (1, "pipe"), (2, "pipes")]
     assert hits() == want
-    monkeypatch.setattr(metadata, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 2)
     assert hits() == want
 
 
