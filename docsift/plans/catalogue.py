@@ -197,16 +197,43 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("query_id"), text.alias("text"))
 
 
-@query("intent_normalize", f"""WITH {BASE} SELECT id AS query_id, CASE WHEN size % 5 = 0 AND material = 'brass' THEN 'brass' ELSE material END AS material, CASE WHEN size % 5 = 0 AND material <> 'brass' THEN 'brass' ELSE '' END AS excluded,
+@query("intent_normalize", f"""WITH {BASE} SELECT id AS query_id, CASE WHEN size % 5 = 0 AND material = 'brass' THEN '' ELSE material END AS material, CASE WHEN size % 5 = 0 THEN 'brass' ELSE '' END AS excluded,
  coalesce(wants_use, '') AS application, product, grade, CAST(CASE WHEN word IN ('hot', 'cold') THEN size * 10 END AS DOUBLE) AS temperature_c FROM a""")
 def intent_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grounded values, what is negated, grade and temperature of a requirement's text."""
+    """Grounded values, what is negated (and so not wanted), grade and temperature of a requirement's text."""
     rows = [("material", m, m, i) for i, (m, _) in enumerate(MATERIALS.values())] + [("application", u, u, i) for i, u in enumerate(sorted({u for u, _ in USES.values() if u}))] + [("product", p, n, i) for i, (p, _, n) in enumerate(PRODUCTS.values())]
     out = I.intents(requirements(spark, sf_dir), spark.createDataFrame(rows, "field string, value string, phrase string, ord int"))
     say = lambda c: F.array_join(c, ",")
     return out.select("query_id", say("q_material").alias("material"), say("q_excluded_material").alias("excluded"), say("q_application").alias("application"), say("q_product").alias("product"), F.col("q_grade").alias("grade"), F.col("q_temperature_c").alias("temperature_c"))
 
 
+# What a requirement says by size % 6: of its surroundings, of what it must not be, of reverse flow, of fastening (with and without a word that grounds it), of a medium.
+SAYINGS = [" on the brass water line", ", not PVC", " that lets no water come back", " to hold steelwork", " to hold steelwork at a joint", " without potable supply"]
+
+
+@query("intent_grounding", f"""WITH {BASE}, n AS (SELECT *, size % 6 AS k FROM a)
+SELECT id AS query_id, product, CASE WHEN k = 1 AND material = 'PVC' THEN '' ELSE material END AS material, CASE WHEN k = 1 THEN 'PVC' ELSE '' END AS excluded_material, CASE WHEN k = 0 THEN 'brass' ELSE '' END AS context_material,
+ CASE WHEN product = 'pipe' AND k <> 2 OR product = 'valve' AND k = 2 THEN 'water' ELSE '' END AS medium, CASE WHEN k = 5 THEN 'potable water' ELSE '' END AS excluded_medium, CASE WHEN k = 0 THEN 'water' ELSE '' END AS context_medium,
+ CASE k WHEN 2 THEN 'prevent_reverse_flow' WHEN 4 THEN 'structural_fastening' ELSE '' END AS "function" FROM n""")
+def intent_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention in its innermost scope, the surroundings apart, functions grounded, no reverse flow excluded from valves."""
+    rows = [("material", m, m, i) for i, (m, _) in enumerate(MATERIALS.values())] + [("product", p, n, i) for i, (p, _, n) in enumerate(PRODUCTS.values())]
+    rows += [("medium", "water", "water", 0), ("medium", "potable", "potable", 1), ("function", "structural_fastening", "hold steelwork", 0), ("function", "prevent_reverse_flow", "non return", 1)]
+    says = F
+    for i, x in enumerate(SAYINGS):
+        says = says.when(F.col("size") % 6 == i, F.lit(x))
+    queries = parts(spark, sf_dir).select(F.col("id").alias("query_id"), F.concat(F.lit("need "), "name", F.lit(" of "), "wants_material", says).alias("text"))
+    out = I.intents(queries, spark.createDataFrame(rows, "field string, value string, phrase string, ord int"))
+    named = {"product": "q_product", "material": "q_material", "excluded_material": "q_excluded_material", "context_material": "context_material", "medium": "q_medium", "excluded_medium": "q_excluded_medium", "context_medium": "context_medium", "function": "q_function"}
+    return out.select("query_id", *(F.array_join(c, ",").alias(name) for name, c in named.items()))
+
+
+@query("field_evidence", f"""WITH {BASE} SELECT id, product, CASE WHEN size % 4 = 0 AND product = 'pump' THEN 'title,scope' WHEN size % 4 = 0 THEN 'title,scope' ELSE 'title' END AS evidence FROM a""")
+def field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources in which an alias of the product stands."""
+    return M.products(records(spark, sf_dir), _aliases(spark)[0]).select("id", "product", F.array_join("evidence", ",").alias("evidence"))
+
+
 @query("split_items", f"""WITH {BASE}, n AS (SELECT p_partkey AS id, p_name, p_size % 5 AS k, unnest(range(0, p_size % 5 + 1)) AS i FROM part)
 SELECT id AS doc_id, CAST(i + 1 AS INT) AS item, 'Item ' || (i + 1) || ': ' || p_name || ' no ' || i AS text FROM n""")
 def split_items(spark: SparkSession, sf_dir: str) -> DataFrame:

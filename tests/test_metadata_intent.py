@@ -53,7 +53,7 @@ def test_intents(spark):
     assert got[1].q_application == ["flooring"] and got[1].q_excluded_application == ["roofing"] and got[1].q_material == ["clay"]
     assert got[2].q_material == [] and got[2].context_material == ["steel"]
     assert (got[3].q_grade, got[3].q_temperature_c) == ("CEMENT", 60.0)
-    assert got[4].q_grade is None and got[4].q_material is None
+    assert got[4].q_grade is None and got[4].q_material == []
 
 
 def test_items(spark):
