@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as T
 from docsift.operators import joins
+from docsift.operators.negatives import hard_negatives  # noqa: F401  mined with the rest of the training data
 
 UNSAFE = ["merged_artifact", "conflicting_duplicate", "missing_scope"]
 NON_PRODUCT = ["test_method", "code_of_practice", "terminology", "installation"]
-# What a negative of each category is worth beyond its similarity, and how many of each are taken first.
-BONUS = {"same_product": 0.30, "close_variant": 0.18, "trap": 0.05}
-QUOTA = {"same_product": 2, "close_variant": 1, "trap": 1}
 
 
 def eligibility(review: Column, flags: Column, kind: Column, subject: Column, product: Column, subtype: Column, confidence: Column, grounded: Column) -> Column:
@@ -23,24 +21,6 @@ def eligibility(review: Column, flags: Column, kind: Column, subject: Column, pr
     )
 
 
-def hard_negatives(queries: DataFrame, docs: DataFrame, block: str, most: int = 4) -> DataFrame:
-    """query_id, doc_id, category, score, place: two negatives of the same product, a close variant, a trap, then the best.
-
-    queries: query_id, doc_id (the positive), block, product, near (array), toks; docs: doc_id, block, product, near, toks.
-    Candidates share the block, a column of bounded group size (family, brand), so that no all-pairs join arises.
-    """
-    q = queries.select("query_id", F.col("doc_id").alias("own"), block, F.col("product").alias("qp"), F.col("near").alias("qn"), F.col("toks").alias("qt"))
-    pairs = q.join(docs.select("doc_id", block, "product", "near", "toks"), block).where("doc_id <> own")
-    category = F.when(F.col("qp") == F.col("product"), "same_product").when(T.jaccard(F.col("qn"), F.col("near")) >= 0.35, "close_variant").otherwise("trap")
-    bonus = F.create_map(*(F.lit(x) for kv in BONUS.items() for x in kv))
-    quota = F.create_map(*(F.lit(x) for kv in QUOTA.items() for x in kv))
-    scored = pairs.withColumn("category", category).withColumn("score", F.round(T.jaccard(F.col("qt"), F.col("toks")) + bonus[F.col("category")], 6))
-    within = F.row_number().over(Window.partitionBy("query_id", "category").orderBy(F.desc("score"), "doc_id"))
-    rows = scored.select("query_id", "doc_id", "category", "score", (within > quota[F.col("category")]).alias("extra"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("extra", F.desc("score"), "doc_id"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).drop("extra")
-
-
 def split(rows: DataFrame, key: str, share: float = 0.15, seed: int = 5108) -> DataFrame:
     """rows with the column split: a hash of seed and key decides, so that a row keeps its side when others come or go (M6)."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)

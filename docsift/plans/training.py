@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
+from docsift.operators import training as L
 
 from .dialect import sql_query
 from .registry import query
@@ -16,7 +17,7 @@ sql_query("training_eligibility", f"WITH {ELIGIBLE} SELECT p_partkey, eligibilit
 
 NEG_SQL = f"""WITH {ELIGIBLE}, s AS (SELECT *, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+') AS toks FROM el WHERE eligibility = 'SAFE'),
 c AS (SELECT q.p_partkey AS query_id, d.p_partkey AS doc_id, CASE WHEN string_split(q.p_name, ' ')[2] = string_split(d.p_name, ' ')[2] THEN 'same_product' WHEN q.p_type = d.p_type THEN 'close_variant' ELSE 'trap' END AS category,
- len(list_intersect(q.toks, d.toks)) AS shared, len(list_distinct(list_concat(q.toks, d.toks))) AS total FROM (SELECT * FROM s WHERE p_partkey % 20 = 0) q JOIN s d ON q.p_brand = d.p_brand AND q.p_partkey <> d.p_partkey),
+ len(list_intersect(q.toks, d.toks)) AS shared, len(list_distinct(list_concat(q.toks, d.toks))) AS total FROM (SELECT * FROM s WHERE p_partkey % 20 = 0) q JOIN s d ON q.p_partkey <> d.p_partkey),
 g AS (SELECT query_id, doc_id, category, round(shared / total::DOUBLE + CASE category WHEN 'same_product' THEN 0.30::DOUBLE WHEN 'close_variant' THEN 0.18::DOUBLE ELSE 0.05::DOUBLE END, 6) AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, doc_id) AS within FROM g),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN within <= CASE category WHEN 'same_product' THEN 2 ELSE 1 END THEN 0 ELSE 1 END, score DESC, doc_id) AS place FROM r)"""
@@ -27,21 +28,14 @@ def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_size") == 1, "REVIEW").when(F.col("p_type").like("S%") & (F.col("p_size") > 45), "UNSAFE_FLAGS").when(F.col("p_name").like("%widget"), "NON_PRODUCT").when(F.col("p_brand").isNull(), "NO_SUBJECT").when(F.col("p_retailprice") < 901, "LOW_CONFIDENCE").otherwise("SAFE")
     safe = part.withColumn("eligibility", kind).where("eligibility = 'SAFE'")
     toks = T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    d = safe.select(F.col("p_partkey").alias("doc_id"), "p_brand", F.split("p_name", " ")[1].alias("noun"), F.col("p_type").alias("kind"), toks.alias("toks"))
-    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "p_brand", F.col("noun").alias("qn"), F.col("kind").alias("qk"), F.col("toks").alias("qt"))
-    category = F.when(F.col("qn") == F.col("noun"), "same_product").when(F.col("qk") == F.col("kind"), "close_variant").otherwise("trap")
-    bonus = F.when(F.col("category") == "same_product", 0.30).when(F.col("category") == "close_variant", 0.18).otherwise(0.05)
-    pairs = q.join(d, "p_brand").where("query_id <> doc_id").withColumn("category", category)
-    scored = pairs.select("query_id", "doc_id", "category", F.round(F.size(F.array_intersect("qt", "toks")) / F.size(F.array_union("qt", "toks")) + bonus, 6).alias("score"))
-    within = F.row_number().over(Window.partitionBy("query_id", "category").orderBy(F.desc("score"), "doc_id"))
-    first = F.when(within <= F.when(F.col("category") == "same_product", 2).otherwise(1), 0).otherwise(1)
-    ranked = scored.withColumn("first", first)
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first", F.desc("score"), "doc_id")).cast("long")).where("place <= 4").drop("first")
+    d = safe.select(F.col("p_partkey").alias("doc_id"), F.split("p_name", " ")[1].alias("product"), F.lit(None).cast("string").alias("family"), F.array("p_type").alias("kind"), toks.alias("toks"))
+    found = L.hard_negatives(d.where("doc_id % 20 = 0").withColumn("query_id", F.col("doc_id")), d, ["kind"])
+    return found.withColumn("place", F.col("place").cast("long"))
 
 
 @query("hard_negatives", f"{NEG_SQL} SELECT query_id, doc_id, category, score, place FROM f WHERE place <= 4")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two, one and one of the categories, filled up by score; candidates are of the query's brand."""
+    """Two, one and one of the categories, filled up by score; every other part is a candidate."""
     return _negatives(spark, sf_dir)
 
 

@@ -1,10 +1,12 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import evaluation as E
+from docsift.operators import negatives as N
 from docsift.operators import training as R
 
 
@@ -63,11 +65,52 @@ def test_eligibility(spark):
 
 
 def test_negatives_fill_their_quotas(spark):
-    docs = spark.createDataFrame([(i, "f", p, n, ["t", str(i)]) for i, (p, n) in enumerate([("a", ["x"]), ("a", ["x"]), ("a", ["y"]), ("a", ["y"]), ("b", ["x"]), ("b", ["z"]), ("c", ["z"])])], "doc_id int, block string, product string, near array<string>, toks array<string>")
-    got = R.hard_negatives(docs.where("doc_id = 0").withColumn("query_id", F.lit("q")), docs, "block").orderBy("place").collect()
+    docs = spark.createDataFrame([(i, None, p, n, ["t", str(i)]) for i, (p, n) in enumerate([("a", ["x"]), ("a", ["x"]), ("a", ["y"]), ("a", ["y"]), ("b", ["x"]), ("b", ["z"]), ("c", ["z"])])], "doc_id int, family string, product string, near array<string>, toks array<string>")
+    got = R.hard_negatives(docs.where("doc_id = 0").withColumn("query_id", F.lit("q")), docs, ["near"]).orderBy("place").collect()
     assert sorted(r.category for r in got) == ["close_variant", "same_product", "same_product", "trap"] and 0 not in {r.doc_id for r in got}
 
 
+def plain_negatives(q, docs):
+    """Every document scored, as the quotas say."""
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    scored = []
+    for d in docs:
+        if d[0] is None or d[0] == q[0]:
+            continue
+        same = any(q[i] is not None and q[i] == d[i] for i in (1, 2))
+        kind = "same_product" if same else "close_variant" if any(alike(set(q[i] or []), set(d[i] or [])) >= 0.35 for i in (3, 4)) else "trap"
+        scored.append((-math.floor((alike(set(q[5] or []), set(d[5] or [])) + N.BONUS[kind]) * 1e6 + 0.5), d[0], kind))
+    scored.sort()
+    first = [x for kind, n in N.QUOTA.items() for x in [s for s in scored if s[2] == kind][:n]]
+    return [(d, kind, -s / 1e6) for s, d, kind in sorted(first) + [s for s in scored if s not in first]][:4]
+
+
+@pytest.mark.parametrize(("shard", "block"), [(1 << 20, 500_000), (60, 40)])
+def test_negatives_equal_all_pairs(spark, shard, block):
+    r = random.Random(8)
+    some = lambda n, v: [v[min(int(r.expovariate(0.2)), len(v) - 1)] for _ in range(n)]
+    words = ["w%d" % i for i in range(60)]
+    rows = [(i, r.choice(["p", "q", "r", None]), r.choice(["f", None, None]), some(r.randrange(3), "abcdef"), r.choice([None, some(2, "xyz")]), some(r.randrange(1, 9), words)) for i in range(150)]
+    rows += [(200 + i, "p", None, ["a"], None, ["w0", "w1", "w2"]) for i in range(60)] + [(300, None, None, None, None, None), (301, None, None, [], [], []), (302, "lone", None, [], [], ["nowhere"]), (None, "p", None, [], [], ["w0"])]
+    docs = spark.createDataFrame(rows, "doc_id int, product string, family string, near array<string>, use array<string>, toks array<string>").repartition(3)
+    queries = docs.where("doc_id % 20 = 0 or doc_id > 300").withColumn("query_id", F.col("doc_id"))
+    got = {}
+    for x in R.hard_negatives(queries, docs, ["near", "use"], shard_words=shard, block_words=block).orderBy("query_id", "place").collect():
+        got.setdefault(x.query_id, []).append((x.doc_id, x.category, x.score))
+    assert got == {q[0]: plain_negatives(q, rows) for q in rows if q[0] is not None and (q[0] % 20 == 0 or q[0] > 300)}
+    assert R.hard_negatives(queries.limit(0), docs, ["near"]).count() == 0 == R.hard_negatives(queries, docs.limit(0), ["near"]).count()
+
+
+def test_the_threshold_spares_documents():
+    r = random.Random(9)
+    rows = [{"doc_id": i, "product": "p%d" % (i % 3), "family": None, "near": ["n%d" % (i % 5)], "toks": ["common", "often%d" % (i % 4), *("w%d" % r.randrange(3000) for _ in range(8))]} for i in range(5000)]
+    rows += [{"doc_id": 9000 + i, "product": "p%d" % (i % 3), "family": None, "near": ["n%d" % (i % 5)], "toks": rows[0]["toks"][:-1]} for i in range(60)]
+    kind = pa.schema([("doc_id", pa.int64()), ("product", pa.string()), ("family", pa.string()), ("near", pa.list_(pa.string())), ("toks", pa.list_(pa.string()))])
+    shard = N.Shard(pa.Table.from_pylist(rows, kind), ["near"])
+    best = [[], [], []]
+    assert shard.search((0, 0, "p0", None, [["n0"]], rows[0]["toks"]), best, 4) < 200 and all(len(b) == 4 for b in best)
+
+
 def test_split_and_leakage(spark):
     ids = spark.range(4000)
     once, again = R.split(ids, "id"), R.split(ids.repartition(7).where("id % 2 = 0"), "id")
