@@ -277,7 +277,9 @@ def repair(rows: DataFrame, ids: DataFrame | None = None, block: int = BLOCK) ->
     )
     pieces = done.select("conv_id", "part", "block", "entry", "audit", "tail", "turns", "roles", "digests").mapInArrow(_pieces, "conv_id long, part int, block int, i int, inserted array<string>, as string, turn long, role string, digest binary")
     texts = rows.select(_key(F.col("conv_id"), F.col("turn")).alias("k"), F.col("role").alias("r"), F.unhex(F.sha2("text", 256)).alias("d"), "text").groupBy("k", "r", "d").agg(F.first("text").alias("text"))
-    keyed = pieces.withColumn("key", F.when(F.col("digest").isNotNull(), _key(F.col("conv_id"), F.col("turn"))))
+    alone = F.concat_ws(":", F.lit("none"), "part", "block")  # lines inserted last have no text to meet: dealt evenly
+    keyed = pieces.withColumn("key", F.when(F.col("digest").isNotNull(), _key(F.col("conv_id"), F.col("turn"))).otherwise(alone))
+    keyed = keyed.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("digest", F.coalesce("digest", F.lit("").cast("binary")))
     lines = keyed.join(texts, (F.col("key") == F.col("k")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
     in_order = lines.select("conv_id", "part", "block", "i", "inserted", "as", "text").repartition("conv_id").sortWithinPartitions("conv_id", "part", "block", "i")
     hashes = in_order.select("conv_id", "inserted", "as", "text").mapInArrow(_hashes, "conv_id long, sha string")
