@@ -3,9 +3,8 @@
 A gear hash rolls over the bytes of a text; its low 16 bits, which the last 16 bytes alone decide, say where chunks end.
 So an insertion moves no boundary further than 16 bytes away, and a passage falls into the same chunks wherever it
 stands. Of each chunk (by its 128-bit digest) the first occurrence stays: that in the smallest doc_id, and there the
-first. A run of later occurrences is extended, character by character, as far as the text around it equals the text around
-the first occurrence (`EDGE` characters to each side at most: eight mean chunks), and goes if it is `least` characters long
-then; shorter ones are too common to tell.
+first. A run of later occurrences is extended, to the character, as far as the text around it equals the text around the first
+occurrence, however far that is, and goes if it is `least` characters long then; shorter ones are too common to tell.
 
 Only digests that repeat are joined back to their places. Digests of so many places that one task would feel it are few by
 counting; what they own is broadcast, and the places of all others meet by shuffle. Then runs, not chunks, go on.
@@ -35,7 +34,7 @@ U = np.uint64
 GEAR = mix((np.arange(256, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
 #: Mean bytes of a chunk, the most bytes of one, and the fewest characters of a run that is removed.
 MEAN, MOST, LEAST = 32, 4096, 80
-#: Characters by which a run is extended at each end, at most, and the shortest run that is tried.
+#: Characters by which the ends of a run move at first (twice as many each round), and the shortest run that is tried.
 EDGE, TRIED = 256, 40
 #: A digest of at least FEW_PLACES places and of one HOT-th of all is hot; hence there are at most HOT of them.
 FEW_PLACES, HOT = 1000, 50_000
@@ -163,9 +162,12 @@ def _runs(later: DataFrame) -> DataFrame:
     return found.mapInArrow(run, _RUN)
 
 
-def _contexts(docs: DataFrame, runs: DataFrame, files: int) -> DataFrame:
-    """o, ot, p, left, context: the EDGE characters before or after the places where what the runs end with stands first."""
-    ask = runs.select(F.col("lo").alias("o"), F.col("lt").alias("ot"), F.col("lp").alias("p"), F.lit(True).alias("left")).union(runs.select("ro", "rt", "rp", F.lit(False))).distinct()
+_EDGE = "doc_id long, t long, start long, end long, left boolean, at long, o long, ot long, p long, open boolean"
+
+
+def _contexts(docs: DataFrame, edges: DataFrame, width: int, files: int) -> DataFrame:
+    """o, ot, p, left, context: the width characters before or after places p of texts o, ot."""
+    ask = edges.select("o", "ot", "p", "left").distinct()
     ask = common.cut(ask.groupBy("o", "ot").agg(F.collect_list(F.struct("p", "left")).alias("places")), files=files)  # bounded by the document
     few = ask.agg(F.coalesce(F.sum(F.size("places") * 16 + 40), F.lit(0))).first()[0] <= BROADCAST_BYTES
     asked = docs.join(F.broadcast(ask) if few else ask, (F.col("doc_id") == F.col("o")) & (F.col("t") == F.col("ot"))).select("o", "ot", "places", "text")
@@ -174,7 +176,7 @@ def _contexts(docs: DataFrame, runs: DataFrame, files: int) -> DataFrame:
         for b in common.slices(batches, "text"):
             out = []
             for o, ot, places, text in zip(*(b.column(c).to_pylist() for c in ("o", "ot", "places", "text")), strict=True):
-                out += [(o, ot, x["p"], x["left"], text[max(0, x["p"] - EDGE) : x["p"]] if x["left"] else text[x["p"] : x["p"] + EDGE]) for x in places]
+                out += [(o, ot, x["p"], x["left"], text[max(0, x["p"] - width) : x["p"]] if x["left"] else text[x["p"] : x["p"] + width]) for x in places]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["o", "ot", "p", "left", "context"])
 
@@ -182,36 +184,81 @@ def _contexts(docs: DataFrame, runs: DataFrame, files: int) -> DataFrame:
     return common.cut(found.groupBy("o", "ot", "p", "left").agg(F.first("context").alias("context")), old=[ask], files=files)
 
 
-def repeated_runs(docs: DataFrame, mean: int, most: int, files: int) -> DataFrame:
-    """doc_id, t, runs (array of start, end, source, before, after: the text around the first occurrence). docs: doc_id, t, text."""
-    runs = common.cut(_runs(_later(docs, mean, most, files)), files=files)
-    around = _contexts(docs, runs, files)
+def alike(a: str, b: str, left: bool) -> int:
+    """How many characters a and b share at their ends (left) or beginnings."""
+    least, most = 0, min(len(a), len(b))
+    same = (lambda n: a[len(a) - n :] == b[len(b) - n :]) if left else (lambda n: a[:n] == b[:n])
+    if same(most):
+        return most
+    while most - least > 1:
+        n = (least + most) // 2
+        least, most = (n, most) if same(n) else (least, n)
+    return least
+
+
+def _moved(docs: DataFrame, edges: DataFrame, width: int, files: int) -> DataFrame:
+    """edges, each further out by what is equal of the next width characters; open if all are."""
+    around = _contexts(docs, edges, width, files)
     few = around.agg(F.coalesce(F.sum(F.length("context") + 40), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    for side, o, t, p in (("before", "lo", "lt", "lp"), ("after", "ro", "rt", "rp")):
-        told = around.where(F.col("left") == (side == "before")).select(F.col("o").alias(o), F.col("ot").alias(t), F.col("p").alias(p), F.col("context").alias(side))
-        # Each is a stage of one join, so that adaptive execution can split the places that many runs point to.
-        runs = common.cut(runs.join(F.broadcast(told) if few else told, [o, t, p]), old=[runs], files=files)
-    out = runs.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("lo").alias("source"), "before", "after"))).alias("runs"))  # bounded by the document
-    return common.cut(out, old=[runs, around], files=files)
+    # A stage of one join, so that adaptive execution can split the places that many runs point to.
+    told = common.cut(edges.join(F.broadcast(around) if few else around, ["o", "ot", "p", "left"]), old=[around], files=files)
+    one = F.struct("start", "end", "left", "at", "o", "ot", "p", "context")
+    by_doc = common.cut(told.groupBy(F.col("doc_id").alias("of"), F.col("t").alias("of_t")).agg(F.collect_list(one).alias("edges")), old=[told], files=files)  # bounded by the document
+    sizes = F.aggregate("edges", F.lit(40), lambda n, x: n + F.length(x["context"]) + 60)
+    few = by_doc.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    met = docs.join(F.broadcast(by_doc) if few else by_doc, (F.col("doc_id") == F.col("of")) & (F.col("t") == F.col("of_t"))).select("doc_id", "t", "text", "edges")
+    names = [x.split()[0] for x in _EDGE.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            out = []
+            for doc, t, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "text", "edges")), strict=True):
+                for x in found:
+                    at, left = x["at"], x["left"]
+                    n = alike(text[max(0, at - width) : at] if left else text[at : at + width], x["context"], left)
+                    step = -n if left else n
+                    out.append((doc, t, x["start"], x["end"], left, at + step, x["o"], x["ot"], x["p"] + step, n == width))
+            kinds = [pa.bool_() if c in ("left", "open") else pa.int64() for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return common.cut(met.mapInArrow(run, _EDGE).dropDuplicates(), old=[by_doc], files=files)  # rows that repeat tell the same
 
-def extend(text: str, runs: list[dict], least: int) -> list[dict]:
-    """Runs extended to where the text around them differs from that around their first occurrence; start, end, source."""
+
+def repeated_runs(docs: DataFrame, mean: int, most: int, files: int) -> DataFrame:
+    """doc_id, t, runs (array of start, end, source), each as long as the text around it equals that around its first occurrence.
+
+    Both ends of a run move out in rounds of doubling width, EDGE characters first; only ends of which all characters were equal
+    go on, so the rounds are as many as the logarithm of the longest way. docs: doc_id, t, text.
+    """
+    runs = common.cut(_runs(_later(docs, mean, most, files)), files=files)
+    key = ["doc_id", "t", "start", "end"]
+    side = lambda left, at, o, t, p: runs.select(*key, F.lit(left).alias("left"), F.col(at).alias("at"), F.col(o).alias("o"), F.col(t).alias("ot"), F.col(p).alias("p"))
+    edges = side(True, "start", "lo", "lt", "lp").union(side(False, "end", "ro", "rt", "rp"))
+    width, closed = EDGE, []
+    while True:
+        moved = _moved(docs, edges, width, files)
+        closed.append(moved.where("not open").select(*key, "left", "at"))
+        edges = moved.where("open").drop("open")
+        if not edges.limit(1).count():
+            break
+        width *= 2
+    ends = closed[0]
+    for x in closed[1:]:
+        ends = ends.union(x)
+    ends = ends.groupBy(*key).agg(F.min(F.when(F.col("left"), F.col("at"))).alias("from"), F.max(F.when(~F.col("left"), F.col("at"))).alias("to"))
+    wide = runs.select(*key, "lo").join(ends, key)
+    out = wide.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end"), F.col("lo").alias("source")))).alias("runs"))  # bounded by the document
+    return common.cut(out, old=[runs], files=files)
+
+
+def merged(runs: list[dict], least: int) -> list[dict]:
+    """Sorted runs that overlap or touch become one; those of least characters or more."""
     out: list[dict] = []
     for x in runs:
-        start, end, before, after = x["start"], x["end"], x["before"], x["after"]
-        n, most = 0, min(len(before), start)
-        while n < most and before[-1 - n] == text[start - 1 - n]:
-            n += 1
-        start -= n
-        n, most = 0, min(len(after), len(text) - end)
-        while n < most and after[n] == text[end + n]:
-            n += 1
-        end += n
-        if out and start <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], end)
+        if out and x["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], x["end"])
         else:
-            out.append({"start": start, "end": end, "source": x["source"]})
+            out.append({"start": x["start"], "end": x["end"], "source": x["source"]})
     return [x for x in out if x["end"] - x["start"] >= least]
 
 
@@ -244,7 +291,7 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least:
         for b in common.slices(batches, "text"):
             text, gone, n = b.column("text").to_pylist(), [None] * b.num_rows, [0] * b.num_rows
             for i, found_ in enumerate(b.column(runs).to_pylist()):
-                if found_ and text[i] is not None and (long := extend(text[i], found_, least)):
+                if found_ and text[i] is not None and (long := merged(found_, least)):
                     text[i], gone[i], n[i] = _without(text[i], long), long, sum(x["end"] - x["start"] for x in long)
             columns = [pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind), pa.array(n, pa.int64())], names=[*names, spans, removed])
@@ -254,8 +301,7 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, most: int = MOST, least:
 
 
 def _bytes(found: DataFrame, runs: str) -> int:
-    sizes = F.aggregate(runs, F.lit(40), lambda n, x: n + F.length(x["before"]) + F.length(x["after"]) + 40)
-    return found.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
+    return found.agg(F.coalesce(F.sum(F.size(runs) * 40 + 40), F.lit(0))).first()[0]
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,12 +221,10 @@ def brute_spans(rows, least):
         for s, e, (o, left), (p, right) in merged:
             if e - s < substring.TRIED:
                 continue
-            for _ in range(substring.EDGE):
-                if left > 0 and s > 0 and text[o][left - 1] == text[i][s - 1]:
-                    left, s = left - 1, s - 1
-            for _ in range(substring.EDGE):
-                if right < len(text[p]) and e < len(text[i]) and text[p][right] == text[i][e]:
-                    right, e = right + 1, e + 1
+            while left > 0 and s > 0 and text[o][left - 1] == text[i][s - 1]:
+                left, s = left - 1, s - 1
+            while right < len(text[p]) and e < len(text[i]) and text[p][right] == text[i][e]:
+                right, e = right + 1, e + 1
             if wide and s <= wide[-1][1]:
                 wide[-1] = (wide[-1][0], max(wide[-1][1], e))
             else:
@@ -263,6 +261,34 @@ def test_substring_odd_rows(spark):
     assert substring.dedup_substrings(frame(spark, [])).count() == 0
 
 
+def common_passages(a, b, least):
+    """Spans of b, as long as can be, that stand in a: on the raw strings."""
+    out, at = [], 0
+    while at + least <= len(b):
+        if b[at : at + least] in a:
+            end = at + least
+            while end < len(b) and b[at : end + 1] in a:
+                end += 1
+            out.append((at, end))
+            at = end
+        else:
+            at += 1
+    return out
+
+
+def test_substring_takes_passages_whole_on_the_raw_strings(spark):
+    """No boundary for long, one word over and over, insertions before a passage: all of a shared passage goes, whatever its length."""
+    again, prose = "word " * 400, " ".join(words(77, 60)) + " "
+    pairs = []
+    for i, shared in enumerate([prose + again, again + prose + again, prose + "ab" * 20_000]):
+        pairs.append((" ".join(words(1000 + i, 40)) + " <" + shared + "> " + " ".join(words(2000 + i, 40)), "(" * (7 * i) + " ".join(words(3000 + i, 30)) + " {" + shared + "} " + " ".join(words(4000 + i, 30))))
+    for a, b in pairs:  # one pair a table: what stays is told from these two alone
+        got = {r.doc_id: r for r in substring.dedup_substrings(frame(spark, [(1, a), (2, b)])).collect()}
+        want = [x for x in common_passages(a, b, substring.LEAST)]
+        assert any(s.start <= x[0] and x[1] <= s.end for x in want for s in got[2].spans) and len(want) >= 1
+        assert [(s.start, s.end) for s in got[2].spans if s.source == 1] == want
+
+
 def edit_distance_within(pattern, text):
     """Smallest distance of pattern to any substring of text, by the table."""
     row = [0] * (len(text) + 1)
