@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.operators.quantiles import with_quantiles
+
 
 def bce(logit: Column, label: Column) -> Column:
     """Mean binary cross-entropy of logits, in the form that does not overflow."""
@@ -31,7 +33,7 @@ def pair_ranking(rows: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean, median and interpolated 95th percentile."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.95).alias("p95"))
+    return with_quantiles(rows, value, by, {"median": 0.5, "p95": 0.95}, F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def nearest_percentile(rows: DataFrame, value: str, by: str, p: float, width: float = 1.0) -> DataFrame:
@@ -51,7 +53,8 @@ def nearest_percentile(rows: DataFrame, value: str, by: str, p: float, width: fl
 
 def distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, extremes, mean, median and sample deviation, 0 for one row."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    sums = [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")]
+    return with_quantiles(rows, value, by, {"median": 0.5}, *sums)
 
 
 def best_checkpoint(epochs: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def best_checkpoint(epochs: DataFrame) -> DataFrame:
 def score_delta(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """How far two scores of the same pairs lie apart."""
     d = a.select(*keys, F.col("score").alias("a")).join(b.select(*keys, F.col("score").alias("b")), keys).select(F.abs(F.col("a") - F.col("b")).alias("d"))
-    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_abs"), F.median("d").alias("median_abs"), F.max("d").alias("max_abs"), F.count_if(F.col("d") == 0).alias("identical"))
+    return with_quantiles(d, "d", [], {"median_abs": 0.5}, F.count("*").alias("n"), F.avg("d").alias("mean_abs"), F.max("d").alias("max_abs"), F.count_if(F.col("d") == 0).alias("identical"))
 
 
 def rank_changes(a: DataFrame, b: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 20)) -> DataFrame:

@@ -9,12 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dialect import sql_query
+from docsift.operators import evaluation as E
+
+from .dialect import render, sql_query
 from .registry import query
 
 sql_query("value_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source", "G6")
-sql_query("group_size_distribution", "SELECT count(*) AS groups, min(n) AS smallest, median(n) AS median_size, max(n) AS largest FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) AS g", "G8")
-sql_query("latency_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(@pct{value|0.95}, 6) AS p95_ms FROM events GROUP BY event_type", "G12, Z31")
+GROUP_SIZES = "SELECT count(*) AS groups, min(n) AS smallest, median(n) AS median_size, max(n) AS largest FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) AS g"
+
+
+@query("group_size_distribution", render(GROUP_SIZES, True))
+def group_size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median by distributed selection."""
+    sizes = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n"))
+    d = E.distribution(sizes, "n", [])
+    return d.select(F.col("n").alias("groups"), F.col("min").alias("smallest"), F.col("median").alias("median_size"), F.col("max").alias("largest"))
+
+
+LATENCY = "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(@pct{value|0.95}, 6) AS p95_ms FROM events GROUP BY event_type"
+
+
+@query("latency_summary", render(LATENCY, True))
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median and 95th percentile by distributed selection."""
+    d = E.latency(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", ["event_type"])
+    return d.select("event_type", "n", *(F.round(c, 6).alias(f"{c}_ms") for c in ("mean", "median", "p95")))
+
+
 sql_query(
     "percentile_nearest",
     """WITH b AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS cell, count(*) AS n FROM events GROUP BY event_type, CAST(floor(value) AS BIGINT)),
@@ -24,7 +45,16 @@ sql_query(
  SELECT event_type, value AS p95 FROM r WHERE k = place""",
     "G13: nearest rank with bankers' rounding; only the cell that holds the rank is sorted",
 )
-sql_query("score_distribution", "SELECT lang, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS mid, round(coalesce(stddev_samp(n_chars), 0), 6) AS sd FROM documents GROUP BY lang", "G14, Z28")
+DISTRIBUTION = "SELECT lang, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS mid, round(coalesce(stddev_samp(n_chars), 0), 6) AS sd FROM documents GROUP BY lang"
+
+
+@query("score_distribution", render(DISTRIBUTION, True))
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median by distributed selection."""
+    d = E.distribution(spark.read.parquet(f"{sf_dir}/documents.parquet"), "n_chars", ["lang"])
+    return d.select("lang", "n", F.col("min").alias("low"), F.col("max").alias("high"), F.round("mean", 6).alias("mean"), F.round("median", 6).alias("mid"), F.round("sd", 6).alias("sd"))
+
+
 LOGIT = "SELECT l.doc_id, l.quality AS y, (d.n_chars % 701) / 100e0 - 3e0 AS x FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 sql_query("bce_logits", f"SELECT round(avg(greatest(x, 0e0) - x * y + ln(1e0 + exp(-abs(x)))), 6) AS loss FROM ({LOGIT}) AS p", "G15")
 sql_query("pair_accuracy", f"SELECT round(avg(CASE WHEN (x >= 0 AND y = 1) OR (x < 0 AND y = 0) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM ({LOGIT}) AS p", "G15")
@@ -40,7 +70,18 @@ sql_query("first_last_delta", f"SELECT round(@best{{mrr|epoch}} - @first{{mrr|ep
 sql_query("epoch_lag_check", f"SELECT epoch, mrr, loss, mrr < lag(mrr) OVER (ORDER BY epoch) AND loss > lag(loss) OVER (ORDER BY epoch) AS overfit FROM ({EPOCHS}) AS e", "W18; a row an epoch")
 sql_query("recommend_k", f"SELECT min(epoch) AS k FROM (SELECT epoch, hit1, mrr, max(hit1) OVER () AS top, max(mrr) OVER () AS best FROM ({EPOCHS}) AS e) AS w WHERE hit1 >= top - 0.1 AND mrr >= best - 0.1", "W19")
 SCORES = "SELECT p_partkey, p_brand, round(p_retailprice, 2) AS before_score, round(p_retailprice + CASE WHEN p_size % 4 = 0 THEN 0 ELSE (p_size - 25) * 0.5 END, 2) AS after_score FROM part"
-sql_query("score_delta", f"SELECT count(*) AS n, round(avg(abs(after_score - before_score)), 6) AS mean_abs, round(median(abs(after_score - before_score)), 6) AS median_abs, round(max(abs(after_score - before_score)), 6) AS max_abs, @if{{after_score = before_score}} AS identical FROM ({SCORES}) AS s", "G18")
+
+
+@query("score_delta", render(f"SELECT count(*) AS n, round(avg(abs(after_score - before_score)), 6) AS mean_abs, round(median(abs(after_score - before_score)), 6) AS median_abs, round(max(abs(after_score - before_score)), 6) AS max_abs, @if{{after_score = before_score}} AS identical FROM ({SCORES}) AS s", True))
+def score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median difference by distributed selection."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    before = F.round("p_retailprice", 2)
+    after = F.round(F.col("p_retailprice") + F.when(F.col("p_size") % 4 == 0, 0).otherwise((F.col("p_size") - 25) * 0.5), 2)
+    d = E.score_delta(p.select("p_partkey", before.alias("score")), p.select("p_partkey", after.alias("score")), ["p_partkey"])
+    return d.select("n", *(F.round(c, 6).alias(c) for c in ("mean_abs", "median_abs", "max_abs")), "identical")
+
+
 RANKS = f"SELECT p_brand, p_partkey, @rank{{PARTITION BY p_brand ORDER BY before_score DESC, p_partkey}} AS r0, @rank{{PARTITION BY p_brand ORDER BY after_score DESC, p_partkey}} AS r1 FROM ({SCORES}) AS s"
 sql_query(
     "rank_change",

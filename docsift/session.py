@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "docsift", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
@@ -23,3 +24,14 @@ def get_spark(app: str = "docsift", master: str | None = None, shuffle_partition
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder in spark.checkpoint.dir, so that a lost executor repeats one step; a local master may do without the setting."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="docsift-"))
+    return df.checkpoint()
