@@ -10,12 +10,14 @@ the class's first and last page too: text of an element that repeats on a page,
 many pages have it, and so is what stands in a paragraph, heading, list item or the like of an article element.
 
 What is left are slots. The names of elements tell some that hold no article text (nav, footer, form, ...; a class, id or role
-from a list). If a page has an article or main element outside of those, only what is in it is its text. If it has none but
+from a list; inside of an article only a whole name counts). If a page has an article or main element outside of those, only what is
+in it is its text, without the blocks that stand there on at least `share` of the host's pages and on FREQUENT, be they what they may;
+but if those were half of the article, the page is taken for a near copy and keeps them. If it has none but
 the host has a template, the slot with most words is the article, with the headings and with slots of a quarter of its words.
 
 The vectors are sums, modulo a prime, of a hash of (page, count); copies of a page divide by their number, so they count once.
-Sums and least positions are gathered before the shuffle, so that no host's pages meet in a task. The template of all hosts is
-broadcast if it is small and joined by shuffle if not (adaptive execution splits a host of many pages).
+Sums and least positions are gathered before the shuffle, so that no host's pages meet in a task. The templates of all hosts are
+broadcast if they are small; if not, each is sent once to a task that has pages of its host, which streams them.
 
 Defined results: null or empty html gives an empty text; a null or odd url belongs to the host ''; an unclosed element
 ends with its parent; a page of template alone gives an empty text; very long pages are read whole, one at a time; repeated
@@ -30,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,8 @@ from . import common
 PAGES, SHARE, FREQUENT, LARGE = 2, 0.5, 4, 4
 #: Template tokens up to this many are broadcast (32 bytes each).
 BROADCAST_TOKENS = 500_000
+#: Pages of a host in one task, where templates are shuffled.
+HOST_PAGES = 1_000
 #: Words of a block up to which words are tokens, not the phrases between marks.
 SHORT = 12
 PHRASE = re.compile(r"(?<=[.,;:!?]) ")
@@ -76,7 +81,7 @@ def marked(attrs: list[tuple[str, str | None]], article: bool) -> bool:
         if name in ("class", "id", "role") and value:
             for word in value.lower().split():
                 bits = [x for x in re.split(r"[-_]+", word) if x]
-                if bits and (MARKS.match(word) or MARKS.match(bits[0]) or MARKS.match(bits[-1]) or (not article and WEAK.match(word))):
+                if bits and (MARKS.match(word) or (not article and (MARKS.match(bits[0]) or MARKS.match(bits[-1]) or WEAK.match(word)))):
                     return True
     return False
 
@@ -94,6 +99,11 @@ def token(path: str, text: str) -> int:
     return found
 
 
+def whole(path: str, text: str) -> int:
+    """The token of a block of an article: negative, so that it counts for no class of tags and words."""
+    return -token(f"block {path}", text) - 1
+
+
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "blockquote", "pre", "td", "th", "figcaption", "article", "main"}
 #: What holds where no element is open.
 OUTSIDE = ("", False, False, False, "")
@@ -112,6 +122,7 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, str, bool, bool, int]] = []
         self.tokens: list[int] = []
         self.tags: list[int] = []  # places of tags in tokens
+        self.wholes: list[int] = []  # negative tokens of the blocks of an article, each as a whole
         self.open: list[tuple[str, bool, bool, bool, str]] = []  # tag, silent, aside, article, path of elements
         self.text: list[str] = []
 
@@ -124,6 +135,8 @@ class Blocks(HTMLParser):
                 self.blocks.append((path, text, aside, article, len(self.tokens)))
                 if not aside:
                     self.tokens += [token(path, w) for w in units(text)]
+                    if article:
+                        self.wholes.append(whole(path, text))
 
     def _tag(self, kind: str) -> None:
         tag, silent, _, _, path = self.open[-1]
@@ -236,6 +249,23 @@ def _together(known: list[tuple[int, int, int, int]], held: int, words: int, par
     return all(max(x[i] for x in known) - min(x[i] for x in known) <= parts + 1 for i in (2, 3))
 
 
+def repeated_blocks(page: Blocks, classes: dict[int, tuple[int, int, int, int]]) -> set[int]:
+    """Blocks of an article that are the host's: notices, related links, lines of copyright. Were they half of its words or
+    more, the page would be a near copy of others, and its article no template."""
+    if not classes or not page.wholes:
+        return set()
+    again, words, all_words = set(), 0, 0
+    for i, (path, text, aside, article, _) in enumerate(page.blocks):
+        if aside or not article:
+            continue
+        n = text.count(" ") + 1
+        all_words += n
+        if whole(path, text) in classes:
+            again.add(i)
+            words += n
+    return again if 2 * words < all_words else set()
+
+
 def main_text(page: Blocks, classes: dict[int, tuple[int, int, int, int]]) -> str:
     """The article's blocks, one a line. classes: as for template_places, empty if the host has no template."""
     template = template_places(page.tokens, classes) if classes else []
@@ -243,13 +273,14 @@ def main_text(page: Blocks, classes: dict[int, tuple[int, int, int, int]]) -> st
     fixed = {page.tokens[at] for at in template if at in tags}
     borders = [at for at in template if at in tags]
     slots = []
-    for path, text, aside, article, at in page.blocks:
-        if aside:
+    again = repeated_blocks(page, classes)
+    for i, (path, text, aside, article, at) in enumerate(page.blocks):
+        if aside or i in again:
             continue
         words = text.count(" ") + 1
         if token("begin", path) in fixed and not (article and path.rsplit("/", 1)[-1] in PROSE):
             parts = units(text)
-            known = [(classes[page.tokens[i]], u.count(" ") + 1) for i, u in enumerate(parts, at) if i in held]
+            known = [(classes[page.tokens[j]], u.count(" ") + 1) for j, u in enumerate(parts, at) if j in held]
             if _together([x for x, _ in known], sum(n for _, n in known), words, len(parts)):
                 continue
         slots.append((text, article, bisect_left(borders, at), words, path.rsplit("/", 1)[-1]))
@@ -279,7 +310,8 @@ def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
                 page = xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "surrogatepass")) >> 1
                 part = pow(copies, -1, P) if copies > 1 else 1
                 v1, v2 = page % P * part % P, (page >> 32) * 48271 % P * part % P
-                tokens = parsed(html).tokens
+                found = parsed(html)
+                tokens = found.tokens + found.wholes
                 first = dict(zip(tokens, range(len(tokens)), strict=True))
                 twice = [t for t, n in Counter(tokens).items() if n > 1] if len(first) < len(tokens) else []
                 first.update(dict.fromkeys(twice, -1))  # once on each of its pages, or no template
@@ -308,9 +340,10 @@ def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
     gathered = common.cut(gathered)
     hosts = gathered.where("token = 0").select("h", F.col("pages").alias("all"))
     tokens = gathered.where("token <> 0")
-    sizes = tokens.groupBy("h", "vector").agg(F.max("pages").alias("on"), F.count("*").alias("size")).join(hosts, "h")
-    valid = sizes.where((F.col("on") >= share * F.col("all")) | ((F.col("on") >= FREQUENT) & (F.col("size") >= LARGE))).select("h", "vector")
-    return tokens.join(valid, ["h", "vector"]).select("h", "token", "pages", F.col("vector").alias("class"), "first", "last")
+    sizes = tokens.groupBy("h", "vector").agg(F.max("pages").alias("on"), F.count_if(F.col("token") > 0).alias("size")).join(hosts, "h")
+    common_ = F.col("on") >= share * F.col("all")
+    valid = sizes.where(common_ | ((F.col("on") >= FREQUENT) & (F.col("size") >= LARGE))).select("h", "vector", (common_ & (F.col("on") >= FREQUENT)).alias("wide"))
+    return tokens.join(valid, ["h", "vector"]).where("token > 0 or wide").select("h", "token", "pages", F.col("vector").alias("class"), "first", "last")
 
 
 def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -322,23 +355,56 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     few = copies.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
     told = rows.join(F.broadcast(copies) if few else copies, ["h", "digest"], "left").select("h", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
     found = common.cut(templates(told, least, share))
-    by_host = common.cut(found.groupBy("h").agg(F.collect_list(F.struct("token", "pages", "class", "first", "last")).alias("template")))  # tokens on several pages of one host
-    few = found.count() <= BROADCAST_TOKENS
-    joined = rows.join(F.broadcast(by_host) if few else by_host, "h", "left")
+    names, schema = ["page_id", "url", "text", "n_chars"], "page_id long, url string, text string, n_chars long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, dict[int, tuple[int, int, int, int]]] = {}
-        for b in common.slices(batches, "html"):
-            text = []
-            for h, html, t in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), b.column("template"), strict=True):
+    def told_of(b: pa.RecordBatch, of) -> pa.RecordBatch:
+        text = [main_text(parsed(html), of(h)) for h, html in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=names)
+
+    if found.count() <= BROADCAST_TOKENS:
+        t = found.orderBy("h").toPandas()  # BROADCAST_TOKENS rows at most
+        shared = pages.sparkSession.sparkContext.broadcast([t[c].to_numpy() for c in ("h", "token", "pages", "class", "first", "last")])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hosts, *values = shared.value
+            known: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+
+            def of(h: int) -> dict[int, tuple[int, int, int, int]]:
                 if h not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[h] = {x["token"]: (x["pages"], x["class"], x["first"], x["last"]) for x in t.as_py() or ()}
-                text.append(main_text(parsed(html), known[h]))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                    own = slice(*np.searchsorted(hosts, [h, h + 1]))
+                    known[h] = {x[0]: x[1:] for x in zip(*(v[own].tolist() for v in values), strict=True)}
+                return known[h]
+
+            for b in common.slices(batches, "html"):
+                yield told_of(b, of)
 
-    return joined.select("page_id", "url", "h", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+        return rows.select("page_id", "url", "h", "html").mapInArrow(run, schema)
+
+    # A host's template goes once to each task that has pages of it, before them; hosts of many pages are dealt to several.
+    of_host = found.groupBy("h").agg(F.collect_list(F.struct("token", "pages", "class", "first", "last")).alias("template"))  # of one host
+    large = common.cut(rows.groupBy(F.col("h").alias("of")).agg(F.ceil(F.count("*") / HOST_PAGES).alias("parts")).where("parts > 1"), files=common.FEWEST_FILES)
+    dealt = F.broadcast(large) if large.count() <= BROADCAST_TOKENS else large
+    parts = F.coalesce("parts", F.lit(1))
+    first = of_host.join(dealt, F.col("h") == F.col("of"), "left").select("h", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "template", F.lit(True).alias("first"))
+    then = rows.join(dealt, F.col("h") == F.col("of"), "left").select("h", F.pmod(F.xxhash64("page_id", "digest"), parts).alias("part"), "page_id", "url", "html", F.lit(None).cast(of_host.schema["template"].dataType).alias("template"), F.lit(False).alias("first"))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, classes = None, {}
+        for b in common.slices(batches, "html"):
+            at = 0
+            for i, is_first in enumerate([*b.column("first").to_pylist(), True]):
+                if is_first:
+                    if i > at:
+                        yield told_of(b.slice(at, i - at), lambda h: classes if h == host else {})  # noqa: B023  used at once
+                    at = i + 1
+                    if i < b.num_rows:
+                        host = b.column("h")[i].as_py()
+                        classes = {x["token"]: (x["pages"], x["class"], x["first"], x["last"]) for x in b.column("template")[i].as_py() or ()}
+
+    both = first.unionByName(then).repartition("h", "part").sortWithinPartitions("h", "part", F.desc("first"))
+    return both.mapInArrow(stream, schema)
 
 
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,40 @@ def test_classes_equal_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
 
 
+SAME = ["Please read our notice first.", "You may also like these stories.", "Copyright of the whole paper."]
+NAMED = ["social-history", "ad-hoc", "banner-image", "footer-notes", "menu-of-the-day", "navigation-history", "comments-on-the-text"]
+
+
+def in_main(i, body="main"):
+    title, lines = story(i)
+    return (
+        f"<body><{body}><div class=notice>{SAME[0]}</div><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in lines)
+        + f"<section class='{NAMED[i % 7]}'>Section {i} of {NAMED[i % 7]}.</section><section class=related-posts>{SAME[1]}</section><div class=copyright>{SAME[2]}</div></{body}></body>"
+    )
+
+
+@pytest.mark.parametrize("tokens", [500_000, 0])
+def test_what_repeats_on_a_host_goes_from_articles_too(spark, monkeypatch, tokens):
+    """Templates decide inside of main; names there count as a whole only; near copies of an article stay; both ways to send templates."""
+    monkeypatch.setattr(pages, "BROADCAST_TOKENS", tokens)
+    monkeypatch.setattr(pages, "HOST_PAGES", 5)
+    rows = [(i, "http://a.example/x", in_main(i)) for i in range(14)]
+    near = story(99)[1]
+    rows += [(100 + i, "http://b.example/", "<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in near) + f"<p>Copy {i} of it.</p></article>") for i in range(8)]
+    rows += [(200 + i, f"http://c{i}.example/", in_main(i)) for i in range(2)]  # a host of one page: nothing to compare
+    rows += [(300 + i, "http://e.example/", bare(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in range(14):
+        title, lines = story(i)
+        assert got[i] == "\n".join([title, *lines, f"Section {i} of {NAMED[i % 7]}."]), got[i]
+    for i in range(8):
+        assert got[100 + i] == "\n".join(["Title", *near, f"Copy {i} of it."])
+        assert got[300 + i] == "\n".join([story(i)[0], *story(i)[1]])
+    for i in range(2):
+        assert all(x in got[200 + i] for x in SAME) and f"Section {i}" in got[200 + i]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.permutations(range(7)))
 def test_in_order(seconds):
