@@ -6,11 +6,15 @@ item's text. Embeddings: the vectors whose vec_id is divisible by 20 are the que
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
 from docsift.operators import retrieval as R
+from docsift.operators.stored import StoredIndex
+from docsift.session import shared_folder
 
 from .registry import query
 
@@ -61,6 +65,16 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.weights().crossJoin(F.broadcast(index.stats)).select("tok", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+@query("stored_index_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 20")
+def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of documents, stored and searched with skipping."""
+    docs, items = _read(spark, sf_dir, "documents", "benchmark")
+    index = StoredIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    for lang in (F.col("lang") == "en", ~F.coalesce(F.col("lang") == "en", F.lit(False))):
+        index.add(docs.where(lang), "doc_id", "text")
+    return index.search(items, "item_id", "text").select("query_id", "doc_id", "score", "rank")
+
+
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     (e,) = _read(spark, sf_dir, "embeddings")
     return R.dense_topk(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))

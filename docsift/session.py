@@ -26,12 +26,18 @@ def get_spark(app: str = "docsift", master: str | None = None, shuffle_partition
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir, so that a lost executor repeats one step; a local master may do without the setting."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local master may do without the setting."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="docsift-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, so that a lost executor repeats one step."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
