@@ -2,39 +2,88 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.session import checkpointed
 
-def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a < b, jaccard (6 decimals) of all pairs of similarity `least` or more. rows: id, s (distinct tokens).
 
-    Exact: with tokens in order of rarity, two such sets of n and more tokens share two tokens among the first
-    n - ceil(least * n) + 2 of each (one among one less, if a single token is enough), and their sizes differ by no more
-    than the factor `least`. Rows are joined by pairs of rare tokens, since single tokens can be common to most rows.
+#: Sets of up to so many tokens meet by several rare tokens, as many as give KEYS combinations at most.
+SHORT_SET, MOST_TOGETHER, KEYS = 16, 6, 40
+
+
+def _shapes(least: float) -> list[tuple[int, int, int, list[int]]]:
+    """n, lo, hi, places: by which places in a set of n tokens, the rarest first, it meets sets so that the sizes are lo and hi.
+
+    Two sets that share o tokens share L of them among the first n - o + L of each, in any common order.
     """
-    rows = rows.where(F.size("s") > 0)
-    rarity = rows.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    ordered = rows.select("id", F.explode("s").alias("tok")).join(rarity, "tok").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
-    n = F.size("o")
-    enough = F.ceil(F.lit(least) * n - 1e-9)
-    prefix = F.transform(F.slice("o", 1, F.least(n, n - enough + 2).cast("int")), lambda x: x["tok"])
+    out = []
+    for lo in range(1, SHORT_SET + 1):
+        for hi in range(lo, min(SHORT_SET, math.floor(lo / least + 1e-9)) + 1):
+            shared = math.ceil(least / (1 + least) * (lo + hi) - 1e-9)
+            if shared > lo:
+                continue
+            together = max(x for x in range(1, min(shared, MOST_TOGETHER) + 1) if x == 1 or math.comb(hi - shared + x, x) <= KEYS)
+            for n in {lo, hi}:
+                out += [(n, lo, hi, list(c)) for c in combinations(range(n - shared + together), together)]
+    return out
+
+
+def _short_pairs(ordered: DataFrame, least: float) -> DataFrame:
+    """Candidates a, b of sets of up to SHORT_SET tokens."""
+    shapes = ordered.sparkSession.createDataFrame(_shapes(least), "n int, lo int, hi int, places array<int>")
+    met = ordered.join(F.broadcast(shapes), "n")  # a fixed number of rows
+    keys = met.select("id", "n", "lo", "hi", F.xxhash64("lo", "hi", F.transform("places", lambda i: F.get("o", i))).alias("key"))
+    left = keys.where("n = lo").select(F.col("id").alias("a"), "key", "lo", "hi")
+    right = keys.where("n = hi").select(F.col("id").alias("b"), "key", "lo", "hi")
+    pairs = left.join(right, ["key", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _long_pairs(ordered: DataFrame, least: float) -> DataFrame:
+    """Candidates a, b of sets of which one has more than SHORT_SET tokens, by pairs of rare tokens (one, if one is enough)."""
+    enough = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    prefix = F.slice("o", 1, F.least("n", F.col("n") - enough + 2).cast("int"))
     two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    # A set of one token, or one of which one token is enough, is joined by single tokens with all.
-    single = least * 2 <= 1 + 1e-9
     one = F.transform("p", lambda x: F.xxhash64(x))
+    single = least * 2 <= 1 + 1e-9
     tokens = one if single else F.when(F.col("n") == 1, one).otherwise(two)
-    keys = ordered.select("id", n.alias("n"), prefix.alias("p")).select("id", "n", F.explode(tokens).alias("tok"))
+    keys = ordered.where(F.col("n") >= F.lit(least) * (SHORT_SET + 1) - 1e-9).select("id", "n", prefix.alias("p")).select("id", "n", F.explode(tokens).alias("tok"))
     left, right = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "tok"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tok")
-    sized = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, "tok").where(sized).select("a", "b").distinct()
-    sets = lambda k: rows.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"))
+    sized = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (F.greatest("na", "nb") > SHORT_SET) & (F.col("a") < F.col("b"))
+    return left.join(right, "tok").where(sized).select("a", "b")
+
+
+def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """a < b, jaccard (6 decimals) of all pairs of similarity `least` or more. rows: id, s (distinct tokens).
+
+    Exact. Equal sets are one class, and classes are compared: with tokens in order of rarity, two classes meet by several of their
+    rarest tokens and by their sizes, as many tokens as any two sets of these sizes must share near their beginnings if they are alike.
+    Empty sets are alike to nothing.
+    """
+    rows = rows.where(F.size("s") > 0).select("id", F.array_sort("s").alias("s"))
+    classes = checkpointed(rows.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    rarity = classes.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    ordered = classes.select("id", F.explode("s").alias("tok")).join(rarity, "tok").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    ordered = checkpointed(ordered.select("id", F.size("o").alias("n"), F.transform("o", lambda x: x["tok"]).alias("o")))
+    pairs = _short_pairs(ordered, least).union(_long_pairs(ordered, least)).distinct()
+    sets = lambda k: classes.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"))
     both = F.size(F.array_intersect("sa", "sb"))
     whole = F.size("sa") + F.size("sb") - both
-    return pairs.join(sets("a"), "a").join(sets("b"), "b").where(both >= F.lit(least) * whole - 1e-9).select("a", "b", F.round(both / whole, 6).alias("jaccard"))
+    near = pairs.join(sets("a"), "a").join(sets("b"), "b").where(both >= F.lit(least) * whole - 1e-9).select("a", "b", F.round(both / whole, 6).alias("jaccard"))
+    copied = classes.where("copies > 1").select("s", F.col("id").alias("first"))
+    if copied.isEmpty():
+        return near
+    members = checkpointed(rows.join(copied, "s").select("first", "id"))
+    of = lambda k: members.select(F.col("first").alias(k), F.col("id").alias(f"m{k}"))
+    every = near.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"), "jaccard")
+    same = members.select("first", F.col("id").alias("x")).join(members.select("first", F.col("id").alias("y")), "first").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    return every.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def _ratio(a: str | None, b: str | None) -> float:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,25 @@ def test_metrics(spark):
     assert r.mrr == pytest.approx((1 + 1 / 7 + 1 / 15) / 4, abs=1e-6)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.8, 0.95])
+def test_jaccard_pairs_of_near_copies_equal_brute_force(spark, least):
+    """Sizes on both sides of the border between the two ways to meet, copies, and sets with a token more or less."""
+    r = random.Random(7)
+    base = [[r.randrange(60) for _ in range(n)] for n in (1, 2, 3, 5, 8, 10, 10, 12, 15, 16, 17, 18, 20, 26)]
+    sets = [set(b) for b in base for _ in range(2)]
+    for b in base:
+        for _ in range(6):
+            x = set(b)
+            for _ in range(r.randrange(4)):
+                x ^= {r.randrange(60)}
+            sets.append(x)
+    rows = [(i, ["t%d" % t for t in s]) for i, s in enumerate(sets)] + [(999, [])]
+    got = {(x.a, x.b): x.jaccard for x in joins.jaccard_pairs(spark.createDataFrame(rows, "id long, s array<string>"), least).collect()}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    want = {(i, j): round(alike(sets[i], sets[j]), 6) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(sets[i], sets[j]) >= least - 1e-9}
+    assert got == pytest.approx(want)
+
+
 def test_jaccard_pairs_equal_brute_force(spark):
     sets = {i: {chr(97 + (i * j + j * j) % 11) for j in range(1, 3 + i % 6)} for i in range(40)}
     rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<string>")
