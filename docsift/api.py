@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
-from docsift.operators import constraints, details, facts, intent, retrieval
+from docsift.operators import constraints, details, facts, intent, product_aware, retrieval
 
 
 def check_request(queries: DataFrame, text: str, limit: int, longest: int = 5000, most: int = 30) -> None:
@@ -54,6 +54,25 @@ def product_search(docs: DataFrame, queries: DataFrame, vocabulary: DataFrame, f
     return final.select("query_id", "doc_id", F.col("final_rank").alias("rank"), "final_score", "constraint_score", "flags", "compatibility")
 
 
+def recommend(docs: DataFrame, queries: DataFrame, vocabulary: DataFrame, families: DataFrame, limit: int = 5, pool: int = 30, dense: DataFrame | None = None, traced: bool = False) -> DataFrame:
+    """The whole way of a requirement: both searches, fusion, intent, effective values, gate, constraints, final order, match summary.
+
+    docs: doc_id, text, applies_to and stored metadata (product_aware.prepared); queries: query_id, text; vocabulary, families: as for
+    product_search; dense: a ranked list (query_id, doc_id, rank, score). Rows of product_aware.rank, or with traced one row a query of
+    product_aware.trace.
+    """
+    check_request(queries, "text", limit)
+    lexical = retrieval.Bm25Index(docs, "doc_id", "text", queries, "query_id", "text").search()
+    dense = lexical.limit(0) if dense is None else dense
+    found = retrieval.rrf(dense.select("query_id", "doc_id", "rank"), lexical.select("query_id", "doc_id", "rank"), limit=max(pool, limit))
+    wanted = intent.intents(queries, vocabulary).withColumn("q_product", F.get("q_product", F.lit(0))).withColumnRenamed("text", "description")
+    wanted = wanted.join(families.select(F.col("product").alias("q_product"), F.col("family").alias("q_family")), "q_product", "left")
+    ranked = product_aware.rank(found, docs, wanted, limit)
+    if not traced:
+        return ranked
+    return product_aware.trace(found.select("query_id", "doc_id", "rank", F.col("rrf_score").alias("score")), ranked, dense, lexical, docs)
+
+
 def analyze(documents: DataFrame) -> DataFrame:
     """doc_id, description, facts (sizes, temperatures, addresses) and details (typed technical facts) of each document (doc_id, text)."""
     text = F.col("text")

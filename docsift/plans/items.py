@@ -131,6 +131,16 @@ def _named(key: Column, table: dict) -> Column:
     return E.mapped(key, table)
 
 
+def stored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents with stored metadata, and texts that tell other values."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    stored = {"canonical_product": "stored", "family": "stored family", "material": "brass", "application": "any", "function": "hold"}
+    return p.select(
+        "p_partkey", F.concat(F.lit("code "), F.col("p_partkey").cast("string")).alias("standard_id"), _named(F.split("p_name", " ")[1], TITLES).alias("title"), _named(F.split("p_name", " ")[0], SCOPES).alias("scope_text"),
+        F.lit(None).cast("string").alias("retrieval_text"), F.when(F.col("p_size") % 2 == 0, "ordinary_portland_43").alias("product_subtype"), F.col("p_name").alias("primary_subject"), *(F.lit(v).alias(k) for k, v in stored.items()),
+    )
+
+
 @query(
     "effective_values",
     """WITH a AS (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS word, string_split(p_name, ' ')[2] AS noun, p_size % 2 = 0 AS even FROM part),
@@ -146,12 +156,7 @@ def _named(key: Column, table: dict) -> Column:
 )
 def effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eleven fields from what a text says, else as stored."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    stored = {"canonical_product": "stored", "family": "stored family", "material": "brass", "application": "any", "function": "hold"}
-    docs = p.select(
-        "p_partkey", F.concat(F.lit("code "), F.col("p_partkey").cast("string")).alias("standard_id"), _named(F.split("p_name", " ")[1], TITLES).alias("title"), _named(F.split("p_name", " ")[0], SCOPES).alias("scope_text"),
-        F.lit(None).cast("string").alias("retrieval_text"), F.when(F.col("p_size") % 2 == 0, "ordinary_portland_43").alias("product_subtype"), F.col("p_name").alias("primary_subject"), *(F.lit(v).alias(k) for k, v in stored.items()),
-    )
+    docs = stored_docs(spark, sf_dir)
     return E.effective(docs).select("p_partkey", *(F.col(f"effective_{f}").alias(f) for f in E.FIELDS))
 
 
