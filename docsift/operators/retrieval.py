@@ -20,6 +20,12 @@ BROADCAST_TERMS = 200_000
 BLOCK = 4096
 
 
+def few(df: DataFrame, most: int = BROADCAST_TERMS, of: DataFrame | None = None, each: int = 1) -> DataFrame:
+    """df, broadcast if it was counted to be small; or if `of`, of whose rows it has `each` at most, was."""
+    counted = df if of is None else of
+    return F.broadcast(df) if counted.limit(most // each + 1).count() <= most // each else df
+
+
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k of each group, with their rank from 1. Spark cuts each partition to k rows before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -125,7 +125,7 @@ def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     def overlap(rows: DataFrame) -> DataFrame:
         """Stands in for a cross-encoder: the share of the query's tokens that the document has."""
         q = items.select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens("text")).alias("q"))
-        d = docs.join(F.broadcast(rows.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.array_distinct(T.tokens("text")).alias("d"))
+        d = docs.join(R.few(rows.select("doc_id").distinct(), of=items, each=10), "doc_id", "left_semi").select("doc_id", F.array_distinct(T.tokens("text")).alias("d"))
         return rows.join(q, "query_id").join(d, "doc_id").withColumn("score", F.round(F.size(F.array_intersect("q", "d")) / F.size("q"), 6)).drop("q", "d")
 
     return R.rerank(pool, overlap, 5)
@@ -201,7 +201,7 @@ def retrieval_metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     (e,) = _read(spark, sf_dir, "embeddings")
     found = _dense(spark, sf_dir).join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("l")), "doc_id")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    ranks = found.join(F.broadcast(q), "query_id").groupBy("query_id", "label").agg(F.min(F.when((F.col("l") == F.col("label")) & (F.col("doc_id") != F.col("query_id")), F.col("rank"))).alias("rank"))
+    ranks = found.join(R.few(q), "query_id").groupBy("query_id", "label").agg(F.min(F.when((F.col("l") == F.col("label")) & (F.col("doc_id") != F.col("query_id")), F.col("rank"))).alias("rank"))
     return R.retrieval_metrics(ranks, ["label"])
 
 

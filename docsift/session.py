@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="docsift-"))
+        if not folder:
+            own = tempfile.mkdtemp(prefix="docsift-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = f"file://{own}"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")
 
 
