@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import catalogue, checks, corpus, evaluation, extraction, items, learning, product_aware, ranking, retrieval, suites, training, vectors  # noqa: F401
+    from . import catalogue, checks, corpus, evaluation, extraction, items, learning, product_aware, ranking, retrieval, suites, texts, training, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
