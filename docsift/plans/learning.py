@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.operators import details as D
 from docsift.operators import evaluation as E
+from docsift.operators import facts as A
 from docsift.operators import intent as I
 from docsift.operators import mapping as R
 from docsift.operators import metadata as M
@@ -117,3 +118,17 @@ def grouped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("position"), F.array(F.round(F.col("l_quantity").cast("double") / 2, 6)).alias("raw"))
     out = R.by_group(R.scored(rows, F.col("raw")), "group_id", "position")
     return out.select("group_id", F.concat(F.lit("["), F.array_join(F.transform("scores", lambda x: x.cast("string")), ", "), F.lit("]")).alias("scores"))
+
+
+@query("fact_places", f"""WITH {BASE}, {N}, t AS (SELECT id, size, length(name) AS n, size::VARCHAR AS s, (size + 5)::VARCHAR AS u, (size * 3)::VARCHAR AS c, size % 5 = 0 AS loose,
+ name || ' of ' || size || ' x ' || (size + 5) || ' mm' || CASE WHEN size % 5 = 0 THEN ' with tolerance' ELSE '' END || ' kept at ' || size * 3 || ' C by 10.0.0.' || size AS text FROM n),
+p AS (SELECT *, n + 4 AS b1, n + 4 + length(s) + 3 + length(u) + 3 AS e1, n + 4 + length(s) + 3 + length(u) + 3 + CASE WHEN loose THEN 15 ELSE 0 END + 9 AS b2 FROM t)
+SELECT id, 'size' AS kind, s || ' × ' || u || ' mm' AS value, b1 AS "begin", e1 AS "end", text AS evidence FROM p WHERE NOT loose
+UNION ALL SELECT id, 'temperature', c || ' C', b2, b2 + length(c) + 2, text FROM p UNION ALL SELECT id, 'address', '10.0.0.' || s, b2 + length(c) + 6, b2 + length(c) + 13 + length(s), text FROM p""")
+def fact_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with their places and evidence; sizes beside a tolerance are none."""
+    s = lambda c: c.cast("string")
+    size = F.col("size")
+    text = F.concat("name", F.lit(" of "), s(size), F.lit(" x "), s(size + 5), F.lit(" mm"), F.when(size % 5 == 0, " with tolerance").otherwise(""), F.lit(" kept at "), s(size * 3), F.lit(" C by 10.0.0."), s(size))
+    found = parts(spark, sf_dir).select("id", F.explode(A.extract_facts(text)).alias("f")).select("id", "f.*")
+    return found.withColumn("begin", F.col("begin").cast("long")).withColumn("end", F.col("end").cast("long"))
