@@ -177,6 +177,16 @@ def test_recall_with_descent_and_without(spark):
     assert with_ > 0.9 and without < with_ - 0.05, (with_, without)
 
 
+def test_the_beam_widens_until_a_sample_is_found(spark):
+    """Clusters of about four, each far from all others: from one of them the graph leads nowhere near the rest."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(4000, 64))
+    v = (r.normal(size=(1000, 64))[r.integers(0, 1000, 4000)] + 1e-3 * v).astype("f4")
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    got = neighbours.nearest(table, lambda i: i % 100 == 0).toPandas()
+    assert len(got) == 400 and recall(got, v.astype("f8"), range(0, 4000, 100)) >= 0.975
+
+
 def near_copies(noise):
     """3000 vectors, a third of them near copies of one, and an outlier."""
     r = np.random.default_rng(3)
