@@ -126,3 +126,17 @@ def test_pair_violations(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
     got = {tuple(r) for r in R.pair_violations(pairs, docs).collect()}
     assert got == {("no_negatives", "b"), ("query_mismatch", "c"), ("duplicate_pair", "c"), ("positive_as_negative", "c"), ("not_one_positive", "d"), ("missing_document", "d")}
+
+
+def test_hard_negatives_of_copies_search_classes(spark):
+    """Six kinds of documents, forty copies each: a task sees five of each kind, and every query leaves out its own."""
+    from docsift.operators import negatives
+
+    docs = spark.range(240).selectExpr("id AS doc_id", "concat('p', id % 2) AS product", "CAST(NULL AS STRING) AS family", "array(concat('n', id % 3)) AS near", "split(concat('a b c ', id % 6), ' ') AS toks").repartition(3)
+    assert negatives.first_of_classes(docs, ["near"], 5).count() == 30
+    got = R.hard_negatives(docs.where("doc_id % 20 = 0").withColumn("query_id", F.col("doc_id")), docs, ["near"]).orderBy("query_id", "place").collect()
+    for q in range(0, 240, 20):
+        alike = [d for d in range(240) if d % 6 == q % 6 and d != q][:4]
+        close = next(d for d in range(240) if d % 2 != q % 2 and d % 3 == q % 3)
+        trap = next(d for d in range(240) if d % 2 != q % 2 and d % 3 != q % 3)
+        assert [r.doc_id for r in got if r.query_id == q] == [*alike[:2], close, trap]
