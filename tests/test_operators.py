@@ -163,3 +163,16 @@ def test_near_dup_seq_finds_pairs_of_the_whole_table(spark, sf):
     want = {(a, b) for a, b in near if SequenceMatcher(None, text[a], text[b], autojunk=False).ratio() >= 0.94}
     got = {(r.a, r.b) for r in registry.queries()["near_dup_seq"](spark, sf).collect()}
     assert got == want and any(a % 20 and b % 20 for a, b in got)
+
+
+def test_near_dup_seq_of_copies_grows_with_the_table(spark, sf, tmp_path):
+    """Links between texts stay those of one copy; each further copy is one row."""
+    from docsift.plans import registry
+
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    n, keys = part.count(), spark.range(6).withColumnRenamed("id", "copy")
+    part.crossJoin(keys).withColumn("p_partkey", F.col("p_partkey") + F.col("copy") * 1000000).drop("copy").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.queries()["near_dup_seq"]
+    one, six = ({(r.a, r.b, r.jaccard, r.ratio) for r in found(spark, d).collect()} for d in (sf, str(tmp_path)))
+    assert one <= six and len(six) == len(one) + 5 * n
+    assert all(jaccard == ratio == 1.0 and a % 1000000 <= b % 1000000 for a, b, jaccard, ratio in six - one)
