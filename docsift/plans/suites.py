@@ -30,10 +30,11 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scored = checkpointed(_scored(spark, sf_dir).select("query_id", "doc_id", "rank", "q_family", "q_grade", "product", "q_product", "family", "constraint_score", "flags"))
     fit = C.compatibility(F.col("q_product"), F.col("product"), F.col("q_family"), F.col("family"))
     rows = scored.withColumn("compatibility", fit).withColumn("contradicts", F.exists("flags", lambda x: F.contains(x, F.lit("CONTRADICTION")))).withColumn("rrf_score", 1.0 / (60 + F.col("rank")))
-    out = None
-    for name, ranked, rank in (("initial", rows, "rank"), ("gated", C.gate(rows, F.col("compatibility")), "gated_rank"), ("constrained", C.order(rows), "constraint_rank"), ("final", C.final_order(rows), "final_rank")):
-        part = ranked.select(F.lit(name).alias("system"), "query_id", "doc_id", (F.col(rank) - 1 if name == "initial" else F.col(rank)).cast("long").alias("rank"), "compatibility", "contradicts")
-        out = part if out is None else out.unionByName(part)
+    # The four orders are windows over one exchange by query; each candidate then is a row a system.
+    ranked = C.final_order(C.order(C.gate(rows, F.col("compatibility"))))
+    places = zip(SYSTEMS, (F.col("rank") - 1, F.col("gated_rank"), F.col("constraint_rank"), F.col("final_rank")), strict=True)
+    systems = F.array(*(F.struct(F.lit(name).alias("system"), place.cast("long").alias("rank")) for name, place in places))
+    out = ranked.select("query_id", "doc_id", "compatibility", "contradicts", F.inline(systems))
     cases = rows.groupBy("query_id").agg(F.any_value(F.when(F.col("q_grade").isNull(), "plain").otherwise("graded")).alias("suite"), F.any_value("q_family").alias("family"), F.min_by("doc_id", F.when(F.col("compatibility") == "compatible", F.col("rank"))).alias("expected"))
     return out, cases
 
