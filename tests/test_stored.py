@@ -52,3 +52,27 @@ def test_a_search_reads_the_folders_of_its_terms_and_skips_blocks(spark, tmp_pat
     assert len(terms.select(stored._part(F.col("tok"))).distinct().collect()) <= 2 < len(files)
     queries = spark.createDataFrame([(1, "rare common")], "id int, q string")
     assert rows(index.search(queries, "id", "q", 10)) == rows(retrieval.Bm25Index(docs, "doc_id", "text", queries, "id", "q").search(10))
+
+
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    new, array = spark._jvm.java.util.ArrayList, spark.sparkContext._gateway.new_array
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(new(), False, False, array(spark._jvm.double, 0), new())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    r = random.Random(4)
+    texts = [" ".join(f"v{r.randrange(3000)}" for _ in range(200)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(4).cache()
+    postings, before = sum(len(set(t.split())) for t in texts), docs.count() and shuffled(spark)
+    stored.StoredIndex(spark, str(tmp_path / "index")).add(docs, "doc_id", "text")
+    assert postings <= shuffled(spark) - before < 1.2 * postings
+
+
+def test_texts_of_one_document_go_together(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b c"), (1, None), (2, "a c c"), (3, "b"), (None, "a")], DOCS)
+    index = stored.StoredIndex(spark, str(tmp_path / "index"))
+    assert index.add(docs, "doc_id", "text") == 3
+    found = {(r.tok, r.doc_id, r.tf, r.dl) for r in index._read("postings").select("tok", "tf", F.inline("docs")).collect()}
+    assert found == {("a", 1, 2, 5), ("b", 1, 2, 5), ("c", 1, 1, 5), ("a", 2, 1, 3), ("c", 2, 2, 3), ("b", 3, 1, 1)}
