@@ -68,12 +68,6 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def first_cue(text: Column, table: list[tuple[str, str]]) -> Column:
-    """The value of the first cue in the table that the text contains, else ''."""
-    cues = F.array(*(F.struct(F.lit(cue).alias("cue"), F.lit(value).alias("value")) for cue, value in table))
-    return let(lambda key: F.coalesce(F.get(F.filter(cues, lambda x: F.contains(key, x["cue"])), F.lit(0))["value"], F.lit("")), underscore_key(text))
-
-
 def lookup(value: Column, table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[value]
 
@@ -86,40 +80,49 @@ def _text_state(q: Column, c: Column) -> Column:
     return state.otherwise("UNKNOWN")
 
 
-def text_state(query: Column, candidate: Column) -> Column:
-    return let(_text_state, underscore_key(query), underscore_key(candidate))
+def _subtype_state(q: Column, c: Column) -> Column:
+    check, wanted = any_cue(c, CHECK_VALVE), q.isin("prevent reverse flow", "check valve")
+    found = F.when(F.contains(c, q) | F.contains(q, c), "EXACT_MATCH").when(wanted & check, "STRONG_COMPATIBLE").when(wanted & F.contains(c, F.lit("pressure reducing")), "CONTRADICTION")
+    return found.when(F.contains(q, F.lit("pressure reducing")) & check, "CONTRADICTION").otherwise(_text_state(q, c))
 
 
-def subtype_state(query: Column, candidate: Column) -> Column:
-    """Subtypes and functions; a check valve and a pressure-reducing one exclude each other."""
+def _pozzolana_state(q: Column, c: Column) -> Column:
+    ash, clay = F.contains(c, F.lit("fly ash")), F.contains(c, F.lit("calcined clay"))
+    found = F.when((q == "fly ash") & clay, "CONTRADICTION").when((q == "fly ash") & ash, "EXACT_MATCH")
+    return found.when((q == "calcined clay") & clay, "EXACT_MATCH").when((q == "calcined clay") & ash, "CONTRADICTION").otherwise(_text_state(q, c))
 
-    def state(q: Column, c: Column) -> Column:
-        check, wanted = any_cue(c, CHECK_VALVE), q.isin("prevent reverse flow", "check valve")
-        found = F.when(F.contains(c, q) | F.contains(q, c), "EXACT_MATCH").when(wanted & check, "STRONG_COMPATIBLE").when(wanted & F.contains(c, F.lit("pressure reducing")), "CONTRADICTION")
-        return found.when(F.contains(q, F.lit("pressure reducing")) & check, "CONTRADICTION").otherwise(_text_state(q, c))
 
-    return let(state, underscore_key(query), underscore_key(candidate))
+def _material_state(query: Column, candidate: Column) -> Column:
+    """Of what is told of two texts."""
+    q, c, gq, gc = query["cue"], candidate["cue"], query["kin"], candidate["kin"]
+    pair = lambda a, b: ((q == a) & (c == b)) | ((q == b) & (c == a))
+    found = F.when((q == "") | (c == ""), "UNKNOWN").when(q == c, "EXACT_MATCH").when(pair("clay", "sandstone"), "CONTRADICTION").when(pair("plastic", "GRP"), "STRONG_COMPATIBLE")
+    return found.when((gq == gc) & gq.isin(*TOGETHER), "STRONG_COMPATIBLE").when(gq != gc, "CONTRADICTION").otherwise(_text_state(query["key"], candidate["key"]))
 
 
-def pozzolana_state(query: Column, candidate: Column) -> Column:
-    def state(q: Column, c: Column) -> Column:
-        ash, clay = F.contains(c, F.lit("fly ash")), F.contains(c, F.lit("calcined clay"))
-        found = F.when((q == "fly ash") & clay, "CONTRADICTION").when((q == "fly ash") & ash, "EXACT_MATCH")
-        return found.when((q == "calcined clay") & clay, "EXACT_MATCH").when((q == "calcined clay") & ash, "CONTRADICTION").otherwise(_text_state(q, c))
+def told(text: Column) -> Column:
+    """What states need of a text, read once: its key, its material and the material's group."""
+    kin = {m: g for g, ms in MATERIAL_GROUPS.items() for m in ms}
+    cues = F.array(*(F.struct(F.lit(cue).alias("cue"), F.lit(value).alias("value")) for cue, value in MATERIAL_CUES))
+    cue = lambda key: F.coalesce(F.get(F.filter(cues, lambda x: F.contains(key, x["cue"])), F.lit(0))["value"], F.lit(""))
+    return let(lambda key: let(lambda k, m: F.struct(k.alias("key"), m.alias("cue"), lookup(m, kin).alias("kin")), key, cue(key)), underscore_key(text))
 
-    return let(state, underscore_key(query), underscore_key(candidate))
 
+class State:
+    """A state of two texts; `of` tells it from what is told of them."""
 
-def material_state(query: Column, candidate: Column) -> Column:
-    group = {m: g for g, ms in MATERIAL_GROUPS.items() for m in ms}
+    def __init__(self, of: Callable[[Column, Column], Column], keys: bool = True):
+        self.of = (lambda q, c: of(q["key"], c["key"])) if keys else of
 
-    def state(q: Column, c: Column, gq: Column, gc: Column, by_text: Column) -> Column:
-        pair = lambda a, b: ((q == a) & (c == b)) | ((q == b) & (c == a))
-        found = F.when((q == "") | (c == ""), "UNKNOWN").when(q == c, "EXACT_MATCH").when(pair("clay", "sandstone"), "CONTRADICTION").when(pair("plastic", "GRP"), "STRONG_COMPATIBLE")
-        return found.when((gq == gc) & gq.isin(*TOGETHER), "STRONG_COMPATIBLE").when(gq != gc, "CONTRADICTION").otherwise(by_text)
+    def __call__(self, query: Column, candidate: Column) -> Column:
+        return let(self.of, told(query), told(candidate))
 
-    by_text = text_state(query, candidate)
-    return let(lambda q, c: let(state, q, c, lookup(q, group), lookup(c, group), by_text), first_cue(query, MATERIAL_CUES), first_cue(candidate, MATERIAL_CUES))
+
+text_state = State(_text_state)
+#: Subtypes and functions; a check valve and a pressure-reducing one exclude each other.
+subtype_state = State(_subtype_state)
+pozzolana_state = State(_pozzolana_state)
+material_state = State(_material_state, keys=False)
 
 
 def best_state(states: Column) -> Column:
@@ -132,17 +135,42 @@ def _named(values: Column) -> Column:
     return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
 
 
-def attribute(values: Column, text: Column, field: str, state: Callable[[Column, Column], Column]) -> tuple[Column, Column]:
+def wished(values: Column) -> Column:
+    """What is told of each value that is wanted."""
+    return F.transform(_named(values), told)
+
+
+def told_if_any(text: Column) -> Column:
+    """What is told of a candidate's text; its key is null if the text is blank."""
+    return told(F.nullif(F.trim(text), F.lit("")))
+
+
+def attribute(values: Column, text: Column, field: str, state: State) -> tuple[Column, Column]:
     """Score and flag of a wanted attribute; 0 and no flag if nothing is wanted."""
-    found = let(lambda wanted, t: F.when(F.size(wanted) == 0, F.lit(None)).when(t == "", "UNKNOWN").otherwise(best_state(F.transform(wanted, lambda v: state(v, t)))), _named(values), F.coalesce(F.trim(text), F.lit("")))
+    return _scored(_wanted_state(wished(values), told_if_any(text), state), field)
+
+
+def _wanted_state(wanted: Column, text: Column, state: State) -> Column:
+    each = lambda ws, t: best_state(F.transform(ws, lambda w: state.of(w, t)))
+    return let(lambda ws, t: F.when(F.size(ws) == 0, F.lit(None)).when(t["key"].isNull(), "UNKNOWN").otherwise(each(ws, t)), wanted, text)
+
+
+def _scored(found: Column, field: str) -> tuple[Column, Column]:
     return F.coalesce(lookup(found, STATES), F.lit(0.0)), F.concat(F.lit(f"{field}_"), found)
 
 
-def exclusion(values: Column, text: Column, field: str, state: Callable[[Column, Column], Column]) -> tuple[Column, Column]:
+def exclusion(values: Column, text: Column, field: str, state: State) -> tuple[Column, Column]:
     """-8 and a contradiction if the candidate has what is excluded; a candidate without text is clear."""
+    return _excluded(_unwanted(wished(values), told_if_any(text), state), field)
+
+
+def _unwanted(unwanted: Column, text: Column, state: State) -> Column:
     like = ["EXACT_MATCH", "STRONG_COMPATIBLE", "PARTIAL_MATCH"]
-    hit = lambda unwanted, t: (t != "") & best_state(F.transform(unwanted, lambda v: state(v, t))).isin(*like)
-    found = let(lambda unwanted, t: F.when(F.size(unwanted) > 0, hit(unwanted, t)), _named(values), F.coalesce(F.trim(text), F.lit("")))
+    hit = lambda ws, t: t["key"].isNotNull() & best_state(F.transform(ws, lambda w: state.of(w, t))).isin(*like)
+    return let(lambda ws, t: F.when(F.size(ws) > 0, hit(ws, t)), unwanted, text)
+
+
+def _excluded(found: Column, field: str) -> tuple[Column, Column]:
     return F.when(found, STATES["CONTRADICTION"]).otherwise(0.0), F.concat(F.lit(f"EXCLUDED_{field}_"), F.when(found, "CONTRADICTION").when(~found, "CLEAR"))
 
 
@@ -157,14 +185,21 @@ def temperature_ranges(text: Column) -> Column:
 
 
 def temperature(value: Column, text: Column) -> tuple[Column, Column]:
-    ranges = temperature_ranges(text)
+    return _temperature(value, temperature_ranges(text))
+
+
+def _temperature(value: Column, ranges: Column) -> tuple[Column, Column]:
     state = F.when(F.size(ranges) == 0, "UNKNOWN").when(F.exists(ranges, lambda r: value.between(r["low"], r["high"])), "MATCH").otherwise("CONTRADICTION")
     score = lookup(state, {"UNKNOWN": "0", "MATCH": "4", "CONTRADICTION": "-8"}).cast("double")
     return F.when(value.isNull(), 0.0).otherwise(score), F.when(value.isNotNull(), F.concat(F.lit("TEMPERATURE_"), state))
 
 
 def grade(value: Column, text: Column, known: tuple[str, ...] = ("33", "43", "53")) -> tuple[Column, Column]:
-    g, t = F.lower(value), underscore_key(F.coalesce(text, F.lit("")))
+    return _grade(value, underscore_key(F.coalesce(text, F.lit(""))), known)
+
+
+def _grade(value: Column, t: Column, known: tuple[str, ...] = ("33", "43", "53")) -> tuple[Column, Column]:
+    g = F.lower(value)
     match = F.contains(t, F.concat(g, F.lit(" grade"))) | F.contains(t, F.concat(F.lit("grade "), g))
     other = _any([(g != k) & F.contains(t, F.lit(f"{k} grade")) for k in known])
     letter = F.rlike(g, F.lit("^[a-z]+$")) & F.contains(t, F.lit("grade "))
@@ -199,28 +234,52 @@ ATTRIBUTES = [
 EXCLUDED = [("material", material_state), ("function", subtype_state), ("application", text_state), ("subtype", subtype_state), ("medium", text_state), ("installation", text_state)]
 
 
+def _text(rows: DataFrame, names: list[str]) -> Column:
+    return F.concat_ws(" ", *(F.col(n) for n in names if n in rows.columns))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs with what is told of their texts, for score: read once a document, before it meets many queries."""
+    all_ = {name: told_if_any(_text(docs, columns)) for name, columns, _ in ATTRIBUTES}
+    all_["whole"] = told_if_any(_text(docs, ["material", "function", "application", "product_subtype", "title", "scope"]))
+    all_["grade"] = underscore_key(_text(docs, ["product_subtype", "title"]))
+    all_["ranges"] = temperature_ranges(_text(docs, ["title", "scope", "retrieval_text"]))
+    return docs.select("*", *(c.alias(f"told_{name}") for name, c in all_.items()))
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """queries (columns q_...) with what is told of their wishes, for score."""
+    names = [name for name, _, _ in ATTRIBUTES] + [f"excluded_{name}" for name, _ in EXCLUDED]
+    return queries.select("*", *(wished(F.col(f"q_{name}")).alias(f"wish_{name}") for name in names if f"q_{name}" in queries.columns))
+
+
 def score(rows: DataFrame) -> DataFrame:
     """rows with constraint_score and flags.
 
     rows: candidate columns (product, family, applies_to, title, scope and any of ATTRIBUTES') and, with the prefix q_, the
     intent's (q_product, q_family, arrays q_material, ..., q_excluded_material, ..., q_grade, q_temperature_c). Columns that
-    are not there count as null.
+    are not there count as null. If documents were prepared() and queries asked() before they met, texts are not read again.
     """
+    own = [c for c in rows.columns if not c.startswith(("told_", "wish_"))]
+    rows = rows if "told_whole" in rows.columns else prepared(rows)
+    rows = rows if any(c.startswith("wish_") for c in rows.columns) else asked(rows)
     has = lambda c, kind="string": F.col(c) if c in rows.columns else F.lit(None).cast(kind)
-    text = lambda names: F.concat_ws(" ", *(has(n) for n in names))
-    state = product_state(has("q_product"), has("product"), has("q_family"), has("family"), has("applies_to", "array<string>"))
-    parts = [(lookup(state, PRODUCT_STATES), F.concat(F.lit("PRODUCT_"), state))]
-    parts += [attribute(has(f"q_{name}", "array<string>"), text(columns), name.upper(), how) for name, columns, how in ATTRIBUTES if f"q_{name}" in rows.columns]
-    whole = text(["material", "function", "application", "product_subtype", "title", "scope"])
-    parts += [exclusion(has(f"q_excluded_{name}", "array<string>"), whole, name.upper(), how) for name, how in EXCLUDED if f"q_excluded_{name}" in rows.columns]
+    # States are columns of their own, so that score and flag do not tell them twice.
+    states = {"state_product": product_state(has("q_product"), has("product"), has("q_family"), has("family"), has("applies_to", "array<string>"))}
+    states |= {f"state_{name}": _wanted_state(F.col(f"wish_{name}"), F.col(f"told_{name}"), how) for name, _, how in ATTRIBUTES if f"wish_{name}" in rows.columns}
+    states |= {f"state_not_{name}": _unwanted(F.col(f"wish_excluded_{name}"), F.col("told_whole"), how) for name, how in EXCLUDED if f"wish_excluded_{name}" in rows.columns}
+    rows = rows.select("*", *(c.alias(name) for name, c in states.items()))
+    parts = [(lookup(F.col("state_product"), PRODUCT_STATES), F.concat(F.lit("PRODUCT_"), "state_product"))]
+    parts += [_scored(F.col(f"state_{name}"), name.upper()) for name, _, _ in ATTRIBUTES if f"state_{name}" in states]
+    parts += [_excluded(F.col(f"state_not_{name}"), name.upper()) for name, _ in EXCLUDED if f"state_not_{name}" in states]
     if "q_grade" in rows.columns:
-        parts.append(grade(F.col("q_grade"), text(["product_subtype", "title"])))
+        parts.append(_grade(F.col("q_grade"), F.col("told_grade")))
     if "q_temperature_c" in rows.columns:
-        parts.append(temperature(F.col("q_temperature_c").cast("double"), text(["title", "scope", "retrieval_text"])))
+        parts.append(_temperature(F.col("q_temperature_c").cast("double"), F.col("told_ranges")))
     total = parts[0][0]
     for s, _ in parts[1:]:
         total = total + s
-    return rows.withColumn("constraint_score", total).withColumn("flags", F.array_compact(F.array(*(f for _, f in parts))))
+    return rows.select(*own, total.alias("constraint_score"), F.array_compact(F.array(*(f for _, f in parts))).alias("flags"))
 
 
 def gate(rows: DataFrame, fit: Column) -> DataFrame:

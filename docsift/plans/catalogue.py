@@ -61,15 +61,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns for constraints.score: the order's other lines against the wish of its first."""
     p, lines = parts(spark, sf_dir), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines = lines.groupBy(F.col("l_orderkey").alias("query_id"), "l_partkey").agg(F.min("l_linenumber").alias("line"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("line", "l_partkey"))
-    lines = lines.withColumn("rank", place.cast("long"))
+    by_place = Window.partitionBy("query_id").orderBy("line", "l_partkey")
+    lines = lines.select("query_id", "l_partkey", F.row_number().over(by_place).cast("long").alias("rank"), F.first("l_partkey").over(by_place).alias("wish"))
     asked = p.select(
-        F.col("id").alias("l_partkey"), F.col("product").alias("q_product"), F.col("family").alias("q_family"), F.array("wants_material").alias("q_material"), F.array("wants_use").alias("q_application"),
+        F.col("id").alias("wish"), F.col("product").alias("q_product"), F.col("family").alias("q_family"), F.array("wants_material").alias("q_material"), F.array("wants_use").alias("q_application"),
         F.array("unwanted").alias("q_excluded_material"), F.col("grade").alias("q_grade"), F.col("wants_temperature").alias("q_temperature_c"),
     )
-    q = lines.where("rank = 1").join(asked, "l_partkey").select("query_id", *asked.columns[1:])
-    d = lines.where("rank > 1").join(p.withColumnRenamed("id", "l_partkey"), "l_partkey")
-    return q.join(d.withColumnRenamed("l_partkey", "doc_id"), "query_id")
+    # Texts are read on both sides, a part at a time, before the pairs are made; documents join last, so that their texts move once.
+    pairs = lines.where("rank > 1").join(C.asked(asked), "wish").drop("wish")
+    return pairs.join(C.prepared(p.withColumnRenamed("id", "l_partkey")), "l_partkey").withColumnRenamed("l_partkey", "doc_id")
 
 
 _W, _N = "string_split(p_name, ' ')[1]", "string_split(p_name, ' ')[2]"

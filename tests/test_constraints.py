@@ -63,3 +63,17 @@ def test_scores_gate_and_orders(spark):
     by = lambda df, c: [r.doc_id for r in df.orderBy(c).collect()]
     assert by(C.gate(rows, fit), "gated_rank") == ["valve", "none", "pipe"]
     assert by(C.order(scored), "constraint_rank") == ["valve", "none", "pipe"] == by(C.final_order(scored), "final_rank")
+
+
+def test_texts_are_read_before_they_meet(spark):
+    """What is told of a text is told once a document, below the join, and is worth the same."""
+    docs = spark.createDataFrame([(1, "pipe", "made of HDPE", "up to 60 degrees C", "pipes of 43 grade"), (2, "pipe", "brass", None, ""), (3, None, None, None, " ")], "doc_id int, product string, material string, scope string, title string")
+    wants = spark.createDataFrame([(1, "pipe", ["HDPE", "", None], ["brass"], "43", 50.0), (2, "valve", [], None, "53", None), (3, None, None, ["plastic"], None, 70.0)], "query_id int, q_product string, q_material array<string>, q_excluded_material array<string>, q_grade string, q_temperature_c double")
+    apart = C.score(C.asked(wants).crossJoin(C.prepared(docs)))
+    above = apart._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "regexp" not in above.lower()
+    rows = lambda df: sorted((r.query_id, r.doc_id, r.constraint_score, r.flags) for r in df.collect())
+    assert rows(apart) == rows(C.score(wants.crossJoin(docs))) and len(rows(apart)) == 9
+    assert apart.columns == [*wants.columns, *docs.columns, "constraint_score", "flags"]
+    first = rows(apart)[0]
+    assert first[2] == 8 + 4 + 4 + 4 and first[3] == ["PRODUCT_EXACT_PRODUCT", "MATERIAL_EXACT_MATCH", "EXCLUDED_MATERIAL_CLEAR", "GRADE_MATCH", "TEMPERATURE_MATCH"]
