@@ -14,6 +14,7 @@ from docsift.operators import constraints as C
 from docsift.operators import intent as I
 from docsift.operators import metadata as M
 from docsift.operators import training as L
+from docsift.operators.blocks import spread
 
 from .registry import query
 
@@ -44,7 +45,7 @@ def _sql_map(key: str, table: dict, i: int) -> str:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title, scope, material, application, product, family, and what a requirement of this kind wants."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), always=True)
     word, noun = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
     grade = F.when(F.col("p_size") % 4 == 0, "33").when(F.col("p_size") % 4 == 1, "43").when(F.col("p_size") % 4 == 2, "53")
     material = _map(F.col("p_type"), MATERIALS, 0)

@@ -9,6 +9,7 @@ from docsift.operators import details as D
 from docsift.operators import effective as E
 from docsift.operators import mapping as R
 from docsift.operators import tender as X
+from docsift.operators.blocks import spread
 
 from .registry import query
 
@@ -52,7 +53,7 @@ TENDER = f"""WITH g AS (SELECT * FROM (VALUES {_rows(GOODS)}) AS t(noun, written
 @query("tender_extract", TENDER)
 def tender_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tender's item for each part."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), always=True)
     word, noun, size = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.col("p_size").cast("string")
     mm = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("of diameter "), size, F.lit(" mm"))).otherwise(F.concat(F.lit("of "), size, F.lit(".50 mm nominal diameter")))
     text = F.concat(F.lit("Item "), F.col("p_partkey").cast("string"), F.lit(": Supply "), _told(noun, GOODS), F.lit(" "), mm, _told(word, PLACES), F.lit(". Resists corrosion, with bends."))
@@ -74,7 +75,7 @@ DETAIL = """WITH t AS (SELECT p_partkey, p_size AS s, string_split(p_name, ' ')[
 @query("detail_extract", DETAIL)
 def detail_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of a part's technical text."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), always=True)
     s, word = F.col("p_size"), F.split("p_name", " ")[0]
     text = F.concat_ws(
         " ",

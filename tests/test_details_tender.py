@@ -1,9 +1,11 @@
 """Facts and tender items of hand-written texts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import details as D
 from docsift.operators import tender
+from docsift.plans import registry
 
 
 def told(text, section=None):
@@ -93,3 +95,18 @@ def test_tender_items(spark):
     reduce = next(e for e in got[6].evidence if e.field == "function")
     assert reduce.evidence.startswith("Pressure reducing") and not reduce.inferred
     assert got[7].product == "bricks" and got[7].description == "bricks, Provide bricks, on"
+
+
+@pytest.mark.parametrize("name", ["detail_extract", "tender_extract"])
+def test_one_row_group_is_work_for_all_cores(spark, tmp_path, name):
+    """Of a file's splits only one has the rows of its one row group; the rest would be idle."""
+    spark.read.parquet("/root/testdata/sf0.01/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in was:
+            spark.conf.set(k, "1024")
+        found = registry.queries()[name](spark, str(tmp_path))
+        assert found.select(F.spark_partition_id()).distinct().count() == found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
