@@ -24,6 +24,8 @@ from docsift.operators import retrieval as R
 
 #: Texts that an embedder gets at once.
 BATCH = 64
+#: Points of a task: vectors are sorted by point, so tasks grow in number and not in size.
+POINTS = 50_000
 
 
 class Embedder(Protocol):
@@ -126,6 +128,7 @@ class VectorSink:
         found = self._read("points")
         if found is None:
             return None
+        found = found.repartition(max(found.rdd.getNumPartitions(), -(-found.count() // POINTS)), "point_id")
         last = found.groupBy("dataset", "point_id").agg(F.max_by(F.struct("digest", "vector", "payload"), "version").alias("p"), F.max("version").alias("version"))
         return last.where(F.col("dataset") == self.dataset).select("point_id", "p.digest", "p.vector", "p.payload", "version")
 

@@ -59,3 +59,15 @@ def test_embed(spark):
     assert np.linalg.norm(got[1]) == pytest.approx(1, abs=1e-6) and got[2] is None and got[3] is None and not any(got[4])
     assert vectors.embed(rows.limit(0), "text").count() == 0
     assert vectors.embed(rows.withColumn("vectors", F.lit(1)), "text").columns == ["id", "text", "vectors", "vector"]
+
+
+def test_points_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    """Tasks that sort vectors grow in number with the points, and a point has one last version."""
+    monkeypatch.setattr(vectors, "POINTS", 100)
+    none = F.lit(None).cast("string")
+    records = spark.range(1000).select("id", F.concat(F.lit("text "), "id").alias("text"), *(none.alias(c) for c in ("code", "canonical_id", "title", "product", "standard_kind", "family", "profile")))
+    sink = vectors.VectorSink(spark, str(tmp_path / "sink"), "d")
+    sink.upsert(records, name="bounded")
+    assert sink.points().rdd.getNumPartitions() >= 10
+    assert sink.upsert(records.withColumn("text", F.when(F.col("id") == 7, "new").otherwise(F.col("text"))), name="bounded")["written"] == 1
+    assert sink.points().where("version = 2").count() == 1 and sink.count() == 1000
