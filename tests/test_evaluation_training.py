@@ -140,3 +140,24 @@ def test_hard_negatives_of_copies_search_classes(spark):
         close = next(d for d in range(240) if d % 2 != q % 2 and d % 3 == q % 3)
         trap = next(d for d in range(240) if d % 2 != q % 2 and d % 3 != q % 3)
         assert [r.doc_id for r in got if r.query_id == q] == [*alike[:2], close, trap]
+
+
+def test_relevance_shuffles_no_text(spark, monkeypatch):
+    """However many documents hold a key of an item, their texts are compared where they lie."""
+    from docsift.operators import retrieval as R
+    from docsift.plans import retrieval as P
+
+    def written():
+        new, array = spark._jvm.java.util.ArrayList, spark.sparkContext._gateway.new_array
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(new(), False, False, array(spark._jvm.double, 0), new())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(R, "few", lambda df, *_, **__: df)  # pairs of an item and a document as many as not to be broadcast
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, found = written(), P._relevant(spark, "/root/testdata/sf0.01").collect()
+        assert len(found) == len({tuple(r) for r in found}) > 0
+        assert written() - before < 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
