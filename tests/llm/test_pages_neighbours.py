@@ -187,6 +187,18 @@ def test_the_beam_widens_until_a_sample_is_found(spark):
     assert len(got) == 400 and recall(got, v.astype("f8"), range(0, 4000, 100)) >= 0.975
 
 
+def test_only_the_sample_is_searched_again(spark, monkeypatch):
+    """A beam too narrow widens on SAMPLE queries at most; the others are searched once, as well as these."""
+    monkeypatch.setattr(neighbours, "BEAM", 12)
+    seen, measured = [], neighbours.recall
+    monkeypatch.setattr(neighbours, "recall", lambda beams, wanted: seen.append(beams.select("q").distinct().count()) or measured(beams, wanted))
+    v = np.random.default_rng(6).normal(size=(2000, 32)).astype("f4")
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    got = neighbours.nearest(table, lambda i: i % 8 == 0, degree=10).toPandas()
+    assert len(seen) > 1 and max(seen) <= neighbours.SAMPLE, seen
+    assert len(got) == 2500 and recall(got, v.astype("f8"), range(0, 2000, 8)) >= 0.96
+
+
 def near_copies(noise):
     """3000 vectors, a third of them near copies of one, and an outlier."""
     r = np.random.default_rng(3)
