@@ -176,3 +176,51 @@ def test_near_dup_seq_of_copies_grows_with_the_table(spark, sf, tmp_path):
     one, six = ({(r.a, r.b, r.jaccard, r.ratio) for r in found(spark, d).collect()} for d in (sf, str(tmp_path)))
     assert one <= six and len(six) == len(one) + 5 * n
     assert all(jaccard == ratio == 1.0 and a % 1000000 <= b % 1000000 for a, b, jaccard, ratio in six - one)
+
+
+def test_sequence_ratio_is_that_of_sequence_matcher():
+    import random
+    from difflib import SequenceMatcher
+
+    from docsift.operators import joins
+
+    draw = random.Random(5)
+    for n in range(6000):
+        letters = draw.choice(["a", "ab", "abc", "abcdefgh "])
+        some = lambda most: "".join(draw.choice(letters) for _ in range(draw.randrange(most)))  # noqa: B023, E731
+        head, tail = (some(25), some(25)) if n % 3 else ("", "")
+        a, b, least = head + some(9) + tail, head + some(9) + tail, draw.random()
+        want, got = SequenceMatcher(None, a, b).ratio(), joins._ratio(a, b, least)
+        assert got == want or got is None and want < least, (a, b)
+    a, b = "x y" * 90, "x z" * 90
+    assert joins._ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+@pytest.mark.parametrize("chars", [None, 0])
+def test_text_pairs_are_all_pairs_and_few_are_read(spark, monkeypatch, chars):
+    """Of short and long texts, broadcast or joined; what letters rule out is not compared, and pairs are dealt by number."""
+    import random
+    import re
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    from docsift.functions import text as X
+    from docsift.operators import joins
+
+    if chars is not None:
+        monkeypatch.setattr(joins, "BROADCAST_CHARS", chars)
+    draw, texts = random.Random(3), {"", "!", "éa éb"}
+    for _ in range(60):
+        words = ["".join(draw.choice("abcdeo") for _ in range(draw.randrange(1, 6))) for _ in range(draw.choice([3, 9, 12, 18, 24]))]
+        for _ in range(5):
+            words[draw.randrange(len(words))] = draw.choice(["abc", "ab", "cab", "7", "71"])
+            texts.add(" ".join(words))
+    rows = dict(enumerate(sorted(texts)))
+    sets = {i: set(re.findall("[a-z0-9]+", t)) for i, t in rows.items()}
+    alike = {(i, j) for i, j in combinations(rows, 2) if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    want = {(i, j): round(r, 6) for i, j in alike if (r := SequenceMatcher(None, rows[i], rows[j]).ratio()) >= 0.9}
+    table = spark.createDataFrame(list(rows.items()), "id long, text string").withColumn("s", F.array_distinct(X.tokens(F.col("text"))))
+    assert {(r.a, r.b): r.ratio for r in joins.text_pairs(table, 0.7, 0.9).collect()} == want and len(want) > 50
+    few = joins.candidates(table, 0.7, 0.9)
+    assert len(want) <= few.count() < joins.candidates(table, 0.7).count()
+    assert few.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
