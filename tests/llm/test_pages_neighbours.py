@@ -232,3 +232,20 @@ def test_odd_vectors(spark):
     few = neighbours.nearest(table.where("vec_id in (0, 3, 10)"), lambda i: i == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in few] == [(10, 2.0), (3, 5**0.5)]
     assert neighbours.nearest(table.limit(0), lambda i: i == 0).count() == 0
+
+
+def test_lists_of_a_hub_are_merged_as_they_pass(spark, monkeypatch):
+    """A turn shuffles a row of lists for each node and call, not a row for each pair; node 0 has more lists than are merged at once."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neighbours, "LISTS", 3)
+    draw = np.random.default_rng(4)
+    edges = [(0 if i % 2 else int(draw.integers(1, 9)), int(draw.integers(100, 160)), bool(draw.integers(2))) for i in range(900)]
+    table = spark.createDataFrame([(u, w, (u * 7 + w * 31) % 50 / 4, old) for u, w, old in edges], "u long, w long, d double, old boolean").repartition(7)
+    lists = neighbours.listed(table.sortWithinPartitions("u"))
+    assert lists.count() < 100
+    got = {(r.u, r.w): (r.d, r.old) for r in neighbours.keep_nearest(lists, 5).collect()}
+    pairs = table.groupBy("u", "w").agg(F.min("d").alias("d"), F.max("old").alias("old"))
+    want = {(r.u, r.w): (r.d, r.old) for r in neighbours.keep_nearest_ranked(pairs, 5).collect()}
+    assert got == want and len(want) == 45
+    assert neighbours.keep_nearest(lists.where("u < 0"), 5).count() == 0
